@@ -252,3 +252,44 @@ def top_rows(queries: DataFrame, train: DataFrame, scorer: Callable, sizes: tupl
         .filter(F.col("rank") <= n)
         .select("cell", "query_id", "rank", "doc_id", "shared", "score")
     )
+
+
+PROFILE_SCHEMA = "cell int, query_id long, n_pairs long, n_disjoint long, sum_shared long, max_score double"
+
+
+def profile_rows(left: pa.Table, right: pa.Table, scorer: Callable) -> pa.Table:
+    """Sums over all pairs of each query with the train rows of the block."""
+    n_left = left.num_rows if right.num_rows else 0
+    left = left.slice(0, n_left)
+    score_chunk = scorer(left)
+    n_pairs, n_disjoint, sum_shared = (np.zeros(n_left, dtype=np.int64) for _ in range(3))
+    best = np.zeros(n_left)
+    for part in row_chunks(right.num_rows if n_left else 0, n_left):
+        shared, scores = score_chunk(right.slice(part.start, part.stop - part.start))
+        n_pairs += shared.shape[1]
+        n_disjoint += (shared == 0).sum(axis=1)
+        sum_shared += shared.sum(axis=1)
+        best = np.maximum(best, scores.max(axis=1))
+    cell = np.full(n_left, left["cell"][0].as_py() if n_left else 0, dtype=np.int32)
+    return pa.table(
+        {
+            "cell": cell,
+            "query_id": left["query_id"].to_numpy(),
+            "n_pairs": n_pairs,
+            "n_disjoint": n_disjoint,
+            "sum_shared": sum_shared,
+            "max_score": best,
+        }
+    )
+
+
+def profile(queries: DataFrame, train: DataFrame, scorer: Callable, sizes: tuple[int, int]) -> DataFrame:
+    """Per query over all train documents: pairs, pairs without a shared element, shared elements
+    in all and the best score. The pairs themselves are never written out."""
+    parts = meet(queries, train, sizes, lambda left, right: profile_rows(left, right, scorer), PROFILE_SCHEMA)
+    return parts.groupBy("cell", "query_id").agg(
+        F.sum("n_pairs").alias("n_pairs"),
+        F.sum("n_disjoint").alias("n_disjoint"),
+        F.sum("sum_shared").alias("sum_shared"),
+        F.max("max_score").alias("max_score"),
+    )

@@ -11,17 +11,18 @@ from akin.operators.skew import sliced_join
 
 def lsh_index(signed: DataFrame, bands: tuple[int, int]) -> DataFrame:
     """One row (band, bucket, doc_id) per document and band."""
-    return signed.select("doc_id", F.posexplode(band_buckets(F.col("sig"), bands)).alias("band", "bucket"))
+    buckets = F.posexplode(band_buckets(F.col("sig"), bands)).alias("band", "bucket")
+    return signed.select("doc_id", buckets).withColumn("band", F.col("band").cast("long"))
 
 
 def signature_classes(train: DataFrame) -> DataFrame:
     """Train documents with equal signatures share every bucket: one row per distinct signature.
 
     ``first_doc_id`` is the earliest of them in train order and ``n_docs`` counts them, so a group
-    of copies of any size enters the index once.
+    of copies of any size enters the index once. Grid cells (``cell``) stay apart.
     """
-    return train.groupBy(sig_id(F.col("sig")).alias("class_id")).agg(
-        F.min_by("doc_id", "pos").alias("first_doc_id"),
+    return train.groupBy("cell", sig_id(F.col("sig")).alias("class_id")).agg(
+        F.min_by("doc_id", F.struct("order_key", "doc_id")).alias("first_doc_id"),
         F.count(F.lit(1)).alias("n_docs"),
         F.first("sig").alias("sig"),
     )
@@ -30,41 +31,45 @@ def signature_classes(train: DataFrame) -> DataFrame:
 def candidate_classes(queries: DataFrame, train: DataFrame, bands: tuple[int, int]) -> DataFrame:
     """Train signatures sharing at least one band with each query, not checked by similarity.
 
-    Rows: query_id, first_doc_id, n_docs. Query copies are looked up once and joined back by
+    Rows: cell, query_id, first_doc_id, n_docs. Query copies are looked up once and joined back by
     signature at the end.
     """
     classes = signature_classes(train)
     index = classes.select(
+        "cell",
         F.col("class_id").alias("_class"),
         "first_doc_id",
         "n_docs",
         F.posexplode(band_buckets(F.col("sig"), bands)).alias("band", "bucket"),
     )
-    asked = queries.select("doc_id", "sig", sig_id(F.col("sig")).alias("query_class"))
+    asked = queries.select("cell", "doc_id", "sig", sig_id(F.col("sig")).alias("query_class"))
     probes = (
-        asked.groupBy("query_class")
+        asked.groupBy("cell", "query_class")
         .agg(F.first("sig").alias("sig"))
-        .select("query_class", F.posexplode(band_buckets(F.col("sig"), bands)).alias("band", "bucket"))
+        .select("cell", "query_class", F.posexplode(band_buckets(F.col("sig"), bands)).alias("band", "bucket"))
     )
     found = (
-        sliced_join(index, probes, ["band", "bucket"], "_class")
-        .select("query_class", "first_doc_id", "n_docs")
+        sliced_join(index, probes, ["cell", "band", "bucket"], "_class")
+        .select("cell", "query_class", "first_doc_id", "n_docs")
         .distinct()
     )
-    members = asked.select("query_class", F.col("doc_id").alias("query_id"))
-    return sliced_join(members, found, ["query_class"], "query_id").select("query_id", "first_doc_id", "n_docs")
+    members = asked.select("cell", "query_class", F.col("doc_id").alias("query_id"))
+    return sliced_join(members, found, ["cell", "query_class"], "query_id").select(
+        "cell", "query_id", "first_doc_id", "n_docs"
+    )
 
 
 def candidate_counts(queries: DataFrame, train: DataFrame, bands: tuple[int, int]) -> DataFrame:
     """Number of train documents the index returns per query; queries without any are absent."""
-    return (
-        candidate_classes(queries, train, bands).groupBy("query_id").agg(F.sum("n_docs").alias("n_candidates"))
-    )
+    found = candidate_classes(queries, train, bands)
+    return found.groupBy("cell", "query_id").agg(F.sum("n_docs").alias("n_candidates"))
 
 
 def candidate_documents(queries: DataFrame, train: DataFrame, bands: tuple[int, int]) -> DataFrame:
-    """The candidates document by document: query_id, doc_id. As long as the result it lists."""
-    first = signature_classes(train).select("class_id", "first_doc_id")
-    members = train.select(sig_id(F.col("sig")).alias("class_id"), "doc_id").join(first, "class_id")
-    found = candidate_classes(queries, train, bands).select("query_id", "first_doc_id")
-    return sliced_join(members, found, ["first_doc_id"], "doc_id").select("query_id", "doc_id")
+    """The candidates document by document: cell, query_id, doc_id. As long as the result it lists."""
+    first = signature_classes(train).select("cell", "class_id", "first_doc_id")
+    members = sliced_join(
+        train.select("cell", sig_id(F.col("sig")).alias("class_id"), "doc_id"), first, ["cell", "class_id"], "doc_id"
+    )
+    found = candidate_classes(queries, train, bands).select("cell", "query_id", "first_doc_id")
+    return sliced_join(members, found, ["cell", "first_doc_id"], "doc_id").select("cell", "query_id", "doc_id")

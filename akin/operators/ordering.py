@@ -14,33 +14,39 @@ KEY_DIGITS = 15
 BUCKET_DIGITS = 3
 
 
-def order_key(id_col: str = "doc_id", seed: int | str = 42) -> Column:
+def order_key(id_col: str = "doc_id", seed: int | str | Column = 42) -> Column:
     """Sort key of the seeded permutation; documents are ordered by (order_key, id)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    start = seed if isinstance(seed, Column) else F.lit(seed)
+    digest = F.md5(F.concat(start.cast("string"), F.lit(":"), F.col(id_col).cast("string")))
     return F.conv(F.substring(digest, 1, KEY_DIGITS), 16, 10).cast("long")
 
 
-def shuffled(df: DataFrame, id_col: str = "doc_id", seed: int | str = 42) -> DataFrame:
+def shuffled(
+    df: DataFrame, id_col: str = "doc_id", seed: int | str | Column = 42, by: Sequence[str] = ()
+) -> DataFrame:
     """Add ``pos``, the 1-based place in a seeded permutation, and ``n_docs``.
 
     Places are counted per bucket and moved by the bucket's offset, so no task sorts more than
-    one bucket. All columns of ``df`` move; hand over ids and narrow columns only.
+    one bucket. With ``by`` every group of these columns has its own order; there must be few of
+    them. All columns of ``df`` move; hand over ids and narrow columns only.
     """
     shift = 4 * (KEY_DIGITS - BUCKET_DIGITS)
     keyed = df.withColumn("_key", order_key(id_col, seed)).withColumn("_bucket", F.shiftright("_key", shift))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        keyed.groupBy("_bucket")
+        keyed.groupBy(*by, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .select(
+            *by,
             "_bucket",
             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-            F.sum("_n").over(Window.partitionBy()).alias("n_docs"),
+            F.sum("_n").over(group).alias("n_docs"),
         )
     )
-    within = Window.partitionBy("_bucket").orderBy("_key", id_col)
+    within = Window.partitionBy(*by, "_bucket").orderBy("_key", id_col)
     return (
-        keyed.join(F.broadcast(offsets), "_bucket")
+        keyed.join(F.broadcast(offsets), [*by, "_bucket"])
         .withColumn("pos", F.col("_offset") + F.row_number().over(within))
         .drop("_key", "_bucket", "_offset")
     )

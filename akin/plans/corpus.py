@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -113,20 +114,30 @@ def signed(split: Split) -> DataFrame:
     return materialise(rows.select("*", "signed.*").drop("signed"), "signatures").filter("n_shingles > 0")
 
 
-def exact_top(split: Split, n: int) -> DataFrame:
-    """The ``n`` train documents with the highest Jaccard similarity of each query."""
+def exact_sides(split: Split) -> tuple[DataFrame, DataFrame, Callable, tuple[int, int]]:
+    """Query and train shingle sets for a search in blocks, with their scorer and sizes."""
     shingles = shingle_ids(F.col("text"), split.cfg.shingle_size).alias("shingles")
     queries = split.docs.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), shingles)
     train = split.docs.filter("is_train").select("cell", "doc_id", "order_key", shingles)
-    return top_rows(queries, train, set_scorer("shingles"), split.chars, n)
+    return queries, train, set_scorer("shingles"), split.chars
 
 
-def signature_top(table: DataFrame, n: int, column: str = "sig") -> DataFrame:
-    """The ``n`` train documents with the most equal signature positions of each query."""
+def signature_sides(table: DataFrame, column: str = "sig") -> tuple[DataFrame, DataFrame, Callable, tuple[int, int]]:
+    """Query and train signatures for a search in blocks, with their scorer and sizes."""
     rows = table.filter(F.col(column).isNotNull())
     sizes = rows.agg(
         *[F.coalesce(F.sum(F.when(F.col(role), F.size(column))), F.lit(0)) for role in ("is_query", "is_train")]
     ).first()
     queries = rows.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), F.col(column).alias("sig"))
     train = rows.filter("is_train").select("cell", "doc_id", "order_key", F.col(column).alias("sig"))
-    return top_rows(queries, train, signature_scorer("sig"), (sizes[0], sizes[1]), n)
+    return queries, train, signature_scorer("sig"), (sizes[0], sizes[1])
+
+
+def exact_top(split: Split, n: int) -> DataFrame:
+    """The ``n`` train documents with the highest Jaccard similarity of each query."""
+    return top_rows(*exact_sides(split), n)
+
+
+def signature_top(table: DataFrame, n: int, column: str = "sig") -> DataFrame:
+    """The ``n`` train documents with the most equal signature positions of each query."""
+    return top_rows(*signature_sides(table, column), n)
