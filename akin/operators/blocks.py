@@ -49,9 +49,11 @@ def meet(queries: DataFrame, train: DataFrame, sizes: tuple[int, int], task: Cal
     query_blocks, train_blocks = n_blocks(sizes[0]), n_blocks(sizes[1], 2 * cores)
 
     def dealt(df: DataFrame, id_col: str, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n_own)).cast("int")).withColumn(
+        placed = df.withColumn(own, F.pmod(F.xxhash64(id_col), F.lit(n_own)).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)))
         )
+        # New column identities: both sides may come from one table.
+        return placed.select(*[F.col(name).alias(name) for name in placed.columns])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         # Rows without a set are left out here: a filter on a UDF result would be pushed towards

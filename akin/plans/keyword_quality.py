@@ -78,10 +78,9 @@ def keyword_sweep(split: Split, docs: DataFrame, sizes: tuple[int, ...], tops: t
 
 def external_top(split: Split, n: int) -> DataFrame:
     """The title search that stands for an external engine."""
-    n_docs = split.n_docs[0]
     titles = split.docs.filter("is_query").select("cell", "doc_id", "title")
     train = split.docs.filter("is_train").select("cell", "doc_id", "text", "order_key")
-    return title_search(titles, train, n_docs, n_docs, n)
+    return title_search(titles, train, split.n_docs[0], n)
 
 
 def whole_corpus_lists(split: Split, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:

@@ -20,7 +20,7 @@ CFG = SearchConfig()
 KEYWORDS = SearchConfig(shingle_size=6, num_perm=128)
 METRICS = SearchConfig(shingle_size=4, num_perm=128, threshold=0.45)
 WHOLE = KEYWORDS
-WHOLE_SKIP = 100
+WHOLE_SKIP = 25
 MARKER = ".example.com/"
 SIZES = (100, 500, 1000, 1500, 2000, 5000, 10000)
 KEYWORD_CONTENT = (500, 1000, 2000, 5000)
