@@ -72,8 +72,12 @@ CLEAN = f"roles AS (SELECT *, {clean()} AS s FROM corpus)"
 
 
 def shingles(k: int, name: str = "sh", source: str = "roles") -> str:
-    return f"""{name} AS (SELECT DISTINCT doc_id, substr(s, i, {k}) AS g FROM (
-  SELECT doc_id, s, unnest(generate_series(1, length(s) - {k} + 1)) AS i FROM {source} WHERE length(s) >= {k})),
+    # Long texts are cut into overlapping spans first: substr walks a text from its start.
+    return f"""{name} AS (SELECT DISTINCT doc_id, substr(c, i, {k}) AS g FROM (
+  SELECT doc_id, c, unnest(generate_series(1, length(c) - {k} + 1)) AS i FROM (
+    SELECT doc_id, substr(s, j * 256 + 1, {255 + k}) AS c FROM (
+      SELECT doc_id, s, unnest(generate_series(0, (length(s) - {k}) // 256)) AS j FROM {source}
+      WHERE length(s) >= {k})))),
 {name}_n AS (SELECT doc_id, count(*) AS n FROM {name} GROUP BY doc_id)"""
 
 
@@ -237,8 +241,14 @@ def keyword_sign(m: int, num_perm: int, name: str = "kw_sig") -> str:
     return sign_ids(ids, num_perm, name)
 
 
+def readable_keyword_sign(m: int, num_perm: int, name: str = "kw_sig") -> str:
+    """Keyword signatures of the documents that have a text signature too."""
+    return f"""{keyword_sign(m, num_perm, name + '_all')},
+{name} AS (SELECT * FROM {name}_all WHERE doc_id IN (SELECT doc_id FROM sh_n))"""
+
+
 def keyword_corpus(cfg: SearchConfig) -> list[str]:
-    return [*corpus_of(cfg), *keyword_tables(cfg.n_keywords), keyword_sign(cfg.n_keywords, cfg.num_perm)]
+    return [*corpus_of(cfg), *keyword_tables(cfg.n_keywords), readable_keyword_sign(cfg.n_keywords, cfg.num_perm)]
 
 
 # ---- title search ----
@@ -418,7 +428,7 @@ def sweep_keywords() -> str:
     ctes = [*corpus_of(cfg), size_cells(KEYWORD_CONTENT, cfg), *cell_exact(n), *keyword_tables(max(KEYWORD_SIZES))]
     ctes += cell_similar("sig", cfg.num_perm, "s", n) + cell_candidates(cfg, "l")
     for m in KEYWORD_SIZES:
-        ctes += [keyword_sign(m, cfg.num_perm, f"kw{m}_sig"), *cell_similar(f"kw{m}_sig", cfg.num_perm, f"k{m}", n)]
+        ctes += [readable_keyword_sign(m, cfg.num_perm, f"kw{m}_sig"), *cell_similar(f"kw{m}_sig", cfg.num_perm, f"k{m}", n)]
     selects = []
     for top_n in TOPS:
         ctes += [
@@ -451,7 +461,7 @@ def whole_corpus(n: int) -> list[str]:
 def sweep_topn() -> str:
     cfg, n = WHOLE, max(TOPS)
     ctes = whole_corpus(n) + [sig_pairs(), top("sig_pairs", "sig_top", n), *keyword_tables(cfg.n_keywords)]
-    ctes += [keyword_sign(cfg.n_keywords, cfg.num_perm), sig_pairs("kw_sig", "kw_pairs"), top("kw_pairs", "kw_top", n)]
+    ctes += [readable_keyword_sign(cfg.n_keywords, cfg.num_perm), sig_pairs("kw_sig", "kw_pairs"), top("kw_pairs", "kw_top", n)]
     selects = []
     for t in TOPS:
         parts = []
@@ -562,7 +572,7 @@ def oracles() -> dict[str, str]:
         "strip_prefix": "SELECT doc_id, replace('A/' || source || '/A/' || doc_id, 'A/', '') AS title FROM documents",
         "title_text": chain(DOCUMENTS) + f"SELECT doc_id, title || ', ' || {clean()} AS full_text FROM corpus",
         "title_case": chain(PAGES) + """SELECT doc_id, array_to_string(list_transform(string_split(title, ' '),
-  lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM corpus""",
+  lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END || lower(w[2:])), ' ') AS title FROM corpus""",
         "underscore_title": chain(PAGES) + "SELECT doc_id, replace(title, ' ', '_') AS title FROM corpus",
         "drop_failed": chain(judged) + "SELECT doc_id, 'A/' || doc_id AS title FROM judged WHERE reason IS NULL",
         "reject_rows": chain(judged) + """SELECT count(*) AS n_requested, count(*) FILTER (reason IS NULL) AS n_kept,
