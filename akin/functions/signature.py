@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from akin.config import PRIME, permutations
-from akin.functions.text import id_set, list_array
+from akin.functions.text import id_set_and_bytes, list_array
 
 # Values permuted at a time: the (permutations x ids) block stays in cache.
 CACHED = 16_384
@@ -59,18 +59,19 @@ def _ends(batch: pa.Array) -> np.ndarray:
 
 
 def text_signature(text: Column, k: int, num_perm: int) -> Column:
-    """Struct (n_shingles, sig) of a text, without moving its shingle set out of the worker."""
+    """Struct (n_shingles, shingle_bytes, sig) of a text, whose shingle set stays in the worker."""
     permuter = Permuter(num_perm)
 
-    @F.arrow_udf("struct<n_shingles:bigint,sig:array<bigint>>")
+    @F.arrow_udf("struct<n_shingles:bigint,shingle_bytes:bigint,sig:array<bigint>>")
     def sign(batch: pa.Array) -> pa.Array:
-        counts, rows = [], []
-        for t in batch.to_pylist():
-            ids = id_set(t, range(k, k + 1)) if t is not None and len(t) >= k else np.empty(0, np.int64)
-            counts.append(len(ids))
-            rows.append(permuter.sign(ids))
+        found = [id_set_and_bytes(t or "", k) for t in batch.to_pylist()]
         return pa.StructArray.from_arrays(
-            [pa.array(counts, pa.int64()), list_array(rows)], names=["n_shingles", "sig"]
+            [
+                pa.array([len(ids) for ids, _ in found], pa.int64()),
+                pa.array([n_bytes for _, n_bytes in found], pa.int64()),
+                list_array([permuter.sign(ids) for ids, _ in found]),
+            ],
+            names=["n_shingles", "shingle_bytes", "sig"],
         )
 
     return sign(text)

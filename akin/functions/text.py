@@ -97,19 +97,39 @@ def _sizes(k: int, mode: str) -> range:
     return range(k if mode == "exact" else 1, k + 1)
 
 
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+
+
+def ids_in_place(points: np.ndarray, size: int) -> np.ndarray:
+    """64-bit id of the shingle at every position: a polynomial of its code points, mixed."""
+    n = max(0, len(points) - size + 1)
+    value = points[:n].copy()
+    for j in range(1, size):
+        value = value * np.uint64(ID_BASE) + points[j : j + n]
+    for shift, factor in MIX:
+        value = (value ^ (value >> np.uint64(shift))) * np.uint64(factor)
+    return value ^ (value >> np.uint64(LAST_SHIFT))
+
+
 def id_set(text: str, sizes: range) -> np.ndarray:
-    """Sorted distinct 64-bit shingle ids of one text: a polynomial of the code points, mixed."""
-    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
-    ids = []
-    for size in sizes:
-        n = max(0, len(points) - size + 1)
-        value = points[:n].copy()
-        for j in range(1, size):
-            value = value * np.uint64(ID_BASE) + points[j : j + n]
-        for shift, factor in MIX:
-            value = (value ^ (value >> np.uint64(shift))) * np.uint64(factor)
-        ids.append(value ^ (value >> np.uint64(LAST_SHIFT)))
-    return np.unique(np.concatenate(ids)).view(np.int64)
+    """Sorted distinct shingle ids of one text."""
+    points = code_points(text)
+    return np.unique(np.concatenate([ids_in_place(points, size) for size in sizes])).view(np.int64)
+
+
+def id_set_and_bytes(text: str, size: int) -> tuple[np.ndarray, int]:
+    """Sorted distinct shingle ids of one text, and the UTF-8 bytes of the distinct shingles."""
+    points = code_points(text)
+    ids = ids_in_place(points, size)
+    if not len(ids) or points.max() < 128:
+        ids = np.unique(ids)
+        return ids.view(np.int64), size * len(ids)
+    ids, first = np.unique(ids, return_index=True)
+    # Bytes of each character by the limits of UTF-8, summed over each shingle's first place.
+    widths = 1 + sum((points >= limit).astype(np.int64) for limit in (0x80, 0x800, 0x10000))
+    ends = np.concatenate([[0], np.cumsum(widths)])
+    return ids.view(np.int64), int((ends[first + size] - ends[first]).sum())
 
 
 def list_array(rows: list) -> pa.ListArray:
@@ -138,9 +158,18 @@ def shingle_ids(text: Column, k: int, mode: str = "exact") -> Column:
     return ids(text)
 
 
-def shingle_bytes(shingles: Column) -> Column:
-    """UTF-8 bytes of a set of shingle strings."""
-    return F.aggregate(shingles, F.lit(0).cast("long"), lambda n, s: n + F.octet_length(s))
+def shingle_counts(text: Column, k: int) -> Column:
+    """Struct (n_shingles, shingle_bytes) of a text's shingle set; zeros for texts shorter than k."""
+
+    @F.arrow_udf("struct<n_shingles:bigint,shingle_bytes:bigint>")
+    def count(batch: pa.Array) -> pa.Array:
+        found = [id_set_and_bytes(t or "", k) for t in batch.to_pylist()]
+        return pa.StructArray.from_arrays(
+            [pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())],
+            names=["n_shingles", "shingle_bytes"],
+        )
+
+    return count(text)
 
 
 # Comments, scripts and styles, tags, and the decoded entities, in this order.

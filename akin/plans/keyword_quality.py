@@ -44,7 +44,7 @@ def keyword_quality(split: Split, docs: DataFrame) -> DataFrame:
         "kw": materialise(signature_top(table, n, f"kw_{cfg.n_keywords}"), "by-keyword"),
     }
     stats = query_stats(quality_parts(table, exact, lists, cfg, n))
-    return stats.join(query_sizes(split, cfg.num_perm), ["cell", "query_id"])
+    return stats.join(query_sizes(table, cfg.num_perm), ["cell", "query_id"])
 
 
 def keyword_sweep(split: Split, docs: DataFrame, sizes: tuple[int, ...], tops: tuple[int, ...]) -> DataFrame:

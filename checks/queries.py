@@ -55,7 +55,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_split(spark: SparkSession, sf_dir: str) -> tuple[corpus.Split, DataFrame]:
-    docs = articles.page_documents(pages(spark, sf_dir))
+    # The pages are parsed once; the text is a fraction of the markup.
+    docs = materialise(articles.page_documents(spread(pages(spark, sf_dir), "page_id")), "page-texts")
     return corpus.whole(docs, WHOLE, WHOLE_SKIP), docs
 
 
@@ -174,16 +175,14 @@ def sink_metrics(spark, sf_dir):
 def sink_doc_stats(spark, sf_dir):
     cfg = KEYWORDS
     docs = documents(spark, sf_dir)
-    counts = spread(docs, "doc_id").select(
-        "doc_id", F.size(text.shingle_ids(text.normalise(F.col("text")), cfg.shingle_size)).cast("long").alias("n")
-    )
+    counts = counted(spark, sf_dir, cfg.shingle_size)
     found = keywords.extract_keywords(keyword_quality.keyword_input(docs), cfg.n_keywords)
     rows = counts.join(found, "doc_id").select(
         "doc_id",
-        (F.col("n") * cfg.num_perm).alias("full_cost"),
+        (F.col("n_shingles") * cfg.num_perm).alias("full_cost"),
         (F.size("keywords").cast("long") * cfg.num_perm).alias("keyword_cost"),
     )
-    return through_sink(rows, "doc-stats").filter("full_cost > 0")
+    return through_sink(rows, "doc-stats")
 
 
 # ---- projections and filters ----
@@ -297,45 +296,45 @@ def sample_fraction(spark, sf_dir):
 # ---- shingles, signatures, keywords ----
 
 
-def shingle_rows(spark: SparkSession, sf_dir: str, k: int, mode: str = "exact") -> DataFrame:
-    docs = spread(documents(spark, sf_dir), "doc_id")
-    shingles = text.shingle_strings(text.normalise(F.col("text")), k, mode)
-    return docs.select("doc_id", shingles.alias("shingles")).filter(F.col("shingles").isNotNull())
-
-
-def shingle_digest(rows: DataFrame) -> DataFrame:
+def shingle_digest(spark: SparkSession, sf_dir: str, k: int, mode: str = "exact") -> DataFrame:
     """The whole set of each document, told by its size and a digest of its sorted members."""
-    return rows.select(
-        "doc_id",
-        F.size("shingles").cast("long").alias("n_shingles"),
-        F.md5(F.array_join(F.sort_array("shingles"), "\x1f")).alias("digest"),
+    clean = text.normalise(F.col("text"))
+    summary = text.let(
+        text.shingle_strings(clean, k, mode),
+        lambda s: F.struct(
+            F.size(s).cast("long").alias("n_shingles"),
+            F.md5(F.array_join(F.sort_array(s), "\x1f")).alias("digest"),
+        ),
     )
+    docs = spread(documents(spark, sf_dir), "doc_id").filter(F.length(clean) >= k)
+    return docs.select("doc_id", summary.alias("summary")).select("doc_id", "summary.*")
 
 
 @query
 def shingle_set(spark, sf_dir):
-    return shingle_digest(shingle_rows(spark, sf_dir, CFG.shingle_size))
+    return shingle_digest(spark, sf_dir, CFG.shingle_size)
 
 
 @query
 def shingle_set_upto(spark, sf_dir):
-    return shingle_digest(shingle_rows(spark, sf_dir, CFG.shingle_size, "upto"))
+    return shingle_digest(spark, sf_dir, CFG.shingle_size, "upto")
+
+
+def counted(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    clean = text.normalise(F.col("text"))
+    docs = spread(documents(spark, sf_dir), "doc_id").filter(F.length(clean) >= k)
+    return docs.select("doc_id", text.shingle_counts(clean, k).alias("counts")).select("doc_id", "counts.*")
 
 
 @query
 def shingle_counts(spark, sf_dir):
-    rows = shingle_rows(spark, sf_dir, CFG.shingle_size)
-    return rows.select(
-        "doc_id",
-        F.size("shingles").cast("long").alias("n_shingles"),
-        text.shingle_bytes(F.col("shingles")).alias("shingle_bytes"),
-    )
+    return counted(spark, sf_dir, CFG.shingle_size)
 
 
 def clean_signatures(spark: SparkSession, sf_dir: str, cfg: SearchConfig) -> DataFrame:
     docs = spread(documents(spark, sf_dir), "doc_id")
     signed = signature.text_signature(text.normalise(F.col("text")), cfg.shingle_size, cfg.num_perm)
-    return docs.select("doc_id", signed.alias("signed")).select("doc_id", "signed.*")
+    return docs.select("doc_id", signed.alias("signed")).select("doc_id", "signed.n_shingles", "signed.sig")
 
 
 @query
@@ -646,13 +645,9 @@ def index_coverage(spark, sf_dir):
 
 @query
 def footprint(spark, sf_dir):
-    rows = shingle_rows(spark, sf_dir, KEYWORDS.shingle_size)
     size = F.lit(8 * KEYWORDS.num_perm).cast("long")
-    return rows.select(
-        "doc_id",
-        text.shingle_bytes(F.col("shingles")).alias("shingle_bytes"),
-        size.alias("sig_bytes"),
-        size.alias("keyword_sig_bytes"),
+    return counted(spark, sf_dir, KEYWORDS.shingle_size).select(
+        "doc_id", "shingle_bytes", size.alias("sig_bytes"), size.alias("keyword_sig_bytes")
     )
 
 

@@ -55,6 +55,15 @@ def test_ids_are_one_to_one_with_shingles(value, k):
         assert len(text.id_set(value, range(k, k + 1))) == len(shingles(value, k))
 
 
+def test_counts_and_bytes_of_shingle_sets(spark):
+    values = ["abc", "abcabcabc", "éüabéüab", "x😀yz😀x😀yz", None]
+    found = column(spark, values, "string", text.shingle_counts(F.col("v"), 4))
+    want = [shingles(v or "", 4) for v in values]
+    assert [(r["n_shingles"], r["shingle_bytes"]) for r in found] == [
+        (len(w), sum(len(x.encode()) for x in w)) for w in want
+    ]
+
+
 def test_html_to_text(spark):
     html = "<head><style>p{}</style></head><!-- x --><p>a&lt;b &amp;amp; c</p><script>var t='</p>';</script>d"
     assert column(spark, [html], "string", text.html_to_text(F.col("v"))) == ["a<b &amp; cd"]
