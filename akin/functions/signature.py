@@ -105,6 +105,16 @@ def band_buckets(sig: Column, bands: tuple[int, int]) -> Column:
     )
 
 
+def class_key(sig: Column) -> Column:
+    """The content id as 32 bytes, for grouping equal signatures."""
+    return F.unhex(sig_id(sig))
+
+
+def band_keys(sig: Column, bands: tuple[int, int]) -> Column:
+    """The band buckets as 16 bytes each, for joining."""
+    return F.transform(band_buckets(sig, bands), F.unhex)
+
+
 def shares_band(left: Column, right: Column, bands: tuple[int, int]) -> Column:
     """Whether two signatures agree on all positions of at least one band."""
     b, r = bands

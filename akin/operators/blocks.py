@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Elements (shingles, signature positions, terms) of one block, and scores held at a time.
-BLOCK_ELEMENTS = 4_000_000
+BLOCK_ELEMENTS = 8_000_000
 SCORES = 4_000_000
 EXPANDED = 8_000_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from akin.functions.signature import band_buckets, sig_id
+from akin.functions.signature import band_buckets, band_keys, class_key
 from akin.operators.skew import sliced_join
 
 
@@ -21,7 +21,7 @@ def signature_classes(train: DataFrame) -> DataFrame:
     ``first_doc_id`` is the earliest of them in train order and ``n_docs`` counts them, so a group
     of copies of any size enters the index once. Grid cells (``cell``) stay apart.
     """
-    return train.groupBy("cell", sig_id(F.col("sig")).alias("class_id")).agg(
+    return train.groupBy("cell", class_key(F.col("sig")).alias("class_id")).agg(
         F.min_by("doc_id", F.struct("order_key", "doc_id")).alias("first_doc_id"),
         F.count(F.lit(1)).alias("n_docs"),
         F.first("sig").alias("sig"),
@@ -37,19 +37,18 @@ def candidate_classes(queries: DataFrame, train: DataFrame, bands: tuple[int, in
     classes = signature_classes(train)
     index = classes.select(
         "cell",
-        F.col("class_id").alias("_class"),
         "first_doc_id",
         "n_docs",
-        F.posexplode(band_buckets(F.col("sig"), bands)).alias("band", "bucket"),
+        F.posexplode(band_keys(F.col("sig"), bands)).alias("band", "bucket"),
     )
-    asked = queries.select("cell", "doc_id", "sig", sig_id(F.col("sig")).alias("query_class"))
+    asked = queries.select("cell", "doc_id", "sig", class_key(F.col("sig")).alias("query_class"))
     probes = (
         asked.groupBy("cell", "query_class")
         .agg(F.first("sig").alias("sig"))
-        .select("cell", "query_class", F.posexplode(band_buckets(F.col("sig"), bands)).alias("band", "bucket"))
+        .select("cell", "query_class", F.posexplode(band_keys(F.col("sig"), bands)).alias("band", "bucket"))
     )
     found = (
-        sliced_join(index, probes, ["cell", "band", "bucket"], "_class")
+        sliced_join(index, probes, ["cell", "band", "bucket"], "first_doc_id")
         .select("cell", "query_class", "first_doc_id", "n_docs")
         .distinct()
     )
@@ -69,7 +68,7 @@ def candidate_documents(queries: DataFrame, train: DataFrame, bands: tuple[int,
     """The candidates document by document: cell, query_id, doc_id. As long as the result it lists."""
     first = signature_classes(train).select("cell", "class_id", "first_doc_id")
     members = sliced_join(
-        train.select("cell", sig_id(F.col("sig")).alias("class_id"), "doc_id"), first, ["cell", "class_id"], "doc_id"
+        train.select("cell", class_key(F.col("sig")).alias("class_id"), "doc_id"), first, ["cell", "class_id"], "doc_id"
     )
     found = candidate_classes(queries, train, bands).select("cell", "query_id", "first_doc_id")
     return sliced_join(members, found, ["cell", "first_doc_id"], "doc_id").select("cell", "query_id", "doc_id")

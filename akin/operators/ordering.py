@@ -53,10 +53,29 @@ def shuffled(
 
 
 def cuts(df: DataFrame, ranks: Sequence[int], id_col: str = "doc_id", seed: int | str = 42) -> dict:
-    """(order_key, id) of the documents at the given places; one small job over the ids."""
-    places = shuffled(df.select(id_col), id_col, seed).filter(F.col("pos").isin([int(r) for r in ranks]))
-    rows = places.select("pos", order_key(id_col, seed).alias("key"), id_col).collect()
-    return {row["pos"]: (row["key"], row[id_col]) for row in rows}
+    """(order_key, id) of the documents at the given places.
+
+    The driver sees one count per bucket (at most 16^3 rows) and one row per place; only the
+    buckets that hold a place are sorted.
+    """
+    bucket = F.shiftright("key", 4 * (KEY_DIGITS - BUCKET_DIGITS)).alias("bucket")
+    keyed = df.select(id_col, order_key(id_col, seed).alias("key")).select("*", bucket)
+    wanted, before = {}, 0
+    for row in sorted(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()):
+        for rank in ranks:
+            if before < rank <= before + row["n"]:
+                wanted[(row["bucket"], rank - before)] = rank
+        before += row["n"]
+    if not wanted:
+        return {}
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("key", id_col))
+    found = (
+        keyed.filter(F.col("bucket").isin([bucket for bucket, _ in wanted]))
+        .withColumn("place", place)
+        .filter(F.col("place").isin([place for _, place in wanted]))
+    )
+    rows = [r for r in found.collect() if (r["bucket"], r["place"]) in wanted]
+    return {wanted[(r["bucket"], r["place"])]: (r["key"], r[id_col]) for r in rows}
 
 
 def up_to(cut: tuple | None, id_col: str = "doc_id") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from akin.config import SearchConfig
@@ -20,9 +20,10 @@ from akin.session import materialise, spread
 class Split:
     """Documents of a corpus with their roles.
 
-    ``docs`` has one row per grid cell and document: cell, doc_id, title, text (normalised),
-    order_key, is_train, is_query. ``n_docs`` counts the requested documents of each cell, and
-    ``chars`` estimates the characters of query and train side over all cells.
+    ``docs`` has one row per document: doc_id, title, text (normalised), order_key and ``roles``,
+    an array of (cell, is_train, is_query) with one entry per grid cell the document belongs to.
+    ``n_docs`` counts the requested documents of each cell, and ``chars`` estimates the characters
+    of query and train side over all cells.
     """
 
     docs: DataFrame
@@ -30,11 +31,30 @@ class Split:
     n_docs: dict[int, int]
     chars: tuple[int, int]
 
-    @property
-    def readable(self) -> DataFrame:
-        """Documents long enough for a shingle; the others are rejects."""
-        return self.docs.filter(F.length("text") >= self.cfg.shingle_size)
+    def side(self, role: str, *columns: Column | str) -> DataFrame:
+        """``cell`` and the given columns of the documents with a role, once per cell.
 
+        The columns are computed before a document is copied to its cells.
+        """
+        asked = self.docs.filter(F.exists("roles", lambda r: r[role]))
+        rows = asked.select(*columns, F.filter("roles", lambda r: r[role]).alias("roles"))
+        return rows.select("*", F.explode("roles.cell").alias("cell")).drop("roles")
+
+
+def role(cell: int, in_cell: Column, is_train: Column, is_query: Column) -> Column:
+    entry = F.struct(F.lit(cell).alias("cell"), is_train.alias("is_train"), is_query.alias("is_query"))
+    return F.when(in_cell, entry)
+
+
+def with_roles(docs: DataFrame, cfg: SearchConfig, roles: list[Column]) -> DataFrame:
+    keyed = spread(docs, "doc_id").select("doc_id", "title", "text", order_key(seed=cfg.seed).alias("order_key"))
+    return keyed.select(
+        "doc_id",
+        "title",
+        normalise(F.col("text")).alias("text"),
+        "order_key",
+        F.filter(F.array(*roles), lambda r: r.isNotNull()).alias("roles"),
+    )
 
 
 def holdout(docs: DataFrame, cfg: SearchConfig, sizes: tuple[int, ...] | None = None) -> Split:
@@ -49,33 +69,15 @@ def holdout(docs: DataFrame, cfg: SearchConfig, sizes: tuple[int, ...] | None =
     for cell, size in enumerate(sizes or (cfg.content_size,)):
         n_docs[cell] = min(size, n_all) if size else n_all
     ends = {cell: (n - n // cfg.query_divisor, n) for cell, n in n_docs.items()}
-    found = cuts(docs, [rank for pair in ends.values() for rank in pair], seed=cfg.seed)
-    roles = [
-        F.struct(
-            F.lit(cell).alias("cell"),
-            up_to(found.get(n)).alias("in_cell"),
-            up_to(found.get(split)).alias("is_train"),
-        )
-        for cell, (split, n) in ends.items()
-    ]
-    keyed = spread(docs, "doc_id").select("doc_id", "title", "text", order_key(seed=cfg.seed).alias("order_key"))
-    cells = (
-        keyed.withColumn("role", F.explode(F.array(*roles)))
-        .filter("role.in_cell")
-        .select(
-            "role.cell",
-            "doc_id",
-            "title",
-            normalise(F.col("text")).alias("text"),
-            "order_key",
-            "role.is_train",
-            (~F.col("role.is_train")).alias("is_query"),
-        )
-    )
+    found = cuts(docs, sorted({rank for pair in ends.values() for rank in pair}), seed=cfg.seed)
+    roles = []
+    for cell, (split, n) in ends.items():
+        is_train = up_to(found.get(split))
+        roles.append(role(cell, up_to(found.get(n)), is_train, ~is_train))
     per_doc = chars / max(1, n_all)
     n_train = sum(split for split, _ in ends.values())
     n_query = sum(n_docs.values()) - n_train
-    return Split(cells, cfg, n_docs, (int(n_query * per_doc), int(n_train * per_doc)))
+    return Split(with_roles(docs, cfg, roles), cfg, n_docs, (int(n_query * per_doc), int(n_train * per_doc)))
 
 
 def whole(docs: DataFrame, cfg: SearchConfig, n_skip: int) -> Split:
@@ -83,14 +85,8 @@ def whole(docs: DataFrame, cfg: SearchConfig, n_skip: int) -> Split:
     n, chars = volume(docs)
     cut = cuts(docs, [n_skip], seed=cfg.seed).get(n_skip) if n_skip <= n else None
     is_query = ~up_to(cut) if n_skip <= n else F.lit(False)
-    rows = spread(docs, "doc_id").select(
-        F.lit(0).alias("cell"),
-        "doc_id",
-        "title",
-        normalise(F.col("text")).alias("text"),
-        order_key(seed=cfg.seed).alias("order_key"),
-    ).select("*", F.lit(True).alias("is_train"), is_query.alias("is_query"))
-    return Split(rows, cfg, {0: n}, (chars, chars))
+    roles = [role(0, F.lit(True), F.lit(True), is_query)]
+    return Split(with_roles(docs, cfg, roles), cfg, {0: n}, (chars, chars))
 
 
 def volume(docs: DataFrame) -> tuple[int, int]:
@@ -100,25 +96,22 @@ def volume(docs: DataFrame) -> tuple[int, int]:
 
 
 def signed(split: Split) -> DataFrame:
-    """Signatures and shingle counts of the readable documents, written once for all readers."""
+    """Signatures and shingle counts of the readable documents, written once for all readers.
+
+    One row per grid cell and document, with its roles in that cell; a document is signed once.
+    """
     cfg = split.cfg
-    rows = split.docs.select(
-        "cell",
-        "doc_id",
-        "title",
-        "order_key",
-        "is_train",
-        "is_query",
-        text_signature(F.col("text"), cfg.shingle_size, cfg.num_perm).alias("signed"),
-    )
-    return materialise(rows.select("*", "signed.*").drop("signed"), "signatures").filter("n_shingles > 0")
+    signature = text_signature(F.col("text"), cfg.shingle_size, cfg.num_perm).alias("signed")
+    rows = split.docs.filter(F.size("roles") > 0).select("doc_id", "title", "order_key", "roles", signature)
+    table = materialise(rows.select("*", "signed.*").drop("signed"), "signatures").filter("n_shingles > 0")
+    return table.select("*", F.inline("roles")).drop("roles")
 
 
 def exact_sides(split: Split) -> tuple[DataFrame, DataFrame, Callable, tuple[int, int]]:
     """Query and train shingle sets for a search in blocks, with their scorer and sizes."""
     shingles = shingle_ids(F.col("text"), split.cfg.shingle_size).alias("shingles")
-    queries = split.docs.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), shingles)
-    train = split.docs.filter("is_train").select("cell", "doc_id", "order_key", shingles)
+    queries = split.side("is_query", F.col("doc_id").alias("query_id"), shingles)
+    train = split.side("is_train", "doc_id", "order_key", shingles)
     return queries, train, set_scorer("shingles"), split.chars
 
 

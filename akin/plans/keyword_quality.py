@@ -78,8 +78,8 @@ def keyword_sweep(split: Split, docs: DataFrame, sizes: tuple[int, ...], tops: t
 
 def external_top(split: Split, n: int) -> DataFrame:
     """The title search that stands for an external engine."""
-    titles = split.docs.filter("is_query").select("cell", "doc_id", "title")
-    train = split.docs.filter("is_train").select("cell", "doc_id", "text", "order_key")
+    titles = split.side("is_query", "doc_id", "title")
+    train = split.side("is_train", "doc_id", "text", "order_key")
     return title_search(titles, train, split.n_docs[0], n)
 
 

@@ -620,7 +620,7 @@ def error_counts(spark, sf_dir):
     split = run_of(spark, sf_dir)
     signed = corpus.signed(split)
     counts = lsh.candidate_counts(signed.filter("is_query"), signed.filter("is_train"), CFG.bands)
-    asked = split.docs.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), "text")
+    asked = split.side("is_query", F.col("doc_id").alias("query_id"), "text")
     outcome = rejects.reject_rows(asked, CFG.shingle_size).join(counts, ["cell", "query_id"], "left")
     kept = F.col("reason").isNull()
     return outcome.agg(
@@ -636,8 +636,7 @@ def index_coverage(spark, sf_dir):
     split = run_of(spark, sf_dir)
     indexed = corpus.signed(split).filter("is_train").select("doc_id", F.lit(1).alias("indexed"))
     return (
-        split.docs.filter("is_train")
-        .select("doc_id")
+        split.side("is_train", "doc_id")
         .join(indexed, "doc_id", "left")
         .agg(F.count(F.lit(1)).alias("n_requested"), F.count("indexed").alias("n_indexed"))
     )
