@@ -17,10 +17,10 @@ CACHED = 16_384
 class Permuter:
     """Minimum of every permutation over a set of ids."""
 
-    def __init__(self, num_perm: int):
-        self.num_perm = num_perm
-        self.step = max(16, CACHED // num_perm)
-        self.a, self.b = (np.array(c, dtype=np.uint64)[:, None] for c in zip(*permutations(num_perm)))
+    def __init__(self, coefficients: tuple[tuple[int, int], ...]):
+        self.num_perm = len(coefficients)
+        self.step = max(16, CACHED // self.num_perm)
+        self.a, self.b = (np.array(c, dtype=np.uint64)[:, None] for c in zip(*coefficients))
 
     def sign(self, ids: np.ndarray) -> np.ndarray | None:
         if len(ids) == 0:
@@ -44,7 +44,7 @@ def minhash(ids: Column, num_perm: int) -> Column:
     One Arrow batch per call: a grouped minimum per permutation in SQL would need the shingles
     as rows, a shuffle of many times the text, and ``num_perm`` aggregates over each of them.
     """
-    permuter = Permuter(num_perm)
+    permuter = Permuter(permutations(num_perm))
 
     @F.arrow_udf("array<bigint>")
     def sign(batch: pa.Array) -> pa.Array:
@@ -60,7 +60,7 @@ def _ends(batch: pa.Array) -> np.ndarray:
 
 def text_signature(text: Column, k: int, num_perm: int) -> Column:
     """Struct (n_shingles, shingle_bytes, sig) of a text, whose shingle set stays in the worker."""
-    permuter = Permuter(num_perm)
+    permuter = Permuter(permutations(num_perm))
 
     @F.arrow_udf("struct<n_shingles:bigint,shingle_bytes:bigint,sig:array<bigint>>")
     def sign(batch: pa.Array) -> pa.Array:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from akin.functions.signature import shares_band
+from akin.operators.skew import sliced_join
 
 QUERY = ["cell", "query_id"]
 
@@ -37,9 +38,9 @@ def candidate_overlap(exact: DataFrame, table: DataFrame, counts: DataFrame, ban
     """
     query_sig = table.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), F.col("sig").alias("q"))
     train_sig = table.filter("is_train").select("cell", "doc_id", F.col("sig").alias("t"))
+    # The first of many copies is a neighbour of all of them, so train ids may be hot keys here.
     hits = (
-        exact.join(query_sig, QUERY)
-        .join(train_sig, ["cell", "doc_id"])
+        sliced_join(exact.join(query_sig, QUERY), train_sig, ["cell", "doc_id"], "query_id")
         .groupBy(*QUERY)
         .agg(F.count_if(shares_band(F.col("q"), F.col("t"), bands)).alias("hits"), F.count(F.lit(1)).alias("n_exact"))
     )

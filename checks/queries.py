@@ -12,6 +12,7 @@ from akin.functions import distances, signature, text
 from akin.operators import keywords, lsh, ordering, rejects
 from akin.operators.blocks import profile
 from akin.operators.evaluate import candidate_overlap, list_overlap, result_overlap
+from akin.operators.skew import sliced_join
 from akin.plans import accuracy, corpus, keyword_quality, quality
 from akin.session import fresh_path, materialise, spread
 from akin.sources import articles, crawl, sinks
@@ -523,7 +524,8 @@ def external_results(spark, sf_dir):
     split, docs = whole_split(spark, sf_dir)
     top = keyword_quality.external_top(split, WHOLE.n_results)
     titles = docs.select("doc_id", text.underscore(F.col("title")).alias("title"))
-    return top.join(titles, "doc_id").select("query_id", "rank", "doc_id", "title", "shared", "score")
+    named = sliced_join(top, titles, ["doc_id"], "query_id")
+    return named.select("query_id", "rank", "doc_id", "title", "shared", "score")
 
 
 # ---- evaluation ----

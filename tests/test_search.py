@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from akin.config import SearchConfig
+from akin.config import SearchConfig, permutations
 from akin.functions import signature, text
 from akin.operators import blocks, lsh, ordering, skew
 from akin.operators.evaluate import candidate_overlap, list_overlap
@@ -32,7 +32,7 @@ def brute_top(n):
 
 
 def signatures(sets, num_perm):
-    sign = signature.Permuter(num_perm)
+    sign = signature.Permuter(permutations(num_perm))
     return {i: list(sign.sign(text.id_set(fixtures.normalise(TEXTS[i]), range(4, 5)))) for i in sets}
 
 
@@ -198,7 +198,7 @@ def test_self_accuracy_equals_brute_force(spark):
     texts = {i: t for i, t in TEXTS.items() if t and len(t) >= 4}
     rows = {r["doc_id"]: r for r in accuracy.self_accuracy(fixtures.frame(spark, texts), 0.5, 4, 16).collect()}
     chosen = fixtures.order(texts)[: int(len(texts) * 0.5)]
-    sign = signature.Permuter(16)
+    sign = signature.Permuter(permutations(16))
     sigs = {i: sign.sign(text.id_set(texts[i], range(4, 5))) for i in chosen}
     for a in chosen:
         total = 0.0
