@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from akin.functions.signature import band_buckets, band_keys, class_key
 from akin.operators.skew import sliced_join
+from akin.session import materialise
 
 
 def lsh_index(signed: DataFrame, bands: tuple[int, int]) -> DataFrame:
@@ -34,18 +35,15 @@ def candidate_classes(queries: DataFrame, train: DataFrame, bands: tuple[int, in
     Rows: cell, query_id, first_doc_id, n_docs. Query copies are looked up once and joined back by
     signature at the end.
     """
-    classes = signature_classes(train)
-    index = classes.select(
-        "cell",
-        "first_doc_id",
-        "n_docs",
-        F.posexplode(band_keys(F.col("sig"), bands)).alias("band", "bucket"),
+    buckets = F.posexplode(band_keys(F.col("sig"), bands)).alias("band", "bucket")
+    # Both band tables are read twice, for the frequencies and for the join, so they are written.
+    index = materialise(
+        signature_classes(train).select("cell", "first_doc_id", "n_docs", buckets), "band-index"
     )
     asked = queries.select("cell", "doc_id", "sig", class_key(F.col("sig")).alias("query_class"))
-    probes = (
-        asked.groupBy("cell", "query_class")
-        .agg(F.first("sig").alias("sig"))
-        .select("cell", "query_class", F.posexplode(band_keys(F.col("sig"), bands)).alias("band", "bucket"))
+    probes = materialise(
+        asked.groupBy("cell", "query_class").agg(F.first("sig").alias("sig")).select("cell", "query_class", buckets),
+        "band-probes",
     )
     found = (
         sliced_join(index, probes, ["cell", "band", "bucket"], "first_doc_id")
