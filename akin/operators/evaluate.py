@@ -30,20 +30,23 @@ def list_overlap(exact: DataFrame, other: DataFrame, name: str) -> DataFrame:
     )
 
 
-def candidate_overlap(exact: DataFrame, table: DataFrame, counts: DataFrame, bands: tuple[int, int]) -> DataFrame:
-    """Per query with candidates: their number, hits, share of hits in the candidates, true recall.
+def candidate_flags(exact: DataFrame, table: DataFrame, bands: tuple[int, int]) -> DataFrame:
+    """The exact lists with ``is_candidate``: whether the neighbour is among the LSH candidates.
 
-    Whether an exact neighbour is a candidate follows from its signature and the query's, so the
-    candidate lists are counted but never written out.
+    That follows from its signature and the query's, so no candidate list is written out.
     """
     query_sig = table.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), F.col("sig").alias("q"))
     train_sig = table.filter("is_train").select("cell", "doc_id", F.col("sig").alias("t"))
     # The first of many copies is a neighbour of all of them, so train ids may be hot keys here.
-    hits = (
-        sliced_join(exact.join(query_sig, QUERY), train_sig, ["cell", "doc_id"], "query_id")
-        .groupBy(*QUERY)
-        .agg(F.count_if(shares_band(F.col("q"), F.col("t"), bands)).alias("hits"), F.count(F.lit(1)).alias("n_exact"))
+    both = sliced_join(exact.join(query_sig, QUERY), train_sig, ["cell", "doc_id"], "query_id")
+    return both.select(
+        *QUERY, "rank", "doc_id", shares_band(F.col("q"), F.col("t"), bands).alias("is_candidate")
     )
+
+
+def candidate_overlap(flags: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per query with candidates: their number, hits, share of hits in the candidates, true recall."""
+    hits = flags.groupBy(*QUERY).agg(F.count_if("is_candidate").alias("hits"), F.count(F.lit(1)).alias("n_exact"))
     return counts.join(hits, QUERY).select(
         *QUERY,
         "n_candidates",

@@ -13,7 +13,7 @@ from akin.operators.evaluate import query_stats
 from akin.operators.keywords import extract_keywords, keyword_ids
 from akin.operators.textsearch import title_search
 from akin.plans.corpus import Split, exact_top, signature_top, signed
-from akin.plans.quality import quality_parts, query_sizes
+from akin.plans.quality import lsh_results, quality_parts, query_sizes
 from akin.session import materialise
 
 
@@ -43,7 +43,7 @@ def keyword_quality(split: Split, docs: DataFrame) -> DataFrame:
         "sig": materialise(signature_top(table, n), "approximate"),
         "kw": materialise(signature_top(table, n, f"kw_{cfg.n_keywords}"), "by-keyword"),
     }
-    stats = query_stats(quality_parts(table, exact, lists, cfg, n))
+    stats = query_stats(quality_parts(exact, lsh_results(table, exact, cfg), lists, n))
     return stats.join(query_sizes(table, cfg.num_perm), ["cell", "query_id"])
 
 
@@ -59,11 +59,12 @@ def keyword_sweep(split: Split, docs: DataFrame, sizes: tuple[int, ...], tops: t
     )
     exact = materialise(exact_top(split, n), "exact")
     approximate = materialise(signature_top(table, n), "approximate")
+    lsh = lsh_results(table, exact, cfg)
     runs = []
     for m in sizes:
         by_keyword = materialise(signature_top(table, n, f"kw_{m}"), "by-keyword")
         for top in tops:
-            stats = query_stats(quality_parts(table, exact, {"sig": approximate, "kw": by_keyword}, cfg, top))
+            stats = query_stats(quality_parts(exact, lsh, {"sig": approximate, "kw": by_keyword}, top))
             runs.append(
                 stats.groupBy("cell")
                 .agg(
@@ -101,9 +102,10 @@ def whole_corpus_lists(split: Split, docs: DataFrame, n: int) -> tuple[DataFrame
 def top_sweep(split: Split, docs: DataFrame, tops: tuple[int, ...]) -> DataFrame:
     """Mean overlaps per list length over the whole corpus, trained once."""
     table, exact, lists = whole_corpus_lists(split, docs, max(tops))
+    lsh = lsh_results(table, exact, split.cfg)
     runs = []
     for n in tops:
-        stats = query_stats(quality_parts(table, exact, lists, split.cfg, n))
+        stats = query_stats(quality_parts(exact, lsh, lists, n))
         runs.append(
             stats.agg(
                 F.count(F.lit(1)).alias("n_evaluated"),

@@ -11,7 +11,7 @@ from akin.config import SearchConfig
 from akin.functions import distances, signature, text
 from akin.operators import keywords, lsh, ordering, rejects
 from akin.operators.blocks import profile
-from akin.operators.evaluate import candidate_overlap, list_overlap, result_overlap
+from akin.operators.evaluate import candidate_flags, candidate_overlap, list_overlap, result_overlap
 from akin.operators.skew import sliced_join
 from akin.plans import accuracy, corpus, keyword_quality, quality
 from akin.session import fresh_path, materialise, spread
@@ -542,7 +542,7 @@ REGISTRY["result_overlap"] = REGISTRY.pop("found_by_both")
 
 def candidate_part(signed: DataFrame, exact: DataFrame, cfg: SearchConfig) -> DataFrame:
     counts = lsh.candidate_counts(signed.filter("is_query"), signed.filter("is_train"), cfg.bands)
-    return candidate_overlap(exact, signed, counts, cfg.bands)
+    return candidate_overlap(candidate_flags(exact, signed, cfg.bands), counts)
 
 
 @query

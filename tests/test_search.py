@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from akin.config import SearchConfig, permutations
 from akin.functions import signature, text
 from akin.operators import blocks, lsh, ordering, skew
-from akin.operators.evaluate import candidate_overlap, list_overlap
+from akin.operators.evaluate import candidate_flags, candidate_overlap, list_overlap
 from akin.plans import accuracy, corpus, quality
 from tests import fixtures
 
@@ -123,7 +123,7 @@ def test_copies_share_every_band(spark):
 def test_overlaps_follow_the_candidates(split, table):
     exact = corpus.exact_top(split, 3)
     counts = lsh.candidate_counts(table.filter("is_query"), table.filter("is_train"), CFG.bands)
-    rows = {r["query_id"]: r for r in candidate_overlap(exact, table, counts, CFG.bands).collect()}
+    rows = {r["query_id"]: r for r in candidate_overlap(candidate_flags(exact, table, CFG.bands), counts).collect()}
     want = brute_candidates()
     assert set(rows) == {q for q, c in want.items() if c}
     for q, r in rows.items():
