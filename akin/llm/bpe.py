@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import sys
@@ -142,16 +143,16 @@ class Tokenizer:
 
     Special tokens in a text are taken as such. The rest goes through NFC and lower-casing, is cut by the
     file's pattern, and each piece goes through the automaton. Results are remembered by
-    white-space chunk, at most MEMO_CHUNKS of them.
+    white-space chunk, at most twice MEMO_CHUNKS of them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, compiled: bool = True):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"])
+        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"]) if compiled else None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
@@ -159,6 +160,7 @@ class Tokenizer:
         self.split = regex.compile(pattern).finditer
         self.chars = byte_chars()
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.words: dict[str, list[int]] = {}
 
     def _pieces(self, chunk: str) -> list[str]:
@@ -176,11 +178,22 @@ class Tokenizer:
                 known = self.automaton.encode("".join(map(self.chars.__getitem__, piece.encode())))
                 self.words[piece] = known
             ids += known
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _made(self, chunks: list[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the memo; from now on they are."""
         if len(self.memo) >= MEMO_CHUNKS:
-            self.memo.clear()
+            # The full memo serves on as the old one, so frequent chunks come back from there.
+            self.old, self.memo = self.memo, {}
             self.words.clear()
-        packed = self.memo[chunk] = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+        made = {c: self.old[c] for c in chunks if c in self.old}
+        new = [c for c in chunks if c not in made]
+        made.update(zip(new, self._packed(new), strict=True))
+        self.memo.update(made)
+        return made
+
+    def _packed(self, chunks: list[str]) -> list[bytes]:
+        return list(map(self._chunk, chunks))
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -188,10 +201,10 @@ class Tokenizer:
         # Lower-casing goes by character; Python would give a final sigma its own form.
         text = text.replace("Σ", "σ").lower()
         chunks = WHITE.split(text) if any(c in text for c in SEPARATORS) else text.split()
-        get, make = self.memo.get, self._chunk
-        packed = list(map(get, chunks))
+        packed = list(map(self.memo.get, chunks))
         if None in packed:
-            packed = [make(c) if p is None else p for c, p in zip(chunks, packed, strict=True)]
+            made = self._made(list({c for c, p in zip(chunks, packed, strict=True) if p is None}))
+            packed = [made[c] if p is None else p for c, p in zip(chunks, packed, strict=True)]
         return b"".join(packed)
 
     def encode(self, text: str) -> bytes:
@@ -206,12 +219,30 @@ class Tokenizer:
         return " ".join(map(self.labels.__getitem__, ids))
 
 
-def tokenizer(path: str) -> Tokenizer:
-    """The compiled tokenizer of a vocabulary file, made once per Python process."""
+class LibraryTokenizer(Tokenizer):
+    """The same ids with chunks encoded by the tokenizers library instead of the automaton."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer as Encoder
+
+        super().__init__(path, compiled=False)
+        self.encoder = Encoder.from_file(path)
+        self.encoder.no_truncation()
+        self.encoder.no_padding()
+
+    def _packed(self, chunks: list[str]) -> list[bytes]:
+        found = self.encoder.encode_batch_fast(chunks, add_special_tokens=False)
+        return [struct.pack(f"<{len(x)}I", *x.ids) for x in found]
+
+
+def tokenizer(path: str, kind: type[Tokenizer] = Tokenizer) -> Tokenizer:
+    """The tokenizer of a vocabulary file, made once per Python process."""
     made = sys.__dict__.setdefault("_akin_tokenizers", {})
-    if path not in made:
-        made[path] = Tokenizer(path)
-    return made[path]
+    key = kind.__name__, path
+    if key not in made:
+        made[key] = kind(path)
+    return made[key]
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from akin.llm.bpe import tokenizer
+from akin.llm.bpe import LibraryTokenizer, tokenizer
 from akin.llm.tables import numbered, written
 
 CAPACITY = 4096
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own = tokenizer(path, LibraryTokenizer)
         end = struct.pack("<I", END)
         for batch in batches:
             # Pieces go out every few thousand, so that very long texts don't gather.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from akin.llm import bpe, hash_tree, minhash, packing, quality, suffix_dedup, toxicity, url_filter
+from akin.llm import bpe, hash_tree, hnsw, impact_search, minhash, packing, quality, suffix_dedup, toxicity, url_filter
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
@@ -32,6 +37,11 @@ def op3_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_scores(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op5_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
