@@ -245,3 +245,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns as they are, with one row of each group of near duplicates.
+
+    An id stays if any of its rows is kept, with one row of its own if it has several. Rows without an id stay.
+    """
+    found = written(near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
+    gone = found.where("not kept and doc_id is not null").select("doc_id")
+    # Ids go to the texts while they are few enough to be broadcast; else both sides are shuffled.
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(gone, "doc_id", "left_anti")
+    if found.where("kept and n > 1").isEmpty():
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

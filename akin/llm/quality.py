@@ -172,6 +172,22 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     return trained(examples, prior(given))
 
 
+def scores_of(model: Model, batch: pa.RecordBatch) -> np.ndarray:
+    parts = [probabilities(model, part) for part in chunks(batch.column("text").to_pylist())]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is predicted to be of quality 1."""
+    model = fitted(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(model, batch) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score all documents: doc_id, held_out, score, predicted.
 
@@ -184,8 +200,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [probabilities(model, part) for part in chunks(batch.column("text").to_pylist())]
-            columns = [batch.column("doc_id"), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
+            columns = [batch.column("doc_id"), pa.array(scores_of(model, batch), pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score"])
 
     scores = docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id").schema.add("score", "double"))

@@ -245,6 +245,28 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(terms, idf, index._replace(vectors=np.zeros((0, 0))), base, at, score)
 
 
+def judged(model: Model, lookup: Lookup, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of a batch of texts, and the cosines and places of their nearest examples."""
+    rows = vectors(batch.column("text").to_pylist(), lookup, model.idf)
+    best, where = nearest(rows, model.examples, NEAREST)
+    share = votes(best, where, model.examples, model.base)
+    return np.round(np.clip(np.interp(share, model.votes, model.scores), 0, 1), 9), best, where
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text is not predicted to be toxic."""
+    model = fitted(docs, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(model.terms)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(judged(model, lookup, part)[0] < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score all documents: doc_id, held_out, score, predicted, evidence, cosines.
 
@@ -261,10 +283,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                rows = vectors(part.column("text").to_pylist(), lookup, model.idf)
-                best, where = nearest(rows, model.examples, NEAREST)
-                share = votes(best, where, model.examples, model.base)
-                score = np.round(np.clip(np.interp(share, model.votes, model.scores), 0, 1), 9)
+                score, best, where = judged(model, lookup, part)
                 near = [
                     [(int(model.examples.doc_ids[w]), float(b)) for w, b in zip(ws, bs, strict=True) if b > 0]
                     for ws, bs in zip(where[:, :EVIDENCE], best[:, :EVIDENCE], strict=True)
