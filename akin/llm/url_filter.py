@@ -1,10 +1,9 @@
 """URL filter: rules on host and path first, then a logistic regression on hashed character n-grams.
 
-The model is fitted and applied with DataFrame expressions. A labelled URL table is small (its
-bound is ``MAX_EXAMPLES``), so the fit works in the dual: the Gram matrix of the examples comes from
-an equi-join on the n-gram buckets, gradient steps on the example coefficients run as one
-expression over that bounded matrix, and the coefficients are summed back to ``BUCKETS`` weights. Pages
-are then scored in place against one literal array of weights, whose length never grows.
+The model is fitted and applied with DataFrame expressions. A labelled URL table is small (its bound is
+``MAX_EXAMPLES``): the examples become one row, an aggregation lists for each n-gram bucket the examples that hold it, and
+the gradient steps run as one expression over both. Pages are then scored in place against one literal
+array of weights, whose length never grows.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 SIZES = (3, 4, 5)
-STEPS, RATE, DECAY = 150, 40.0, 0.003
+STEPS, RATE, DECAY = 60, 100.0, 0.003
 MAX_EXAMPLES = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,23 +34,29 @@ RULES = [
     Rule("block", "net", "/fr/"),
 ]
 
-# The labelled table: names of junk hosts and of ordinary ones, each at half of the addresses. The addresses take
-# turns alike in both lists, so that domain, language and number say nothing.
-BLOCKED = [
-    "cheap-pills", "spam-farm", "free-bets", "casino-win", "adult-x", "ads-track", "buy-pills", "pills-store",
-    "casino-online", "best-casino", "bets-now", "sport-bets", "free-spins", "win-cash", "track-ads", "ads-server",
-    "spam-links", "link-farm", "adult-cams", "xxx-adult", "cheap-meds", "viagra-shop", "poker-bets", "click-ads",
-]
-ALLOWED = [
-    "library", "news", "garden", "weather", "museum", "university", "recipes", "history", "science", "travel",
-    "music", "school", "city", "trains", "football", "theatre", "radio", "farming", "winter", "advice", "tracks",
-    "thertion", "thenion", "thand", "thering", "thention", "thatble", "ththere", "tionther", "thesthan", "enthon",
-    "thathe", "ththin", "therst", "erand", "ththble",
-]
-ADDRESSES = [
-    "{}.example.com/en/12", "www.{}.example.net/de/300.html", "{}.example.org/fr/8?page=2", "blog.{}.example.com/es/4001",
-    "www.{}.example.org/en/77/", "m.{}.example.net/en/5210", "blog.{}.example.org/de/64#top", "m.{}.example.com/fr/919",
-]
+# The labelled table: names of junk hosts and of ordinary ones. Words are also paired with the words NEXT places on.
+# Each name stands at several addresses, dealt alike in both lists, so that domain, language and number say nothing.
+BLOCKED = "cheap pills spam farm free bets casino win adult x ads track meds viagra poker spins cash click link now".split()
+ALLOWED = "library news garden weather museum history science travel music school city trains theatre radio winter advice".split()
+SYLLABLES = "er th re at on in an nd st en es or tion ing ble ly wh sh ou ea ha ed".split()
+NEXT = (1, 7)
+PREFIXES, DOMAINS, LANGUAGES = ("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "de", "fr", "es")
+ENDINGS = ("", "/", ".html", "?page=2", "#top")
+ADDRESSES = 4
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The built-in table: urls without scheme, and 1 for junk."""
+    paired = lambda words: [f"{w}-{words[(i + k) % len(words)]}" for k in NEXT for i, w in enumerate(words)]
+    rows = []
+    spoken = ["th" + w.replace("-", "") for w in paired(SYLLABLES)]
+    for names, label in ((paired(BLOCKED), 1), (ALLOWED + paired(ALLOWED) + spoken, 0)):
+        for i, name in enumerate(names):
+            for k in range(ADDRESSES):
+                prefix, domain = PREFIXES[(i + k) % len(PREFIXES)], DOMAINS[(i // 2 + k) % len(DOMAINS)]
+                language, ending = LANGUAGES[(i // 3 + k) % len(LANGUAGES)], ENDINGS[(i // 5 + k) % len(ENDINGS)]
+                rows.append((f"{prefix}{name}.example.{domain}/{language}/{(37 * i + 911 * k) % 9973}{ending}", label))
+    return rows
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -87,13 +92,7 @@ def grams(host: Column, path: Column) -> Column:
 
 def training_table(spark: SparkSession) -> DataFrame:
     """The built-in labelled table: host, path, label (1: block)."""
-    rows = [
-        (ADDRESSES[k % len(ADDRESSES)].format(name), label)
-        for names, label in ((BLOCKED, 1), (ALLOWED, 0))
-        for i, name in enumerate(names)
-        for k in range(i, i + len(ADDRESSES), 2)
-    ]
-    urls = spark.createDataFrame(rows, "url string, label int")
+    urls = spark.createDataFrame(labelled_urls(), "url string, label int")
     host, path = host_and_path(F.concat(F.lit("http://"), F.col("url")))
     return urls.select(host.alias("host"), path.alias("path"), "label")
 
@@ -117,44 +116,33 @@ def fitted(examples: DataFrame) -> DataFrame:
         .alias("x"),
         F.lit(1).alias("model"),
     )
+    # For each bucket the examples that hold it; the table is bounded, and so are its lists.
     of = one.select(F.posexplode("x").alias("i", "e")).select("i", F.explode("e.grams").alias("gram"), F.size("e.grams").alias("n"))
-    other = of.select(F.col("i").alias("j"), "gram", F.col("n").alias("m"))
-    # Only pairs of the bounded table meet here, by bucket.
-    gram_matrix = (
-        of.join(other, "gram")
-        .groupBy("i", "j")
-        .agg((F.count(F.lit(1)) / F.sqrt(F.first("n") * F.first("m"))).alias("k"))
-        .groupBy("i")
-        .agg(F.collect_list(F.struct("j", "k")).alias("row"))
-        .agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("k"))
-        .withColumn("model", F.lit(1))
-    )
+    lists = of.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("i", (1 / F.sqrt("n")).alias("v")))).alias("l"))
+    lists = lists.agg(F.map_from_entries(F.collect_list(F.struct("gram", "l"))).alias("lists"), F.lit(1).alias("model"))
+    nothing = F.array().cast("array<struct<i:int,v:double>>")
+    buckets = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    held = F.transform(buckets, lambda b: F.coalesce(F.element_at("lists", b), nothing))
+    both = one.join(F.broadcast(lists), "model").select("x", held.alias("held"))
 
     def step(state: Column, _: Column) -> Column:
-        margins = F.transform(
-            F.col("k"),
-            lambda r: F.aggregate(r["row"], state["bias"], lambda a, c: a + c["k"] * F.element_at(state["a"], c["j"] + 1)),
-        )
-        errors = F.zip_with(F.col("x"), margins, lambda e, m: e["label"] - _logistic(m))
-        moved = F.zip_with(state["a"], errors, lambda a, e: a * F.lit(1 - DECAY) + F.lit(RATE) * e / F.size("x"))
-        mean = F.aggregate(errors, F.lit(0.0), lambda a, e: a + e) / F.size("x")
-        return F.struct((state["bias"] + mean).alias("bias"), moved.alias("a"))
-
-    start = F.struct(F.lit(0.0).alias("bias"), F.transform("x", lambda e: F.lit(0.0)).alias("a"))
-    trained = one.join(F.broadcast(gram_matrix), "model").select(
-        "x", F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step).alias("m")
-    )
-    parts = trained.select("m.bias", F.explode(F.arrays_zip(F.col("m.a").alias("a"), F.col("x").alias("e"))).alias("p"))
-    weights = (
-        parts.select("bias", (F.col("p.a") / F.sqrt(F.size("p.e.grams"))).alias("w"), F.explode("p.e.grams").alias("gram"))
-        .groupBy("gram")
-        .agg(F.sum("w").alias("w"), F.first("bias").alias("bias"))
-        .agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("w"), F.first("bias").alias("bias"))
-    )
-    bucket_weight = F.transform(
-        F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.element_at("w", b), F.lit(0.0))
-    )
-    return weights.select(bucket_weight.alias("weights"), F.coalesce("bias", F.lit(0.0)).alias("bias"))
+        w, n = state["weights"], F.size("x")
+
+        def error(e: Column) -> Column:
+            total = F.aggregate(e["grams"], F.lit(0.0), lambda a, g: a + F.element_at(w, g + 1))
+            return e["label"] - _logistic(state["bias"] + total / F.sqrt(F.size(e["grams"])))
+
+        def moved(errors: Column) -> Column:
+            slope = lambda l: F.aggregate(l, F.lit(0.0), lambda a, c: a + c["v"] * F.element_at(errors, c["i"] + 1))
+            weights = F.zip_with(w, "held", lambda v, l: v * F.lit(1 - DECAY) + F.lit(RATE) * slope(l) / n)
+            mean = F.aggregate(errors, F.lit(0.0), lambda a, e: a + e) / n
+            return F.struct(weights.alias("weights"), (state["bias"] + mean).alias("bias"))
+
+        # The errors are bound to a variable, else every use would compute them anew.
+        return F.element_at(F.transform(F.array(F.transform("x", error)), moved), 1)
+
+    start = F.struct(F.transform(buckets, lambda b: F.lit(0.0)).alias("weights"), F.lit(0.0).alias("bias"))
+    return both.select(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step).alias("m")).select("m.weights", "m.bias")
 
 
 def judged(pages: DataFrame, rules: list[Rule] | None = None, examples: DataFrame | None = None) -> DataFrame:
