@@ -230,6 +230,8 @@ class LibraryTokenizer(Tokenizer):
         self.encoder = Encoder.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
+        # Special tokens are taken out before; what lower-casing turns into one is ordinary text.
+        self.encoder.encode_special_tokens = True
 
     def _packed(self, chunks: list[str]) -> list[bytes]:
         found = self.encoder.encode_batch_fast(chunks, add_special_tokens=False)

@@ -116,7 +116,7 @@ def indexed(doc_ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, counts: t
     # The sample takes both classes evenly: an example counts for the labelled rows it stands for.
     sampled = np.bincount(labels, minlength=2)
     weights = np.array(counts) / np.maximum(sampled, 1)
-    return Examples(doc_ids, labels, weights[labels], postings, np.array(bounds).T.reshape(rows.shape[1], -1), rows)
+    return Examples(doc_ids, labels, weights[labels], postings, np.array(bounds).T.reshape(rows.shape[1], len(bounds)), rows)
 
 
 def nearest(queries: np.ndarray, index: Examples, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
