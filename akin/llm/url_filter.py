@@ -80,14 +80,12 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 def grams(host: Column, path: Column) -> Column:
     """The distinct buckets (array of int) of all character n-grams of ``^host/path$``, digits alike."""
     text = F.translate(F.concat(F.lit("^"), host, path, F.lit("$")), "123456789", "000000000")
-    found = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))),
-            lambda i, n=n: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"),
-        )
-        for n in SIZES
-    ]
-    return F.array_distinct(F.concat(*found))
+
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
+
+    return F.array_distinct(F.concat(*map(of_size, SIZES)))
 
 
 def training_table(spark: SparkSession) -> DataFrame:
