@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 def jaccard_sets(left: Column, right: Column) -> Column:
     """Shared over united elements of two sets; null when both are empty."""
-    shared = F.size(F.array_intersect(left, right)).cast("double")
-    return shared / F.nullif(F.size(F.array_union(left, right)), F.lit(0))
+    return jaccard_counts(F.size(F.array_intersect(left, right)), F.size(left), F.size(right))
 
 
 def jaccard_counts(shared: Column, left: Column, right: Column) -> Column:

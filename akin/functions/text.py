@@ -135,7 +135,10 @@ def id_set_and_bytes(text: str, size: int) -> tuple[np.ndarray, int]:
 def list_array(rows: list) -> pa.ListArray:
     """Arrow lists of 64-bit integers from arrays; None becomes null."""
     lengths = np.array([0 if row is None else len(row) for row in rows], dtype=np.int64)
-    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("a batch holds more list elements than 32-bit offsets reach; use smaller batches")
+    ends = ends.astype(np.int32)
     filled = [row for row in rows if row is not None]
     values = np.concatenate(filled) if filled else np.empty(0, dtype=np.int64)
     mask = pa.array([row is None for row in rows], pa.bool_())

@@ -228,23 +228,6 @@ def signature_scorer(column: str) -> Callable:
     return prepare
 
 
-def weight_scorer(column: str, weight: str, digits: int = 9) -> Callable:
-    """Sum of weight products over shared elements, rounded so that equal sums tie."""
-
-    def prepare(left: pa.Table):
-        values, lengths = ragged(left[column])
-        postings = Postings(values, lengths, ragged(left[weight])[0])
-
-        def score(right: pa.Table):
-            other, n_right = ragged(right[column])
-            shared, total = postings.overlap(other, n_right, ragged(right[weight])[0])
-            return shared, np.round(total, digits)
-
-        return score
-
-    return prepare
-
-
 def top_rows(queries: DataFrame, train: DataFrame, scorer: Callable, sizes: tuple[int, int], n: int) -> DataFrame:
     """The ``n`` best train documents of each query: cell, query_id, rank, doc_id, shared, score."""
     parts = meet(queries, train, sizes, lambda left, right: best_rows(left, right, scorer, n), TOP_SCHEMA)

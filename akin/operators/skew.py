@@ -1,44 +1,49 @@
-"""Equi-join for keys that may hold a large share of the rows."""
+"""Equi-join for keys that may hold a large share of the rows on either side."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key that go to one task, and how many of the most frequent keys are looked at.
-# Any key outside that list holds less than 1/HOT_KEYS of the rows.
+# A key with fewer rows is never dealt to several tasks.
 SLICE_ROWS = 100_000
-HOT_KEYS = 1_000
+
+
+def hot_keys(side: DataFrame, keys: list[str], slices: str, slice_rows: int) -> DataFrame:
+    """Keys with more rows than an average task has (``slice_rows`` at least), and their number of slices.
+
+    Rows are counted with a partial aggregate. With t tasks at most t keys can lie above the average, so the
+    result has no more rows than that at any size of ``side``.
+    """
+    tasks = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = max(slice_rows, side.count() // tasks)
+    counts = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
+    return counts.select(*keys, F.ceil(F.col("_rows") / limit).cast("long").alias(slices))
+
+
+def _every(slices: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(slices, F.lit(1)).cast("long") - 1))
+
+
+def _one(columns: list[str], slices: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.coalesce(slices, F.lit(1)))
 
 
 def sliced_join(
     many: DataFrame, few: DataFrame, keys: list[str], row_id: str, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
-    """Inner join that spreads the hot keys of ``many`` over several tasks.
+    """Inner join that spreads the hot keys of both sides over several tasks.
 
-    Frequencies are counted with a partial aggregate before any shuffle of the rows. Rows of a
-    key with more than ``slice_rows`` rows are dealt to slices by ``row_id`` and the matching rows
-    of ``few`` are copied to each slice. The table of hot keys has at most HOT_KEYS rows, so
-    broadcasting it is safe at any size of ``many``.
+    The rows of a key that is hot in ``many`` are dealt to slices by ``row_id`` and the matching rows of ``few`` are
+    copied to each of them; the rows of a key that is hot in ``few`` are dealt by all their columns and
+    those of ``many`` are copied. A key hot on both sides gets a grid of slices.
     """
-    slices = F.ceil(F.col("_rows") / slice_rows)
-    hot = (
-        many.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > slice_rows)
-        .orderBy(F.desc("_rows"))
-        .limit(HOT_KEYS)
-        .select(*keys, slices.alias("_slices"))
-    )
-    n_slices = F.coalesce("_slices", F.lit(1))
-    left = (
-        many.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slice", F.pmod(F.xxhash64(row_id), n_slices))
-        .drop("_slices")
-    )
-    right = (
-        few.join(F.broadcast(hot), keys, "left")
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), n_slices - 1)))
-        .drop("_slices")
-    )
-    return left.join(right, [*keys, "_slice"]).drop("_slice")
+    own = hot_keys(many, keys, "_own", slice_rows).withColumn("_other", F.lit(1).cast("long"))
+    other = hot_keys(few, keys, "_other", slice_rows).withColumn("_own", F.lit(1).cast("long"))
+    hot = own.unionByName(other).groupBy(*keys).agg(F.max("_own").alias("_own"), F.max("_other").alias("_other"))
+    hot = F.broadcast(hot)
+    left = many.join(hot, keys, "left").withColumn("_slice", _one([row_id], "_own"))
+    left = left.withColumn("_copy", _every("_other")).drop("_own", "_other")
+    right = few.join(hot, keys, "left").withColumn("_copy", _one(few.columns, "_other"))
+    right = right.withColumn("_slice", _every("_own")).drop("_own", "_other")
+    return left.join(right, [*keys, "_slice", "_copy"]).drop("_slice", "_copy")

@@ -15,7 +15,7 @@ from akin.functions.signature import minhash, prefix, sig_id, text_signature
 from akin.functions.text import shingle_ids
 from akin.operators.blocks import Postings, meet, ragged, row_chunks
 from akin.operators.ordering import cuts, order_key, sample_first, shuffled, up_to
-from akin.session import materialise, spread
+from akin.session import materialise
 
 
 def numbered_sample(docs: DataFrame, n: int, seed: int) -> DataFrame:
@@ -43,7 +43,10 @@ def sample_pairs(first: DataFrame, second: DataFrame, n: int, keys: list[str]) -
 
 
 def sample_accuracy(docs: DataFrame, n: int, ks: tuple[int, ...], num_perm: int, seeds=(1, 2)) -> DataFrame:
-    """Pairs of two samples with shingle sets and signatures for every shingle size ``k``."""
+    """Pairs of two samples with exact similarity and signatures for every shingle size ``k``.
+
+    Only ids are paired before the sets join, and the exact similarity is taken once for all signature lengths.
+    """
     sides = []
     for seed in seeds:
         sample = numbered_sample(docs, n, seed)
@@ -52,19 +55,24 @@ def sample_accuracy(docs: DataFrame, n: int, ks: tuple[int, ...], num_perm: int,
             rows = sample.select("doc_id", "title", "slot", F.lit(k).alias("k"), shingle_ids(F.col("text"), k).alias("set"))
             per_k.append(rows.withColumn("sig", minhash(F.col("set"), num_perm)))
         sides.append(materialise(reduce(DataFrame.unionByName, per_k), "sample").filter(F.col("set").isNotNull()))
-    return sample_pairs(*sides, n, ["k"])
+    pairs = sample_pairs(*(side.select("k", "doc_id", "title", "slot") for side in sides), n, ["k"])
+    for name, side in zip("ab", sides):
+        own = side.select("k", F.col("doc_id").alias(f"{name}_doc_id"), F.col("set").alias(f"{name}_set"), F.col("sig").alias(f"{name}_sig"))
+        pairs = pairs.join(own, ["k", f"{name}_doc_id"])
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    exact = distances.jaccard_counts(shared, F.size("a_set"), F.size("b_set"))
+    return materialise(pairs.select("k", "a_doc_id", "b_doc_id", exact.alias("jaccard"), "a_sig", "b_sig"), "sample-pairs")
 
 
 def pair_accuracy(pairs: DataFrame, num_perm: int) -> DataFrame:
-    """Exact and estimated Jaccard of each pair and their relative difference in percent."""
-    exact = distances.jaccard_sets(F.col("a_set"), F.col("b_set"))
+    """Exact and estimated Jaccard of each pair of ``sample_accuracy`` and their relative difference in percent."""
     estimate = distances.jaccard_estimate(prefix(F.col("a_sig"), num_perm), prefix(F.col("b_sig"), num_perm))
     return pairs.select(
         F.col("k").cast("long").alias("k"),
         F.lit(num_perm).cast("long").alias("num_perm"),
         "a_doc_id",
         "b_doc_id",
-        exact.alias("jaccard"),
+        "jaccard",
         estimate.alias("estimate"),
     ).withColumn("pct_diff", distances.pct_change(F.col("jaccard"), F.col("estimate")))
 
@@ -133,8 +141,7 @@ def self_accuracy(docs: DataFrame, fraction: float, k: int, num_perm: int, seed:
     n = int(row[0] * fraction)
     cut = cuts(docs, [n], seed=seed).get(n)
     sample = (
-        spread(docs, "doc_id")
-        .withColumn("order_key", order_key(seed=seed))
+        docs.withColumn("order_key", order_key(seed=seed))
         .filter(up_to(cut))
         .select(F.lit(0).alias("cell"), "doc_id", shingle_ids(F.col("text"), k).alias("set"))
         .withColumn("sig", minhash(F.col("set"), num_perm))
@@ -148,7 +155,7 @@ def self_accuracy(docs: DataFrame, fraction: float, k: int, num_perm: int, seed:
 
 def raw_signatures(docs: DataFrame, k: int, num_perm: int) -> DataFrame:
     """doc_id, signature id and signature of the raw text, written once."""
-    signed = spread(docs, "doc_id").select("doc_id", text_signature(F.col("text"), k, num_perm).alias("signed"))
+    signed = docs.select("doc_id", text_signature(F.col("text"), k, num_perm).alias("signed"))
     rows = signed.select("doc_id", "signed.n_shingles", "signed.sig")
     return materialise(rows, "raw-signatures").filter("n_shingles > 0").withColumn("sig_id", sig_id(F.col("sig")))
 

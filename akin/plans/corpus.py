@@ -13,7 +13,7 @@ from akin.functions.text import normalise, shingle_ids
 from akin.functions.signature import text_signature
 from akin.operators.blocks import set_scorer, signature_scorer, top_rows
 from akin.operators.ordering import cuts, order_key, up_to
-from akin.session import materialise, spread
+from akin.session import materialise
 
 
 @dataclass(frozen=True)
@@ -22,14 +22,12 @@ class Split:
 
     ``docs`` has one row per document: doc_id, title, text (normalised), order_key and ``roles``,
     an array of (cell, is_train, is_query) with one entry per grid cell the document belongs to.
-    ``n_docs`` counts the requested documents of each cell, and ``chars`` estimates the characters
-    of query and train side over all cells.
+    ``n_docs`` counts the requested documents of each cell.
     """
 
     docs: DataFrame
     cfg: SearchConfig
     n_docs: dict[int, int]
-    chars: tuple[int, int]
 
     def side(self, role: str, *columns: Column | str) -> DataFrame:
         """``cell`` and the given columns of the documents with a role, once per cell.
@@ -47,7 +45,7 @@ def role(cell: int, in_cell: Column, is_train: Column, is_query: Column) -> Colu
 
 
 def with_roles(docs: DataFrame, cfg: SearchConfig, roles: list[Column]) -> DataFrame:
-    keyed = spread(docs, "doc_id").select("doc_id", "title", "text", order_key(seed=cfg.seed).alias("order_key"))
+    keyed = docs.select("doc_id", "title", "text", order_key(seed=cfg.seed).alias("order_key"))
     return keyed.select(
         "doc_id",
         "title",
@@ -64,7 +62,7 @@ def holdout(docs: DataFrame, cfg: SearchConfig, sizes: tuple[int, ...] | None =
     follow from comparing a document's order key with the keys at the cuts, so the texts are
     neither sorted nor shuffled.
     """
-    n_all, chars = volume(docs)
+    n_all = docs.count()
     n_docs = {}
     for cell, size in enumerate(sizes or (cfg.content_size,)):
         n_docs[cell] = min(size, n_all) if size else n_all
@@ -74,25 +72,16 @@ def holdout(docs: DataFrame, cfg: SearchConfig, sizes: tuple[int, ...] | None =
     for cell, (split, n) in ends.items():
         is_train = up_to(found.get(split))
         roles.append(role(cell, up_to(found.get(n)), is_train, ~is_train))
-    per_doc = chars / max(1, n_all)
-    n_train = sum(split for split, _ in ends.values())
-    n_query = sum(n_docs.values()) - n_train
-    return Split(with_roles(docs, cfg, roles), cfg, n_docs, (int(n_query * per_doc), int(n_train * per_doc)))
+    return Split(with_roles(docs, cfg, roles), cfg, n_docs)
 
 
 def whole(docs: DataFrame, cfg: SearchConfig, n_skip: int) -> Split:
     """Train on all documents; all but the first ``n_skip`` of them are queries as well."""
-    n, chars = volume(docs)
+    n = docs.count()
     cut = cuts(docs, [n_skip], seed=cfg.seed).get(n_skip) if n_skip <= n else None
     is_query = ~up_to(cut) if n_skip <= n else F.lit(False)
     roles = [role(0, F.lit(True), F.lit(True), is_query)]
-    return Split(with_roles(docs, cfg, roles), cfg, {0: n}, (chars, chars))
-
-
-def volume(docs: DataFrame) -> tuple[int, int]:
-    """Documents and characters of a corpus."""
-    row = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    return row[0], row[1]
+    return Split(with_roles(docs, cfg, roles), cfg, {0: n})
 
 
 def signed(split: Split) -> DataFrame:
@@ -108,11 +97,20 @@ def signed(split: Split) -> DataFrame:
 
 
 def exact_sides(split: Split) -> tuple[DataFrame, DataFrame, Callable, tuple[int, int]]:
-    """Query and train shingle sets for a search in blocks, with their scorer and sizes."""
+    """Query and train shingle sets for a search in blocks, with their scorer and sizes.
+
+    The sizes are the characters of both sides over all cells: a text has at most as many shingles.
+    """
+
+    def chars(role: str) -> Column:
+        cells = F.size(F.filter("roles", lambda r: r[role]))
+        return F.coalesce(F.sum(F.length("text") * cells), F.lit(0)).cast("long")
+
+    sizes = split.docs.filter(F.size("roles") > 0).agg(chars("is_query"), chars("is_train")).first()
     shingles = shingle_ids(F.col("text"), split.cfg.shingle_size).alias("shingles")
     queries = split.side("is_query", F.col("doc_id").alias("query_id"), shingles)
     train = split.side("is_train", "doc_id", "order_key", shingles)
-    return queries, train, set_scorer("shingles"), split.chars
+    return queries, train, set_scorer("shingles"), (sizes[0], sizes[1])
 
 
 def signature_sides(table: DataFrame, column: str = "sig") -> tuple[DataFrame, DataFrame, Callable, tuple[int, int]]:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from akin.config import PRIME
 from akin.functions.signature import minhash
 from akin.functions.text import normalise, strip_prefix, title_and_text
 from akin.operators.evaluate import query_stats
@@ -24,13 +25,23 @@ def keyword_input(docs: DataFrame) -> DataFrame:
 
 
 def keyword_signatures(docs: DataFrame, sizes: tuple[int, ...], num_perm: int) -> DataFrame:
-    """doc_id and one signature column ``kw_<m>`` per number of keywords, written once.
+    """doc_id and one signature column ``kw_<m>`` per number of keywords for every document, written once.
 
-    The keywords are extracted once for the largest number; the smaller sets are their first ones.
+    The keywords are extracted once for the largest number; the smaller sets are their first ones. A document
+    without keywords keeps its place: the signature of the empty list is the maximum in every position.
     """
     keywords = materialise(extract_keywords(keyword_input(docs), max(sizes)), "keywords")
     signatures = [minhash(keyword_ids(F.col("keywords"), m), num_perm).alias(f"kw_{m}") for m in sizes]
-    return materialise(keywords.select("doc_id", *signatures), "keyword-signatures")
+    signed_lists = docs.select("doc_id").join(keywords.select("doc_id", *signatures), "doc_id", "left")
+    nothing = F.array_repeat(F.lit(PRIME).cast("long"), num_perm)
+    every = [F.coalesce(f"kw_{m}", nothing).alias(f"kw_{m}") for m in sizes]
+    return materialise(signed_lists.select("doc_id", *every), "keyword-signatures")
+
+
+def with_a_role(split: Split, docs: DataFrame) -> DataFrame:
+    """The documents of ``docs`` that some cell of the split holds."""
+    asked = split.docs.filter(F.size("roles") > 0).select("doc_id")
+    return docs.join(asked, "doc_id", "left_semi")
 
 
 def keyword_quality(split: Split, docs: DataFrame) -> DataFrame:
@@ -55,7 +66,7 @@ def keyword_sweep(split: Split, docs: DataFrame, sizes: tuple[int, ...], tops: t
     cfg = split.cfg
     n = max(tops)
     table = materialise(
-        signed(split).join(keyword_signatures(docs, sizes, cfg.num_perm), "doc_id"), "keyword-table"
+        signed(split).join(keyword_signatures(with_a_role(split, docs), sizes, cfg.num_perm), "doc_id"), "keyword-table"
     )
     exact = materialise(exact_top(split, n), "exact")
     approximate = materialise(signature_top(table, n), "approximate")

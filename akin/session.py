@@ -1,23 +1,22 @@
-"""Where intermediate and result tables are written."""
+"""Where intermediate and result tables are written, and how they are released."""
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Paths of the intermediate tables written since the last release, by application.
+_written: dict[str, list[str]] = {}
+
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only for a local master."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or one beside the warehouse if unset."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="akin-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_akin"
     return folder.rstrip("/")
 
 
@@ -28,16 +27,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: shared by several consumers, safe from lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
-def spread(df: DataFrame, id_col: str) -> DataFrame:
-    """Deal the rows of a table of few files to all cores; larger tables stay as scanned.
 
-    A file of one row group is read by one task, which would leave a small table to one core. With
-    at least one file per core the scan is parallel as it is and no row is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2, id_col) if len(df.inputFiles()) < cores else df
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of all results that have been consumed; call it at the end of a run."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -14,7 +14,7 @@ from akin.operators.blocks import profile
 from akin.operators.evaluate import candidate_flags, candidate_overlap, list_overlap, result_overlap
 from akin.operators.skew import sliced_join
 from akin.plans import accuracy, corpus, keyword_quality, quality
-from akin.session import fresh_path, materialise, spread
+from akin.session import fresh_path, materialise
 from akin.sources import articles, crawl, sinks
 
 CFG = SearchConfig()
@@ -47,17 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    # The given files are single row groups, which the reader cannot split: deal their rows to all cores. The
+    # library itself takes tables as they are scanned.
+    docs = table(spark, sf_dir, "documents").repartition("doc_id")
     return docs.select("doc_id", F.concat(F.lit("A/"), F.col("doc_id").cast("string")).alias("title"), "text")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
+    return table(spark, sf_dir, "pages").repartition("page_id")
 
 
 def whole_split(spark: SparkSession, sf_dir: str) -> tuple[corpus.Split, DataFrame]:
     # The pages are parsed once; the text is a fraction of the markup.
-    docs = materialise(articles.page_documents(spread(pages(spark, sf_dir), "page_id")), "page-texts")
+    docs = materialise(articles.page_documents(pages(spark, sf_dir)), "page-texts")
     return corpus.whole(docs, WHOLE, WHOLE_SKIP), docs
 
 
@@ -307,7 +309,7 @@ def shingle_digest(spark: SparkSession, sf_dir: str, k: int, mode: str = "exact"
             F.md5(F.array_join(F.sort_array(s), "\x1f")).alias("digest"),
         ),
     )
-    docs = spread(documents(spark, sf_dir), "doc_id").filter(F.length(clean) >= k)
+    docs = documents(spark, sf_dir).filter(F.length(clean) >= k)
     return docs.select("doc_id", summary.alias("summary")).select("doc_id", "summary.*")
 
 
@@ -323,7 +325,7 @@ def shingle_set_upto(spark, sf_dir):
 
 def counted(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     clean = text.normalise(F.col("text"))
-    docs = spread(documents(spark, sf_dir), "doc_id").filter(F.length(clean) >= k)
+    docs = documents(spark, sf_dir).filter(F.length(clean) >= k)
     return docs.select("doc_id", text.shingle_counts(clean, k).alias("counts")).select("doc_id", "counts.*")
 
 
@@ -333,7 +335,7 @@ def shingle_counts(spark, sf_dir):
 
 
 def clean_signatures(spark: SparkSession, sf_dir: str, cfg: SearchConfig) -> DataFrame:
-    docs = spread(documents(spark, sf_dir), "doc_id")
+    docs = documents(spark, sf_dir)
     signed = signature.text_signature(text.normalise(F.col("text")), cfg.shingle_size, cfg.num_perm)
     return docs.select("doc_id", signed.alias("signed")).select("doc_id", "signed.n_shingles", "signed.sig")
 
@@ -356,7 +358,7 @@ def signature_batch(spark, sf_dir):
 
 @query
 def generate_sig(spark, sf_dir):
-    docs = spread(documents(spark, sf_dir), "doc_id")
+    docs = documents(spark, sf_dir)
     signed = signature.text_signature(F.col("text"), KEYWORDS.shingle_size, KEYWORDS.num_perm)
     rows = docs.select("doc_id", signed.alias("signed"))
     return rows.select(
@@ -367,7 +369,7 @@ def generate_sig(spark, sf_dir):
 @query
 def keyword_terms(spark, sf_dir):
     docs = keyword_quality.keyword_input(documents(spark, sf_dir))
-    features = keywords.term_features(keywords.tokens(spread(docs, "doc_id")))
+    features = keywords.term_features(keywords.tokens(docs))
     return features.select(
         "doc_id", "term", "tf", "tf_acronym", "tf_proper", F.col("median_sentence").cast("double"),
         "n_left", "all_left", "n_right", "all_right", "n_sentences", F.round("score", 9).alias("score"),
@@ -396,7 +398,7 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive pairs with the raw shingle sets of both documents."""
-    docs = spread(documents(spark, sf_dir), "doc_id")
+    docs = documents(spark, sf_dir)
     sets = materialise(docs.select("doc_id", text.shingle_ids(F.col("text"), METRICS.shingle_size).alias("set")), "sets")
     pairs = neighbours(spark, sf_dir).select("pos", "a_doc_id", "b_doc_id")
     for side in ("a", "b"):

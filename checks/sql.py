@@ -238,7 +238,9 @@ def keyword_tables(m: int, limit_name: str = "kw") -> list[str]:
 def keyword_sign(m: int, num_perm: int, name: str = "kw_sig") -> str:
     ids = f"""(SELECT doc_id, (('0x' || substr(md5(keyword), 1, 15))::BIGINT & {PRIME}) AS h FROM kw
   WHERE rank <= {m})"""
-    return sign_ids(ids, num_perm, name)
+    return f"""{sign_ids(ids, num_perm, name + '_found')},
+{name} AS (SELECT doc_id, coalesce(sig, list_transform(range({num_perm}), lambda x: {PRIME}::BIGINT)) AS sig
+  FROM corpus LEFT JOIN {name}_found USING (doc_id))"""
 
 
 def readable_keyword_sign(m: int, num_perm: int, name: str = "kw_sig") -> str:

@@ -1,12 +1,13 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from akin.operators import keywords, textsearch
-from akin.config import SearchConfig
-from akin.plans import corpus, keyword_quality
-from akin.session import CHECKPOINT_DIR, scratch_folder
+from akin.config import PRIME, SearchConfig
+from akin.plans import corpus, keyword_quality, quality
+from akin.session import CHECKPOINT_DIR, materialise, release, scratch_folder
 from akin.sources import articles, crawl, sinks
 from tests import fixtures
 
@@ -127,3 +128,47 @@ def test_scratch_folder_is_the_one_of_the_session(spark):
 def test_words_split_at_anything_but_letters_and_digits(spark):
     row = spark.createDataFrame([("Ab-c é1, ",)], "t string").select(textsearch.words(F.col("t"))).first()[0]
     assert row == ["ab", "c", "é1"]
+
+
+def stop_documents(spark):
+    """Forty documents; those of an id divisible by 4 have stopwords only, so their keyword list is empty."""
+    words = "apple river stone cloud paper lamp horse green".split()
+    rows = []
+    for i in range(40):
+        text = "and the of to in with for from by that " * 3 if i % 4 == 0 else " ".join(words[(i + j) % 8] for j in range(12))
+        rows.append((i, "the", text))
+    return spark.createDataFrame(rows, "doc_id long, title string, text string")
+
+
+def test_documents_without_keywords_stay_in_every_search(spark):
+    docs = stop_documents(spark)
+    cfg = SearchConfig(num_perm=16)
+    signed = {r["doc_id"]: r["kw_5"] for r in keyword_quality.keyword_signatures(docs, (5,), 16).collect()}
+    assert set(signed) == set(range(40))
+    assert all((signed[i] == [PRIME] * 16) == (i % 4 == 0) for i in signed)
+    split = corpus.holdout(docs, cfg)
+    table = corpus.signed(split).join(keyword_quality.keyword_signatures(docs, (5,), 16), "doc_id")
+    assert table.count() == corpus.signed(split).count() == 40
+    by_keyword = corpus.signature_top(table, 3, "kw_5").collect()
+    assert len(by_keyword) == len(corpus.signature_top(corpus.signed(split), 3).collect())
+    # A query without keywords finds the documents that have none either.
+    for r in by_keyword:
+        if r["query_id"] % 4 == 0:
+            assert r["doc_id"] % 4 == 0 and r["score"] == 1.0
+
+
+def test_keyword_and_plain_statistics_agree_on_the_plain_searches(spark):
+    docs = stop_documents(spark)
+    cfg = SearchConfig(num_perm=16, n_keywords=5)
+    split = corpus.holdout(docs, cfg)
+    plain = {r["query_id"]: (r["n_candidates"], r["overlap_lsh"], r["overlap_sig"]) for r in quality.search_quality(split)[0].collect()}
+    both = {r["query_id"]: (r["n_candidates"], r["overlap_lsh"], r["overlap_sig"]) for r in keyword_quality.keyword_quality(split, docs).collect()}
+    assert plain == both
+
+
+def test_released_tables_are_gone(spark):
+    table = materialise(spark.range(5), "five")
+    folder = table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    assert table.count() == 5 and os.path.isdir(folder)
+    release(spark)
+    assert not os.path.exists(folder)

@@ -208,3 +208,23 @@ def test_self_accuracy_equals_brute_force(spark):
                 guess = (sigs[a] == sigs[b]).mean()
                 total += 100.0 if real == guess else 0.0 if guess == 0 else abs(real - guess) / guess * 100
         assert rows[a]["n_pairs"] == len(chosen) - 1 and rows[a]["sum_pct_diff"] == pytest.approx(total)
+
+
+@pytest.mark.parametrize("hot_many, hot_few", [(400, 1), (1, 400), (300, 300)])
+def test_sliced_join_of_a_key_hot_on_either_side(spark, hot_many, hot_few):
+    many = [(0, i) for i in range(hot_many)] + [(k, 1000 + k) for k in range(1, 40)]
+    few = [(0, f"x{i}") for i in range(hot_few)] + [(k, f"y{k}") for k in range(20, 60)] + [(0, "x0")]
+    left = spark.createDataFrame(many, "k int, i int")
+    right = spark.createDataFrame(few, "k int, v string")
+    got = skew.sliced_join(left, right, ["k"], "i", slice_rows=50)
+    assert got.columns == ["k", "i", "v"]
+    want = sorted(map(tuple, left.join(right, "k").collect()))
+    assert sorted(map(tuple, got.collect())) == want
+    hot = skew.hot_keys(left, ["k"], "n", 50).collect()
+    assert [r["k"] for r in hot] == ([0] if hot_many > 50 else [])
+
+
+def test_more_hot_keys_than_a_list_could_name(spark):
+    many = spark.range(1200 * 12).select((F.col("id") % 1200).alias("k"), F.col("id").alias("i"))
+    few = spark.range(1200).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    assert skew.sliced_join(many, few, ["k"], "i", slice_rows=10).count() == 1200 * 12
