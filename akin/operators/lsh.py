@@ -45,11 +45,8 @@ def candidate_classes(queries: DataFrame, train: DataFrame, bands: tuple[int, in
         asked.groupBy("cell", "query_class").agg(F.first("sig").alias("sig")).select("cell", "query_class", buckets),
         "band-probes",
     )
-    found = (
-        sliced_join(index, probes, ["cell", "band", "bucket"], "first_doc_id")
-        .select("cell", "query_class", "first_doc_id", "n_docs")
-        .distinct()
-    )
+    matches = sliced_join(index, probes, ["cell", "band", "bucket"], "first_doc_id")
+    found = materialise(matches.select("cell", "query_class", "first_doc_id", "n_docs").distinct(), "band-matches")
     members = asked.select("cell", "query_class", F.col("doc_id").alias("query_id"))
     return sliced_join(members, found, ["cell", "query_class"], "query_id").select(
         "cell", "query_id", "first_doc_id", "n_docs"
@@ -69,4 +66,6 @@ def candidate_documents(queries: DataFrame, train: DataFrame, bands: tuple[int,
         train.select("cell", class_key(F.col("sig")).alias("class_id"), "doc_id"), first, ["cell", "class_id"], "doc_id"
     )
     found = candidate_classes(queries, train, bands).select("cell", "query_id", "first_doc_id")
+    # Both sides are read for their frequencies and for the join.
+    members, found = materialise(members, "class-members"), materialise(found, "candidate-classes")
     return sliced_join(members, found, ["cell", "first_doc_id"], "doc_id").select("cell", "query_id", "doc_id")

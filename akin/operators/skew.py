@@ -12,7 +12,7 @@ SLICE_ROWS = 100_000
 def hot_keys(side: DataFrame, keys: list[str], slices: str, slice_rows: int) -> DataFrame:
     """Keys with more rows than an average task has (``slice_rows`` at least), and their number of slices.
 
-    Rows are counted with a partial aggregate. With t tasks at most t keys can lie above the average, so the
+    Rows are counted with a partial aggregate, in jobs of their own: pass written tables, not long plans. With t tasks at most t keys can lie above the average, so the
     result has no more rows than that at any size of ``side``.
     """
     tasks = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -33,6 +33,7 @@ ID_LIMIT = 100
 NUM_PERMS = (4, 8, 16, 32, 64, 128, 256)
 SHINGLE_SIZES = (2, 4, 6, 8, 10, 12)
 REPETITIONS = 20
+RUNS = ("first", "second")
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -146,10 +147,12 @@ def union_frames(spark, sf_dir):
 
 
 def through_sink(rows: DataFrame, name: str) -> DataFrame:
-    """Append the rows as two runs' worth of files and read the table back without the run."""
+    """Append the rows as two runs and read the table back: every row once for each ``run``."""
     spark, path = rows.sparkSession, fresh_path(rows.sparkSession, name)
-    sinks.append_rows(rows, path, "first")
-    return sinks.read_rows(spark, path, rows).drop("run")
+    rows = materialise(rows, f"{name}-rows")
+    for run in RUNS:
+        sinks.append_rows(rows, path, run)
+    return sinks.read_rows(spark, path, rows)
 
 
 @query
@@ -505,6 +508,13 @@ def lsh_candidates(spark, sf_dir):
     return found.select("query_id", "first_doc_id", "n_docs")
 
 
+@query
+def lsh_documents(spark, sf_dir):
+    signed = corpus.signed(run_of(spark, sf_dir))
+    found = lsh.candidate_documents(signed.filter("is_query"), signed.filter("is_train"), CFG.bands)
+    return found.select("query_id", "doc_id")
+
+
 @query
 def topk_exact(spark, sf_dir):
     return corpus.exact_top(run_of(spark, sf_dir), CFG.n_results).drop("cell")
@@ -524,7 +534,7 @@ def topk_keyword(spark, sf_dir):
 @query
 def external_results(spark, sf_dir):
     split, docs = whole_split(spark, sf_dir)
-    top = keyword_quality.external_top(split, WHOLE.n_results)
+    top = materialise(keyword_quality.external_top(split, WHOLE.n_results), "external")
     titles = docs.select("doc_id", text.underscore(F.col("title")).alias("title"))
     named = sliced_join(top, titles, ["doc_id"], "query_id")
     return named.select("query_id", "rank", "doc_id", "title", "shared", "score")

@@ -633,6 +633,7 @@ def oracles() -> dict[str, str]:
         "lsh_candidates": chain(*base, bands(CFG), CANDIDATES) + """SELECT query_id, first_doc_id, count(*) AS n_docs FROM
   candidates JOIN (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sig ORDER BY pos) AS first_doc_id
     FROM sig JOIN train USING (doc_id)) USING (doc_id) GROUP BY query_id, first_doc_id""",
+        "lsh_documents": chain(*base, bands(CFG), CANDIDATES) + "SELECT query_id, doc_id FROM candidates",
         "topk_exact": chain(*no_sig, top("exact_pairs", "exact_top", n)) + "SELECT * FROM exact_top",
         "topk_signature": chain(*base, sig_pairs(), top("sig_pairs", "sig_top", n)) + "SELECT * FROM sig_top",
         "topk_keyword": chain(*kw, sig_pairs("kw_sig", "kw_pairs"), top("kw_pairs", "kw_top", n)) + "SELECT * FROM kw_top",
@@ -674,4 +675,6 @@ def oracles() -> dict[str, str]:
         "sweep_topn": sweep_topn(),
         "sweep_accuracy": sweep_accuracy(),
     }
-    return out
+    # A sink holds the rows of both runs.
+    runs = "(VALUES ('first'), ('second')) AS runs(run)"
+    return {name: f"SELECT * FROM ({q}) AS r, {runs}" if name.startswith("sink_") else q for name, q in out.items()}
