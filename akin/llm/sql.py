@@ -1,7 +1,69 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express at small sizes."""
 
 from __future__ import annotations
 
+VECTORS = """good AS (SELECT vec_id, min(embedding)::DOUBLE[] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id)"""
+
+# The smallest node reached over links (a, b) from every node.
+COMPONENTS = """reach AS (SELECT node, node AS c FROM nodes UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.node),
+components AS (SELECT node, min(c) AS component_id FROM reach GROUP BY node)"""
+
+NEAR_VECTORS = f"""WITH RECURSIVE {VECTORS},
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+  WHERE len(list_filter(x.v, lambda z: z <> 0)) > 0 AND len(list_filter(y.v, lambda z: z <> 0)) > 0
+    AND list_cosine_similarity(x.v, y.v) >= 0.9),
+nodes AS (SELECT DISTINCT vec_id AS node FROM embeddings),
+{COMPONENTS},
+counts AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN components ON node = vec_id LEFT JOIN counts USING (node)"""
+
+TOP_SCORES = f"""WITH {VECTORS},
+whole AS (SELECT vec_id, list_transform(v, lambda x: floor(256 * x)) AS v FROM good),
+pairs AS (SELECT x.vec_id AS query_id, y.vec_id, list_inner_product(x.v, y.v)::BIGINT AS score
+  FROM whole x JOIN whole y ON x.vec_id % 50 = 0 AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs)
+SELECT query_id, place::INTEGER AS rank, vec_id, score FROM ranked WHERE place <= 5"""
+
+NEAR_DOCUMENTS = f"""WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+lists AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END AS s FROM words),
+shingles AS (SELECT DISTINCT doc_id, unnest(s) AS s FROM lists),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= 75 * (x.n + y.n - common.n)),
+nodes AS (SELECT DISTINCT doc_id AS node FROM documents),
+{COMPONENTS}
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, documents.doc_id = component_id AS kept
+FROM documents JOIN components ON node = documents.doc_id LEFT JOIN sizes ON sizes.doc_id = documents.doc_id"""
+
+REPEATS = """WITH whole AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+strings AS (SELECT doc_id, i, array_slice(b, i + 1, i + 100) AS s
+  FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 99)) AS i FROM whole)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM strings)
+  WHERE nth > 1),
+marked AS (SELECT doc_id, i, coalesce(i > lag(i) OVER p + 100, true)::INTEGER AS new FROM later
+  WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+spans AS (SELECT doc_id, min(i) AS low, max(i) + 100 AS high
+  FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+kept AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS low, low AS high FROM spans
+  UNION ALL SELECT doc_id, max(high), any_value(octet_length(b)) FROM spans JOIN whole USING (doc_id) GROUP BY doc_id),
+rest AS (SELECT doc_id, unhex(string_agg(hex(array_slice(b, low + 1, high)), '' ORDER BY low)) AS b
+  FROM kept JOIN whole USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, sum(high - low) AS n, count(*) AS runs FROM spans GROUP BY doc_id)
+SELECT doc_id, octet_length(whole.b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(runs, 0)::BIGINT AS n_spans,
+  sha256(coalesce(rest.b, whole.b)) AS kept_sha256 FROM whole LEFT JOIN rest USING (doc_id) LEFT JOIN counts USING (doc_id)"""
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {
+        "op1_hnsw_near_dedup": NEAR_VECTORS,
+        "op2_suffix_dedup": REPEATS,
+        "op4_impact_search": TOP_SCORES,
+        "op5_coordinate_join": NEAR_DOCUMENTS,
+    }

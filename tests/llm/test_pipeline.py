@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as driver
 import corpus_pipeline
 from akin.llm import minhash, quality, suffix_dedup, toxicity
+from akin.llm.sql import oracles
 from akin.llm.tables import written
 from tests.llm.test_repeats import brute_near, brute_repeats
 
@@ -20,6 +21,18 @@ def test_all_are_registered():
     assert set(driver.oracle_sql()) <= set(names)
 
 
+@pytest.mark.parametrize("name", sorted(oracles()))
+def test_queries_equal_their_sql(spark, name):
+    base = pytest.importorskip("duckdb").connect()
+    for t in ("documents", "embeddings"):
+        base.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    got, want = driver.queries()[name](spark, SMALL), base.sql(driver.oracle_sql()[name])
+    columns = sorted(want.columns)
+    assert columns == sorted(got.columns)
+    rows = sorted(map(repr, (tuple(r) for r in got.select(*columns).collect())))
+    assert rows == sorted(map(repr, want.select(", ".join(f'"{c}"' for c in columns)).fetchall()))
+
+
 def test_every_stage_takes_effect(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
