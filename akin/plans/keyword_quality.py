@@ -19,9 +19,10 @@ from akin.session import materialise
 
 
 def keyword_input(docs: DataFrame) -> DataFrame:
-    """doc_id and full_text: the title without its prefix, then the clean text."""
+    """doc_id, lang and full_text: the title without its prefix, then the clean text. ``lang`` is null if ``docs`` has none."""
     full_text = title_and_text(strip_prefix(F.col("title")), normalise(F.col("text")))
-    return docs.select("doc_id", full_text.alias("full_text")).filter(F.col("full_text").isNotNull())
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", lang.alias("lang"), full_text.alias("full_text")).filter(F.col("full_text").isNotNull())
 
 
 def keyword_signatures(docs: DataFrame, sizes: tuple[int, ...], num_perm: int) -> DataFrame:

@@ -47,11 +47,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with their language, which chooses the stopwords."""
     # The given files are single row groups, which the reader cannot split: deal their rows to all cores. The
     # library itself takes tables as they are scanned.
     docs = table(spark, sf_dir, "documents").repartition("doc_id")
-    return docs.select("doc_id", F.concat(F.lit("A/"), F.col("doc_id").cast("string")).alias("title"), "text")
+    return docs.select("doc_id", F.concat(F.lit("A/"), F.col("doc_id").cast("string")).alias("title"), "text", "lang")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spoken(spark, sf_dir).drop("lang")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +185,7 @@ def sink_metrics(spark, sf_dir):
 @query
 def sink_doc_stats(spark, sf_dir):
     cfg = KEYWORDS
-    docs = documents(spark, sf_dir)
+    docs = spoken(spark, sf_dir)
     counts = counted(spark, sf_dir, cfg.shingle_size)
     found = keywords.extract_keywords(keyword_quality.keyword_input(docs), cfg.n_keywords)
     rows = counts.join(found, "doc_id").select(
@@ -207,7 +212,7 @@ def strip_prefix(spark, sf_dir):
 
 @query
 def title_text(spark, sf_dir):
-    return keyword_quality.keyword_input(documents(spark, sf_dir))
+    return keyword_quality.keyword_input(documents(spark, sf_dir)).select("doc_id", "full_text")
 
 
 @query
@@ -371,7 +376,7 @@ def generate_sig(spark, sf_dir):
 
 @query
 def keyword_terms(spark, sf_dir):
-    docs = keyword_quality.keyword_input(documents(spark, sf_dir))
+    docs = keyword_quality.keyword_input(spoken(spark, sf_dir))
     features = keywords.term_features(keywords.tokens(docs))
     return features.select(
         "doc_id", "term", "tf", "tf_acronym", "tf_proper", F.col("median_sentence").cast("double"),
@@ -381,14 +386,14 @@ def keyword_terms(spark, sf_dir):
 
 @query
 def keyword_extract(spark, sf_dir):
-    docs = keyword_quality.keyword_input(documents(spark, sf_dir))
+    docs = keyword_quality.keyword_input(spoken(spark, sf_dir))
     return keywords.keyword_rows(keywords.extract_keywords(docs, KEYWORDS.n_keywords))
 
 
 @query
 def keyword_signature(spark, sf_dir):
     m = KEYWORDS.n_keywords
-    rows = keyword_quality.keyword_signatures(documents(spark, sf_dir), (m,), KEYWORDS.num_perm)
+    rows = keyword_quality.keyword_signatures(spoken(spark, sf_dir), (m,), KEYWORDS.num_perm)
     return rows.select("doc_id", signature.joined(F.col(f"kw_{m}")).alias("sig"))
 
 
@@ -481,7 +486,7 @@ def pairs_signature(spark, sf_dir):
 
 
 def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, m = documents(spark, sf_dir), KEYWORDS.n_keywords
+    docs, m = spoken(spark, sf_dir), KEYWORDS.n_keywords
     signed = corpus.signed(run_of(spark, sf_dir, KEYWORDS))
     return signed.join(keyword_quality.keyword_signatures(docs, (m,), KEYWORDS.num_perm), "doc_id")
 
@@ -606,7 +611,7 @@ def query_stats(spark, sf_dir):
 
 @query
 def keyword_stats(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs = spoken(spark, sf_dir)
     rows = keyword_quality.keyword_quality(run_of(spark, sf_dir, KEYWORDS), docs)
     return with_config(rows, KEYWORDS).withColumn("n_keywords", F.lit(KEYWORDS.n_keywords).cast("long"))
 
@@ -680,7 +685,7 @@ def sweep_size_perm(spark, sf_dir):
 
 @query
 def sweep_keywords(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs = spoken(spark, sf_dir)
     split = corpus.holdout(docs, KEYWORDS, KEYWORD_CONTENT)
     rows = keyword_quality.keyword_sweep(split, docs, KEYWORD_SIZES, TOPS)
     return rows.join(cell_values(spark, split, KEYWORD_CONTENT), "cell").drop("cell")

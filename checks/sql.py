@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from akin.config import PRIME, SearchConfig, permutations
 from akin.functions.text import HTML_RULES, ID_BASE, LAST_SHIFT, MIX
-from akin.operators.keywords import CHUNK_END, DUPLICATE_LIMIT, SENTENCE_END, stopwords
+from akin.operators.keywords import CHUNK_END, DUPLICATE_LIMIT, SENTENCE_END
 from akin.operators.textsearch import WORD_GAP
 from checks.queries import (
     CFG,
@@ -180,8 +180,21 @@ def query_sizes(cfg: SearchConfig) -> str:
 # ---- keywords ----
 
 
-def keyword_tables(m: int, limit_name: str = "kw") -> list[str]:
-    stop = ", ".join(f"'{w}'" for w in stopwords())
+# The stopwords of each language, held here apart from the library's.
+STOP = {
+    "en": """a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which who will with you""",
+    "de": """aber als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht noch nur oder sich sie sind so um und von vor war wie wird zu zum""",
+    "fr": """au aux avec ce ces cette dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas pour qu que qui sa se ses son sont sur un une vous""",
+    "es": """al como con de del el en entre era es esta este fue ha la las lo los más me no nos o para pero por que se si sin sobre su sus un una y ya""",
+}
+
+
+def keyword_tables(m: int, limit_name: str = "kw", lang: bool = True) -> list[str]:
+    quoted = lambda text: ", ".join(f"'{w}'" for w in text.split())
+    cases = " ".join(f"WHEN '{name}' THEN term NOT IN ({quoted(text)})" for name, text in STOP.items())
+    any_list = f"term NOT IN ({quoted(' '.join(STOP.values()))})"
+    content = f"CASE lang {cases} ELSE {any_list} END" if lang else any_list
+    spoken = "grouped LEFT JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)" if lang else "grouped"
     # DuckDB counts edited bytes: the accented letters of the lower-case keywords become one byte.
     one_byte = "translate({}.keyword, 'ßäçèéêíñóöü', 'ABCDEFGHIJK')"
     similar = f"""1.0::DOUBLE - levenshtein({one_byte.format('y')}, {one_byte.format('x')}) / greatest(len(y.keyword), len(x.keyword))::DOUBLE
@@ -204,8 +217,8 @@ def keyword_tables(m: int, limit_name: str = "kw") -> list[str]:
   median(sentence)::DOUBLE AS median_sentence, count(DISTINCT lft) AS n_left, count(lft) AS all_left,
   count(DISTINCT rgt) AS n_right, count(rgt) AS all_right, count(DISTINCT sentence) AS n_sentences,
   max(sentence) AS last_sentence FROM words GROUP BY doc_id, term)""",
-        f"""stats AS (SELECT *, term NOT IN ({stop}) AS is_content, max(tf) OVER d AS max_tf,
-  max(last_sentence) OVER d + 1 AS doc_sentences FROM grouped WINDOW d AS (PARTITION BY doc_id))""",
+        f"""stats AS (SELECT *, {content} AS is_content, max(tf) OVER d AS max_tf,
+  max(last_sentence) OVER d + 1 AS doc_sentences FROM {spoken} WINDOW d AS (PARTITION BY doc_id))""",
         """scaled AS (SELECT s.*, CASE WHEN is_content THEN tf_scale END AS tf_scale FROM stats s
   LEFT JOIN (SELECT doc_id, (sum(tf) + sqrt((count(*) * sum(tf * tf) - sum(tf) * sum(tf))::DOUBLE)) / count(*) AS tf_scale
     FROM stats WHERE is_content GROUP BY doc_id) USING (doc_id))""",
@@ -462,7 +475,7 @@ def whole_corpus(n: int) -> list[str]:
 
 def sweep_topn() -> str:
     cfg, n = WHOLE, max(TOPS)
-    ctes = whole_corpus(n) + [sig_pairs(), top("sig_pairs", "sig_top", n), *keyword_tables(cfg.n_keywords)]
+    ctes = whole_corpus(n) + [sig_pairs(), top("sig_pairs", "sig_top", n), *keyword_tables(cfg.n_keywords, lang=False)]
     ctes += [readable_keyword_sign(cfg.n_keywords, cfg.num_perm), sig_pairs("kw_sig", "kw_pairs"), top("kw_pairs", "kw_top", n)]
     selects = []
     for t in TOPS:

@@ -15,7 +15,7 @@ TEXT = "Spark engines sort data. The Spark engine reads NASA data, and sorts it!
 
 
 def features(spark, text):
-    docs = spark.createDataFrame([(1, text)], "doc_id long, full_text string")
+    docs = spark.createDataFrame([(1, None, text)], "doc_id long, lang string, full_text string")
     return {r["term"]: r for r in keywords.term_features(keywords.tokens(docs)).collect()}
 
 
@@ -40,13 +40,24 @@ def test_term_score_by_hand(spark):
 
 
 def test_candidates_hold_no_stopword_and_stay_in_a_chunk(spark):
-    docs = spark.createDataFrame([(1, TEXT)], "doc_id long, full_text string")
+    docs = spark.createDataFrame([(1, "en", TEXT)], "doc_id long, lang string, full_text string")
     found = {r["keyword"] for r in keywords.candidates(keywords.term_features(keywords.tokens(docs))).collect()}
     assert {"spark engines sort", "nasa data", "data"} <= found
     assert not any(w in keywords.stopwords() for k in found for w in k.split())
     assert "data spark" not in found and "data sorts" not in found and "reads nasa data" in found
 
 
+def test_stopwords_follow_the_language(spark):
+    rows = [(lang, f"The war hat son die. {lang or 'x'} words") for lang in ("en", "de", "fr", "es", "nl", None)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, full_text string")
+    found = keywords.term_features(keywords.tokens(docs)).where("not is_content").collect()
+    stopped = {i: {r["term"] for r in found if r["doc_id"] == i} for i in range(len(rows))}
+    assert stopped[0] == {"the"}
+    assert stopped[1] == {"war", "hat", "die"}
+    assert stopped[2] == {"son"}
+    assert stopped[4] == stopped[5] == {"the", "war", "hat", "son", "die"}
+
+
 def test_near_duplicates_are_left_out_but_the_list_is_filled(spark):
     scored = spark.createDataFrame(
         [(1, 1, "information systems", 0.1), (1, 1, "information system", 0.2), (1, 1, "other", 0.3), (1, 1, "last", 0.4)],
