@@ -159,8 +159,7 @@ def _true_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
                 common[i, j] = sizes[x] if x == y else len(np.intersect1d(sets[x], sets[y], assume_unique=True))
     else:
         owner = np.repeat(np.arange(len(sets)), sizes)
-        names, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        del names
+        _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         # Shingles of one document only are common to nothing.
         several = np.cumsum(often > 1) - 1
         use = often[at] > 1
