@@ -1,23 +1,25 @@
 """Near duplicates among embeddings with hierarchical navigable small-world graphs.
 
-Vectors are dealt to shards by their id; each shard builds its own graph and writes it to the shared folder. Every vector
-then searches every shard, in blocks of queries. A search descends the layers and keeps a beam; a beam whose
-worst member still links is widened until it is not, and an audit against brute force on a few queries of each
-block widens all beams until it finds its share of the true nearest neighbours. Links found are confirmed in
-double precision. A task returns the number of links of each query and a spanning forest of the links; the components
-of the forests are the result.
+Equal vectors are one node with a number of copies. Nodes are dealt to shards by their id; each shard builds its own graph
+and writes it to the shared folder. Every node then searches every shard, in blocks of queries. A search descends the
+layers and keeps a beam; a beam whose worst member still links is widened until it is not, and an audit against brute
+force on a few queries of each block widens all beams until it finds all their links and its share of the true nearest
+neighbours. Where a beam would cost more than comparing the whole shard, the shard is compared, and rows that no
+path leads to are always compared. Links found are confirmed in double precision. A task returns the number of links of
+each query and a spanning forest of the links; the components of the forests are the result.
 """
 
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from akin.llm.components import Forest, components
+from akin.llm.components import components
 from akin.llm.tables import written
 from akin.llm.vectors import one_per_id
 
@@ -26,6 +28,7 @@ SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 100_000, 16_384
 LINKS, LINKS_BELOW, FANOUT = 16, 32, 16
 BUILD_BEAM, BEAM, DESCENT = 64, 64, 8
 BATCH, VISITED = 512, 1 << 25
+COMPARED, PAIRS = 1 << 22, 1 << 17
 AUDIT, RECALL = 64, 0.97
 SLACK = 1e-4
 
@@ -154,6 +157,17 @@ class Graph:
     def search(self, query: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         return self._beam(query, self.layers[0], self._entries(query, 1), min(width, len(self.vectors)))
 
+    def unreached(self) -> np.ndarray:
+        """Rows that no path of the lowest layer leads to from the first row."""
+        seen = np.zeros(len(self.vectors) + 1, bool)  # the last place stands for -1
+        fresh = np.zeros(1, np.int64)
+        seen[[0, -1]] = True
+        while len(fresh):
+            fresh = np.unique(self.layers[0][fresh])
+            fresh = fresh[~seen[fresh]]
+            seen[fresh] = True
+        return np.flatnonzero(~seen)
+
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -166,37 +180,78 @@ def _build(frame: pd.DataFrame) -> pd.DataFrame:
     vectors = unit(np.stack(frame["embedding"].to_numpy())[order])
     graph = Graph(vectors)
     stored = io.BytesIO()
-    np.savez(stored, ids=ids, vectors=vectors, **{f"l{i}": x for i, x in enumerate(graph.layers)})
+    copies = frame["copies"].to_numpy(np.int64)[order]
+    np.savez(stored, ids=ids, copies=copies, vectors=vectors, **{f"l{i}": x for i, x in enumerate(graph.layers)})
     return pd.DataFrame({"dim": [int(frame["dim"].iloc[0])], "shard": [int(frame["shard"].iloc[0])], "graph": [stored.getvalue()]})
 
 
-def near_rows(graph: Graph, query: np.ndarray, draw: np.random.Generator, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row of the graph) whose cosine may reach COSINE.
+def _compared(query: np.ndarray, rest: np.ndarray, vectors: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the queries ``rest`` and ``rows`` by brute force, in blocks of either."""
+    for low in range(0, len(rows), QUERY_ROWS):
+        some = rows[low : low + QUERY_ROWS]
+        step = max(1, COMPARED // len(some))
+        for at in range(0, len(rest), step):
+            which, place = np.nonzero(query[rest[at : at + step]] @ vectors[some].T >= COSINE - SLACK)
+            yield rest[at : at + step][which], some[place]
+
+
+def near_rows(graph: Graph, query: np.ndarray, draw: np.random.Generator, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, row of the graph) whose cosine may reach COSINE, each once, in pieces.
 
     ``own`` is each query's row in the graph, or -1; it doesn't count in the audit.
     """
     n, width = len(graph.vectors), BEAM
     query = query.astype(np.float32)
+    loose = graph.unreached()
+    joined = np.ones(n + 1, bool)
+    joined[loose] = False
     audited = draw.choice(len(query), min(AUDIT, len(query)), replace=False)
     true = query[audited] @ graph.vectors.T
     here = np.flatnonzero(own[audited] >= 0)
     true[here, own[audited][here]] = -np.inf
-    nearest = true.argmax(1)
-    while width < n:
-        ids, _ = graph.search(query[audited], width)
-        if (ids == nearest[:, None]).any(1).mean() >= RECALL:
-            break
-        width *= 2
-    left, right, rest = [], [], np.arange(len(query))
-    while len(rest):
-        ids, near = graph.search(query[rest], width)
-        # A beam that links to its end may go on.
-        full = (near[:, -1] >= COSINE - SLACK) & (width < n)
-        which, place = np.nonzero((near >= COSINE - SLACK) & ~full[:, None])
-        left.append(rest[which])
-        right.append(ids[which, place])
-        rest, width = rest[full], width * 4
-    return np.concatenate(left), np.concatenate(right)
+    # Of copies that differ only in rounding any is the nearest; loose rows are compared anyway.
+    nearest = true.max(1, initial=-np.inf)
+    links = (true >= COSINE - SLACK) & joined[:n]
+    # A beam of width w reads about w * LINKS_BELOW rows: beyond the shard's rows comparing all is less work.
+    trusted = False
+    while not trusted and (width == BEAM or width * LINKS_BELOW < n) and width < n:
+        ids, near = graph.search(query[audited], width)
+        found = np.zeros((len(audited), n + 1), bool)
+        found[np.arange(len(audited))[:, None], ids] = True
+        whole = (~links | found[:, :n]).all(1) | (near[:, -1] >= COSINE - SLACK)  # a full beam is widened below
+        best = np.where(found[:, :n] | ~joined[:n], true, -np.inf).max(1) >= nearest - SLACK
+        trusted = whole.all() and best.mean() >= RECALL
+        width *= 1 if trusted else 2
+    rest = np.arange(len(query))
+    while trusted and len(rest):
+        wide, going = [], width * 4 * LINKS_BELOW < n
+        step = max(1, COMPARED // width)
+        for at in range(0, len(rest), step):
+            some = rest[at : at + step]
+            ids, near = graph.search(query[some], width)
+            # A beam that links to its end may go on.
+            full = near[:, -1] >= COSINE - SLACK
+            which, place = np.nonzero((near >= COSINE - SLACK) & ~full[:, None] & joined[ids])
+            yield some[which], ids[which, place]
+            wide.append(some[full])
+            yield from _compared(query, some[~full], graph.vectors, loose)
+        rest, width, trusted = np.concatenate(wide), width * 4, going
+    yield from _compared(query, rest, graph.vectors, np.arange(n))
+
+
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unite the sets of ``a`` and ``b``, whose smallest members ``root`` holds; the pairs that joined two sets."""
+    joined = [(a[:0], b[:0])]
+    while len(a):
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        high, first = np.unique(high, return_index=True)
+        root[high] = low[first]
+        joined.append((a[first], b[first]))
+        while (root[root] != root).any():
+            root[:] = root[root]
+    return tuple(np.concatenate(x) for x in zip(*joined, strict=True))
 
 
 def _search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -204,21 +259,24 @@ def _search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     if index.empty or queries.empty:
         return empty
     stored = np.load(io.BytesIO(index["graph"].iloc[0]))
-    ids, vectors = stored["ids"], stored["vectors"]
-    graph = Graph(vectors, [stored[f"l{i}"] for i in range(len(stored.files) - 2)])
+    ids, copies, vectors = stored["ids"], stored["copies"], stored["vectors"]
+    graph = Graph(vectors, [stored[f"l{i}"] for i in range(len(stored.files) - 3)])
     asked = queries["vec_id"].to_numpy(np.int64)
     query = unit(np.stack(queries["embedding"].to_numpy()))
     order = np.argsort(ids)
     place = np.minimum(np.searchsorted(ids[order], asked), len(ids) - 1)
     own = np.where(ids[order][place] == asked, order[place], -1)
-    which, row = near_rows(graph, query, np.random.default_rng(5), own)
-    true = np.einsum("id,id->i", query[which], vectors[row]) >= COSINE
-    true &= asked[which] != ids[row]
-    which, row = which[true], row[true]
-    counts = np.bincount(which, minlength=len(asked))
-    forest = Forest()
-    edges = [(a, b) for a, b in zip(asked[which].tolist(), ids[row].tolist(), strict=True) if forest.union(a, b)]
-    a, b = np.array(edges or np.zeros((0, 2)), np.int64).T
+    nodes, number = np.unique(np.concatenate([asked, ids]), return_inverse=True)
+    root, counts, forest = np.arange(len(nodes)), np.zeros(len(asked), np.int64), [(asked[:0], asked[:0])]
+    for which, row in near_rows(graph, query, np.random.default_rng(5), own):
+        for at in range(0, len(which), PAIRS):
+            q, r = which[at : at + PAIRS], row[at : at + PAIRS]
+            true = np.einsum("id,id->i", query[q], vectors[r]) >= COSINE
+            true &= asked[q] != ids[r]
+            q, r = q[true], r[true]
+            np.add.at(counts, q, copies[r])
+            forest.append(_united(root, number[q], number[len(asked) + r]))
+    a, b = (nodes[np.concatenate(x)] for x in zip(*forest, strict=True))
     linked = counts > 0
     # Counts are rows without an edge.
     return pd.DataFrame(
@@ -237,27 +295,32 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     null or non-finite components link with nothing. Rows of one id count as one vector, the smallest; a
     null id has no component and is not kept. Labels and other columns are ignored; an empty table gives no rows.
     """
-    good = one_per_id(rows).where(F.exists("embedding", lambda x: x != 0))
-    good = good.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("dim"))
-    good = written(good, "vectors")
+    every = one_per_id(rows).where(F.exists("embedding", lambda x: x != 0))
+    every = written(every.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), "vectors")
+    # Equal vectors are the node of their smallest id.
+    good = every.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
+    good = written(good.select("vec_id", "embedding", "copies", F.size("embedding").alias("dim")), "nodes")
+    several = good.where("copies > 1").select("embedding", F.col("vec_id").alias("node"), "copies")
+    same = every.join(several, "embedding").select("vec_id", "node", "copies")
     n = good.count()
     shards, parts = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // QUERY_ROWS))
     deal = lambda k, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(k)).cast("long")
-    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     sharded = good.withColumn("shard", deal(shards, 1)).groupBy("dim", "shard")
     index = written(sharded.applyInPandas(_build, "dim long, shard long, graph binary"), "graphs")
     keys = ["dim", "shard", "part"]
-    asked = good.select(F.col("dim").cast("long").alias("dim"), every(shards).alias("shard"), deal(parts, 2).alias("part"), "vec_id", "embedding")
-    graphs = index.withColumn("part", every(parts))
+    asked = good.select(F.col("dim").cast("long").alias("dim"), each(shards).alias("shard"), deal(parts, 2).alias("part"), "vec_id", "embedding")
+    graphs = index.withColumn("part", each(parts))
     found = graphs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search, "a long, b long, links long")
     found = written(found, "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    of = components(found.select("a", "b")).join(counts, "node", "left").withColumnRenamed("node", "vec_id")
-    out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(of, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
+    of = components(found.where("a <> b").select("a", "b")).join(counts, "node", "left")
+    out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(same, "vec_id", "left")
+    out = out.withColumn("node", F.coalesce("node", "vec_id")).join(of, "node", "left")
+    component = F.coalesce("component", "node")
     return out.select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        (F.coalesce("n_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"),
     )

@@ -88,6 +88,36 @@ def test_near_duplicates(spark, monkeypatch):
     assert hnsw.near_duplicates(embeddings(spark, rows[:1]).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("scaled", [False, True])
+def test_links_of_many_equal_vectors(spark, monkeypatch, scaled):
+    monkeypatch.setattr(hnsw, "SHARDS", 1)
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(2600, 16)).astype(np.float32)
+    base[300:800] = base[300]
+    if scaled:  # one direction, so that only their cosines are equal
+        base[300:800] *= draw.uniform(0.5, 2, (500, 1)).astype(np.float32)
+    base[900:1000] = base[900] + draw.normal(0, 0.02, (100, 16))
+    double = hnsw.unit(base.astype(np.float64))
+    links = ((double @ double.T) >= 0.9).sum(1) - 1
+    found = hnsw.near_duplicates(embeddings(spark, [(i, v.tolist()) for i, v in enumerate(base)])).collect()
+    got = {r["vec_id"]: r for r in found}
+    assert [got[i]["n_links"] for i in range(300, 800)] == links[300:800].tolist() and links[300] >= 499
+    assert {got[i]["component_id"] for i in range(300, 800)} == {got[300]["component_id"]}
+    assert sum(got[i]["n_links"] for i in range(len(base))) == links.sum()
+
+
+def test_rows_without_a_path_are_compared():
+    draw = np.random.default_rng(4)
+    vectors = hnsw.unit(draw.normal(size=(3000, 16)))
+    vectors[2000:2400] = vectors[2000]
+    graph = hnsw.Graph(vectors)
+    assert len(graph.unreached())
+    pieces = list(hnsw.near_rows(graph, vectors, draw, np.arange(3000)))
+    pairs = [p for which, row in pieces for p in zip(which.tolist(), row.tolist(), strict=True)]
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(vectors @ vectors.T >= 0.9)), strict=True))
+    assert len(set(pairs)) == len(pairs) and want <= set(pairs)
+
+
 def test_recall_of_a_graph():
     draw = np.random.default_rng(2)
     vectors = hnsw.unit(draw.normal(size=(3000, 32)))
