@@ -1,18 +1,20 @@
-"""Toxicity by the nearest labelled examples, found exactly under TF-IDF cosine.
+"""Toxicity by the nearest labelled examples, found exactly under the cosine of TF-IDF weighted by chi-square.
 
 Terms are words and the character n-grams of words. Fitted on a bounded sample: ``PER_LABEL`` labelled examples of
-each class give the vocabulary (at most ``TERMS`` terms, those that tell the classes apart best by chi-square) and the
-examples to search. Document frequencies of these terms are counted over all documents. The examples form a block-max inverted index: postings in
-blocks of ``BLOCK`` examples, and for each term and block the largest weight in it. A document's bound on a
-block is the sum of its weights times these; blocks whose bound is below its k-th best cosine so far are
-skipped, so the neighbours are exact. Their votes, weighted by cosine, go through a monotone map that
-was fitted to the votes on the examples themselves, each without itself.
-
-The model is of fixed size and goes to every task; documents are scored where they are.
+each class are the examples to search, and all their terms are the vocabulary; a term that no example has can't
+add to a cosine and isn't in the norms. A term weighs its idf, from document frequencies over all documents, times 1 and
+the chi-square of its occurrence and the label, so none is left out and those that tell the classes apart lead. The examples form an
+inverted index: postings of each term, and for terms that many examples hold a dense matrix instead. A document is
+compared with all examples that share a term, so the neighbours are exact. Their votes, weighted by cosine, go
+through a monotone map that was fitted to the votes on the examples themselves, each without itself.
+
+The model's size is that of the examples. It goes to every task as terms and counts, compressed, and is indexed there;
+documents are scored where they are.
 """
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,33 +31,47 @@ from akin.llm.tables import written
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-PER_LABEL, TERMS, BLOCK, NEAREST, EVIDENCE = 1500, 384, 64, 15, 3
+PER_LABEL, BLOCK, NEAREST, EVIDENCE = 1500, 64, 15, 3
+COMMON = 8  # terms that one of so many examples holds are in the dense part
 SIZES = (4, 5)
 MEMO_WORDS = 1 << 18
-MIN_EXAMPLES, MIN_CHI = 6, 15.0
 ROWS = 512
 DIGITS = 12
 WORD = re.compile(r"[^\W\d_]+")
 
 
+class Rows(NamedTuple):
+    """Sparse rows: where each row starts, then the terms and weights of all."""
+
+    starts: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+    width: int
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[i], self.starts[i + 1])
+        return self.terms[part], self.weights[part]
+
+
 class Examples(NamedTuple):
-    """The index: ids, labels and weights of the examples, block by block, and their vectors.
+    """The index: ids, labels and class weights of the examples, and their vectors.
 
-    ``postings`` has for each block the terms that occur in it and a row of BLOCK weights for each;
-    ``bounds`` the largest weight of each term (rows) in each block (columns).
+    ``postings`` are rows by term that hold example and weight. A term with a place in ``column`` (-1 for none) has none
+    but a row in ``common``, with a column for each example.
     """
 
     doc_ids: np.ndarray
     labels: np.ndarray
     class_weights: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]]
-    bounds: np.ndarray
-    vectors: np.ndarray
+    postings: Rows
+    column: np.ndarray
+    common: np.ndarray
+    vectors: Rows | np.ndarray
 
 
 class Model(NamedTuple):
     terms: dict[str, int]
-    idf: np.ndarray
+    value: np.ndarray
     examples: Examples
     base: float
     votes: np.ndarray
@@ -79,75 +95,97 @@ class Lookup(dict):
         super().__init__()
         self.terms = terms
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> np.ndarray:
         if len(self) >= MEMO_WORDS:
             self.clear()
-        found = self[word] = tuple(sorted(t for t in map(self.terms.get, terms_of(word)) if t is not None))
+        found = sorted(t for t in map(self.terms.get, terms_of(word)) if t is not None)
+        found = self[word] = np.array(found, np.int32)
         return found
 
-    def held(self, text: str | None) -> list[int]:
+    def held(self, text: str | None) -> np.ndarray:
         """Terms of a text, as often as they occur."""
-        return [t for found in map(self.__getitem__, words(text)) for t in found]
-
-
-def vectors(texts: list[str | None], lookup: Lookup, idf: np.ndarray) -> np.ndarray:
-    """Rows of length 1 with weights (1 + ln tf) * idf; zero for texts without a term."""
-    out = np.zeros((len(texts), len(idf)))
-    for row, text in zip(out, texts, strict=True):
-        held = lookup.held(text)
-        if held:
-            often = np.bincount(held)
-            used = np.flatnonzero(often)
-            row[used] = (1 + np.log(often[used])) * idf[used]
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norms > 0, norms, 1)
-
-
-def indexed(doc_ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, counts: tuple[int, int]) -> Examples:
-    """Order the examples by their strongest term, so that blocks are alike, and list them by block."""
-    order = np.lexsort((doc_ids, -rows.max(1, initial=0), rows.argmax(1) if rows.shape[1] else np.zeros(len(rows))))
-    doc_ids, labels, rows = doc_ids[order], labels[order], rows[order]
-    postings, bounds = [], []
-    for at in range(0, len(rows), BLOCK):
-        part = rows[at : at + BLOCK].T
-        used = np.flatnonzero(part.any(1))
-        postings.append((used, part[used]))
-        bounds.append(part.max(1, initial=0))
+        return np.concatenate([np.zeros(0, np.int32), *map(self.__getitem__, words(text))])
+
+
+def stacked(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Rows:
+    starts = np.cumsum([0, *(len(t) for t, _ in rows)])
+    terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)])
+    return Rows(starts, terms, np.concatenate([np.zeros(0), *(w for _, w in rows)]), width)
+
+
+def sparse(rows: Rows | np.ndarray) -> Rows:
+    if isinstance(rows, Rows):
+        return rows
+    return stacked([(np.flatnonzero(r).astype(np.int32), r[np.flatnonzero(r)]) for r in rows], rows.shape[1])
+
+
+def counted(texts: list[str | None], lookup: Lookup) -> Rows:
+    """Terms of each text and how often they occur."""
+    return stacked([np.unique(lookup.held(text), return_counts=True) for text in texts], len(lookup.terms))
+
+
+def weighted(rows: Rows, value: np.ndarray) -> Rows:
+    """Counts turned into rows of length 1 with weights (1 + ln tf) * value of the term; empty rows stay empty."""
+    weights = (1 + np.log(rows.weights)) * value[rows.terms]
+    of = np.repeat(np.arange(len(rows.starts) - 1), np.diff(rows.starts))
+    return rows._replace(weights=weights / np.sqrt(np.bincount(of, weights**2, len(rows.starts) - 1))[of])
+
+
+def indexed(doc_ids: np.ndarray, labels: np.ndarray, rows: Rows | np.ndarray, counts: tuple[int, int]) -> Examples:
+    """Order the examples by id and list them by term."""
+    order = np.lexsort((labels, doc_ids))
+    doc_ids, labels = doc_ids[order], labels[order]
+    given = sparse(rows)
+    kept = stacked([given.row(i) for i in order], given.width)
+    del given
+    n, often = len(order), np.bincount(kept.terms, minlength=kept.width)
+    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(kept.starts))
+    column = np.full(kept.width, -1, np.int32)
+    many = np.flatnonzero(often * COMMON >= max(n, 1))
+    column[many] = np.arange(len(many))
+    dense = column[kept.terms] >= 0
+    common = np.zeros((len(many), n))
+    common[column[kept.terms[dense]], of[dense]] = kept.weights[dense]
+    at, terms, weights = of[~dense], kept.terms[~dense], kept.weights[~dense]
+    by_term = np.argsort(terms, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=kept.width))])
+    postings = Rows(starts, at[by_term], weights[by_term], n)
     # The sample takes both classes evenly: an example counts for the labelled rows it stands for.
     sampled = np.bincount(labels, minlength=2)
-    weights = np.array(counts) / np.maximum(sampled, 1)
-    return Examples(doc_ids, labels, weights[labels], postings, np.array(bounds).T.reshape(rows.shape[1], len(bounds)), rows)
+    shares = np.array(counts) / np.maximum(sampled, 1)
+    return Examples(doc_ids, labels, shares[labels], postings, column, common, kept if isinstance(rows, Rows) else rows[order])
 
 
-def nearest(queries: np.ndarray, index: Examples, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def nearest(queries: Rows | np.ndarray, index: Examples, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Cosines and positions of the ``k`` nearest examples, exactly; ties to the smaller position.
 
     ``leave`` names an example for each query that doesn't count. Missing neighbours have position -1.
     """
-    n, blocks = len(queries), len(index.postings)
+    queries = sparse(queries)
+    n, m, postings = len(queries.starts) - 1, len(index.doc_ids), index.postings
     best, where = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
-    if not blocks:
+    if not m:
         return best, where
-    reach = queries @ index.bounds + 10.0**-DIGITS
-
-    def visit(rows: np.ndarray, block: int) -> None:
-        used, weights = index.postings[block]
-        found = np.round(queries[np.ix_(rows, used)] @ weights, DIGITS)
-        at = np.broadcast_to(np.arange(found.shape[1]) + block * BLOCK, found.shape)
+    for low in range(0, n, BLOCK):
+        size = min(BLOCK, n - low)
+        dense, found = np.zeros((size, len(index.common))), np.zeros((size, m))
+        for i in range(size):
+            terms, weights = queries.row(low + i)
+            place = index.column[terms]
+            dense[i, place[place >= 0]] = weights[place >= 0]
+            terms, weights = terms[place < 0], weights[place < 0]
+            sizes = postings.starts[terms + 1] - postings.starts[terms]
+            at = np.repeat(postings.starts[terms] + sizes - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+            found[i] = np.bincount(postings.terms[at], postings.weights[at] * np.repeat(weights, sizes), m)
+        found = np.round(found + dense @ index.common, DIGITS)
         if leave is not None:
-            found = np.where(at == leave[rows][:, None], -1.0, found)
-        both, places = np.hstack([best[rows], found]), np.hstack([where[rows], at])
-        order = np.lexsort((places, -both), axis=1)[:, :k]
-        best[rows] = np.take_along_axis(both, order, 1)
-        where[rows] = np.where(best[rows] >= 0, np.take_along_axis(places, order, 1), -1)
-
-    first = reach.argmax(1)
-    for block in np.unique(first):
-        visit(np.flatnonzero(first == block), block)
-    for block in np.argsort(-reach.max(0)):
-        rows = np.flatnonzero((reach[:, block] >= best[:, -1]) & (first != block))
-        if len(rows):
-            visit(rows, block)
+            found[np.arange(size), leave[low : low + size]] = -1
+        least = np.partition(found, max(0, m - k), axis=1)[:, max(0, m - k)]
+        for i in range(size):
+            among = np.flatnonzero(found[i] >= least[i])
+            among = among[np.argsort(-found[i, among], kind="stable")[:k]]
+            best[low + i, : len(among)] = found[i, among]
+            where[low + i, : len(among)] = np.where(found[i, among] >= 0, among, -1)
     return best, where
 
 
@@ -188,17 +226,21 @@ def _counts(held: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["term", "clean", "toxic"])
 
 
-def vocabulary(sample: DataFrame) -> list[str]:
-    """The terms of the sample with the largest chi-square between occurrence and label."""
+def chi_square(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Of occurrence and label, for terms in ``a`` of ``n1`` and ``b`` of ``n0`` examples; 0 where either doesn't vary."""
+    c, d = n1 - a, n0 - b
+    below = (a + b) * (c + d) * n1 * n0
+    return np.where(below > 0, (n0 + n1) * (a * d - b * c) ** 2 / np.where(below > 0, below, 1), 0)
+
+
+def vocabulary(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the sample, in order, and their chi-squares."""
     total = dict(sample.groupBy("label").count().collect())
-    n0, n1 = float(total.get(0, 0)), float(total.get(1, 0))
     found = sample.select("label", "text").mapInArrow(_term_counts, "term string, clean long, toxic long")
     counts = found.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum("clean").cast("double").alias("b"))
-    counts = counts.where(F.col("a") + F.col("b") >= MIN_EXAMPLES)
-    c, d = F.lit(n1) - F.col("a"), F.lit(n0) - F.col("b")
-    square = (F.col("a") * d - F.col("b") * c) ** 2 / F.nullif((F.col("a") + F.col("b")) * (c + d), F.lit(0.0))
-    best = counts.withColumn("chi", square).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "term").limit(TERMS)
-    return [r["term"] for r in best.collect()]
+    counts = counts.toArrow().sort_by("term")
+    a, b = (counts.column(c).to_numpy() for c in "ab")
+    return counts.column("term").to_pylist(), chi_square(a, b, float(total.get(1, 0)), float(total.get(0, 0)))
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
@@ -208,46 +250,77 @@ def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, n
         seen, lookup = np.zeros(len(terms) + 1, np.int64), Lookup(terms)
         for batch in batches:
             for text in batch.column("text"):
-                seen[np.unique(lookup.held(text.as_py())).astype(np.int64)] += 1
+                seen[lookup.held(text.as_py())] += 1  # once, however often a term occurs
                 seen[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["term", "n"])
 
     counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(len(terms) + 1, np.int64)
-    for r in counted.collect():
-        out[r["term"]] = r["n"]
+    got = counted.toArrow()
+    out[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return int(out[-1]), out[:-1]
 
 
-def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of the training rows of ``labels`` among ``docs``."""
+def fitted(docs: DataFrame, labels: DataFrame) -> bytes:
+    """The model of the training rows of ``labels`` among ``docs``, for ``unpacked``."""
     given = training_labels(docs, labels, "toxic", FOLDS, HELD_OUT)
     counts = prior(given)
     sample = written(bounded_sample(docs, given, PER_LABEL), "toxicity-sample")
-    terms = {t: i for i, t in enumerate(vocabulary(sample))}
+    names, chi = vocabulary(sample)
+    terms = {t: i for i, t in enumerate(names)}
     n, held = document_frequencies(docs, terms)
-    idf = np.log((n + 1) / (held + 1)) + 1e-3
+    value = (np.log((n + 1) / (held + 1)) + 1e-3) * (1 + chi)
     base = (counts[1] + 1) / (sum(counts) + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(terms)
         for batch in batches:
-            rows = vectors(batch.column("text").to_pylist(), lookup, idf)
-            values = pa.array([r.astype(np.float64).tobytes() for r in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), values], ["doc_id", "label", "row"])
+            rows = counted(batch.column("text").to_pylist(), lookup)
+            both = zip(*(rows.row(i) for i in range(batch.num_rows)), strict=True) if batch.num_rows else ((), ())
+            values = [pa.array([x.astype(np.int32).tobytes() for x in column], pa.binary()) for column in both]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *values], schema.names)
+
+    schema = StructType([sample.schema["doc_id"], sample.schema["label"]]).add("terms", "binary").add("counts", "binary")
+    found = sample.select("doc_id", "label", "text").mapInArrow(run, schema).toArrow()  # at most 2 * PER_LABEL rows
+    pairs = zip(found.column("terms"), found.column("counts"), strict=True)
+    held = stacked([tuple(np.frombuffer(x.as_buffer(), np.int32) for x in pair) for pair in pairs], len(terms))
+    doc_ids, marks = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
+    index = indexed(doc_ids, marks, weighted(held, value), counts)
+    own = votes(*nearest(index.vectors, index, NEAREST, np.arange(len(doc_ids))), index, base)
+    at, score = monotone(own, index.labels.astype(float), index.class_weights) if len(doc_ids) else (np.zeros(1), np.array([base]))
+    often = held.weights.astype(np.min_scalar_type(int(held.weights.max(initial=0))))
+    stored = io.BytesIO()
+    np.savez_compressed(
+        stored,
+        names=np.frombuffer("\n".join(names).encode(), np.uint8),
+        value=value,
+        doc_ids=doc_ids,
+        labels=marks,
+        starts=held.starts,
+        terms=held.terms,
+        often=often,
+        counts=counts,
+        base=base,
+        votes=at,
+        scores=score,
+    )
+    return stored.getvalue()
+
 
-    schema = StructType([sample.schema["doc_id"], sample.schema["label"]]).add("row", "binary")
-    found = sample.select("doc_id", "label", "text").mapInArrow(run, schema).collect()  # at most 2 * PER_LABEL rows
-    rows = np.array([np.frombuffer(r["row"]) for r in found]).reshape(len(found), len(terms))
-    index = indexed(np.array([r["doc_id"] for r in found], np.int64), np.array([r["label"] for r in found], np.int64), rows, counts)
-    own = votes(*nearest(index.vectors, index, NEAREST, np.arange(len(found))), index, base)
-    at, score = monotone(own, index.labels.astype(float), index.class_weights) if len(found) else (np.zeros(1), np.array([base]))
-    return Model(terms, idf, index._replace(vectors=np.zeros((0, 0))), base, at, score)
+def unpacked(model: bytes) -> Model:
+    """The model that ``fitted`` stored."""
+    stored = np.load(io.BytesIO(model))
+    names, value = stored["names"].tobytes().decode(), stored["value"]
+    terms = {t: i for i, t in enumerate(names.split("\n"))} if len(value) else {}
+    held = Rows(stored["starts"], stored["terms"], stored["often"].astype(np.float64), len(value))
+    index = indexed(stored["doc_ids"], stored["labels"], weighted(held, value), tuple(stored["counts"]))
+    return Model(terms, value, index._replace(vectors=np.zeros((0, 0))), float(stored["base"]), stored["votes"], stored["scores"])
 
 
 def judged(model: Model, lookup: Lookup, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of a batch of texts, and the cosines and places of their nearest examples."""
-    rows = vectors(batch.column("text").to_pylist(), lookup, model.idf)
+    rows = weighted(counted(batch.column("text").to_pylist(), lookup), model.value)
     best, where = nearest(rows, model.examples, NEAREST)
     share = votes(best, where, model.examples, model.base)
     return np.round(np.clip(np.interp(share, model.votes, model.scores), 0, 1), 9), best, where
@@ -255,9 +328,10 @@ def judged(model: Model, lookup: Lookup, batch: pa.RecordBatch) -> tuple[np.ndar
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text is not predicted to be toxic."""
-    model = fitted(docs, labels)
+    stored = fitted(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = unpacked(stored)
         lookup = Lookup(model.terms)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -276,9 +350,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     all without labels. A null ``doc_id`` is not held out. Repeated rows are scored alike; an empty table
     gives no rows; other columns are ignored.
     """
-    model = fitted(docs, labels)
+    stored = fitted(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = unpacked(stored)
         lookup = Lookup(model.terms)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

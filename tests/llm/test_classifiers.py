@@ -1,5 +1,6 @@
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,6 +93,34 @@ def test_nearest_examples_are_exact(seed, monkeypatch):
         assert [i for _, i in want] == w.tolist()
 
 
+def test_cosines_are_those_of_all_terms(spark):
+    draw = np.random.default_rng(5)
+    common = ["".join(draw.choice(list("abcdefgh"), 7)) for _ in range(600)]
+    texts = {i: " ".join(draw.choice(common, 12)) + f" rare{chr(97 + i % 26) * 3}{chr(97 + i // 52) * 2}" for i in range(400)}
+    rows = [(i, i % 2, "x") for i in texts]
+    found = toxicity.scored(table(spark, list(texts.items())), spark.createDataFrame(rows, "doc_id bigint, toxic int, x string")).collect()
+    held = {i: Counter(t for w in toxicity.words(x) for t in toxicity.terms_of(w)) for i, x in texts.items()}
+    learnt = [i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2]
+    often = Counter(t for h in held.values() for t in h)
+    known = {t for i in learnt for t in held[i]}
+    assert len(known) > 384
+    # Chi-square of the four-field table: sum of (observed - expected)^2 / expected.
+    chi, label = dict.fromkeys(known, 0.0), np.array([i % 2 for i in learnt])
+    for term in known:
+        has = np.array([term in held[i] for i in learnt])
+        for x in (False, True):
+            for y in (0, 1):
+                expected = (has == x).sum() * (label == y).sum() / len(learnt)
+                chi[term] += (((has == x) & (label == y)).sum() - expected) ** 2 / expected if expected else 0
+    value = {t: (np.log(401 / (often[t] + 1)) + 1e-3) * (1 + chi[t]) for t in known}
+    weights = {i: {t: (1 + np.log(c)) * value[t] for t, c in h.items() if t in known} for i, h in held.items()}
+    norms = {i: np.sqrt(sum(x * x for x in w.values())) for i, w in weights.items()}
+    for r in found[:100]:
+        mine = weights[r["doc_id"]]
+        cosines = [sum(x * weights[j].get(t, 0) for t, x in mine.items()) / norms[j] / norms[r["doc_id"]] for j in learnt]
+        assert np.allclose(r["cosines"], sorted(cosines, reverse=True)[:3], atol=1e-9)
+
+
 def test_monotone_fit():
     x, y = toxicity.monotone(np.array([1.0, 2, 3, 4, 4]), np.array([0.0, 1, 0, 1, 1]), np.ones(5))
     assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all()
