@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from akin.llm import bpe, hash_tree, hnsw, impact_search, minhash, packing, quality, suffix_dedup, toxicity, url_filter
+from akin.llm import (
+    bpe,
+    chat,
+    divergence,
+    hard_negatives,
+    hash_tree,
+    hnsw,
+    impact_search,
+    minhash,
+    packing,
+    quality,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -70,3 +84,18 @@ def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(table(spark, sf_dir, "conversations"))

@@ -60,10 +60,60 @@ SELECT doc_id, octet_length(whole.b)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT
   sha256(coalesce(rest.b, whole.b)) AS kept_sha256 FROM whole LEFT JOIN rest USING (doc_id) LEFT JOIN counts USING (doc_id)"""
 
 
+DIVERGENCE = """WITH rows AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+used AS (SELECT lang, source, row, unnest(terms) AS term FROM rows),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM used GROUP BY ALL HAVING count(DISTINCT row) >= 10),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang),
+sources AS (SELECT DISTINCT lang, source FROM rows),
+grid AS (SELECT lang, source, term, (SELECT count(*) FROM used u WHERE u.lang = s.lang AND u.source = s.source AND u.term = kept.term)::HUGEINT AS n
+  FROM sources s JOIN kept USING (lang)),
+groups AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM grid GROUP BY ALL),
+priced AS (SELECT lang, source, term, grid.n, 1 + 1000000000 * (grid.n + 2) // (groups.total + 2 * v) AS p,
+  1 + 1000000000 * (kept.n + 2) // (sizes.total + 2 * v) AS q
+  FROM grid JOIN groups USING (lang, source) JOIN kept USING (lang, term) JOIN sizes USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN priced y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM priced WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM every)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+HARD_NEGATIVES = """WITH good AS (SELECT vec_id, min({'e': embedding::DOUBLE[], 'l': label}) AS row FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+whole AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (row.l + 1) % 10 ELSE row.l END AS label,
+  list_transform(row.e, lambda x: floor(256 * x)) AS v FROM good),
+pairs AS (SELECT x.vec_id AS anchor_id, y.vec_id, x.label = y.label AS same, list_inner_product(x.v, y.v)::BIGINT AS score
+  FROM whole x JOIN whole y ON x.vec_id % 100 = 0 AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+negatives AS (SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM positives JOIN pairs USING (anchor_id) WHERE NOT same
+    AND 80 * positive_score::HUGEINT <= 100 * score::HUGEINT AND score <= positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
+
+CHATS = """WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, turn, role, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
+turns AS (SELECT *, length(replace(replace(role, '\\', '\\\\'), chr(10), '\\n')) + 16 + length(text)
+  + len(string_split(text, '###')) - 1 + len(string_split(text, '</turn>')) - 1 AS chars,
+  CASE WHEN role = 'assistant' THEN text END AS answer FROM rows)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(answer)), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(answer, '' ORDER BY turn), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars FROM turns GROUP BY conv_id"""
+
+
 def oracles() -> dict[str, str]:
     return {
         "op1_hnsw_near_dedup": NEAR_VECTORS,
         "op2_suffix_dedup": REPEATS,
         "op4_impact_search": TOP_SCORES,
         "op5_coordinate_join": NEAR_DOCUMENTS,
+        "op11_source_divergence": DIVERGENCE,
+        "op12_hard_negatives": HARD_NEGATIVES,
+        "op13_chat_formatting": CHATS,
     }
