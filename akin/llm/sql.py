@@ -99,7 +99,7 @@ SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
 
 CHATS = """WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, turn, role, '\\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(turn, role)),
-turns AS (SELECT *, length(replace(replace(role, '\\', '\\\\'), chr(10), '\\n')) + 16 + length(text)
+turns AS (SELECT *, length(replace(replace(role, '\\', '\\\\'), chr(10), '\\n')) + 15 + length(text)
   + len(string_split(text, '###')) - 1 + len(string_split(text, '</turn>')) - 1 AS chars,
   CASE WHEN role = 'assistant' THEN text END AS answer FROM rows)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
