@@ -187,8 +187,8 @@ def sink_doc_stats(spark, sf_dir):
     cfg = KEYWORDS
     docs = spoken(spark, sf_dir)
     counts = counted(spark, sf_dir, cfg.shingle_size)
-    found = keywords.extract_keywords(keyword_quality.keyword_input(docs), cfg.n_keywords)
-    rows = counts.join(found, "doc_id").select(
+    found = materialise(keywords.extract_keywords(keyword_quality.keyword_input(docs), cfg.n_keywords), "keywords")
+    rows = counts.join(found.filter("keywords is not null"), "doc_id").select(
         "doc_id",
         (F.col("n_shingles") * cfg.num_perm).alias("full_cost"),
         (F.size("keywords").cast("long") * cfg.num_perm).alias("keyword_cost"),
@@ -377,7 +377,7 @@ def generate_sig(spark, sf_dir):
 @query
 def keyword_terms(spark, sf_dir):
     docs = keyword_quality.keyword_input(spoken(spark, sf_dir))
-    features = keywords.term_features(keywords.tokens(docs))
+    features = keywords.term_features(docs)
     return features.select(
         "doc_id", "term", "tf", "tf_acronym", "tf_proper", F.col("median_sentence").cast("double"),
         "n_left", "all_left", "n_right", "all_right", "n_sentences", F.round("score", 9).alias("score"),

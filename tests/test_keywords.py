@@ -1,7 +1,9 @@
 import math
 import os
+import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from akin.operators import keywords, textsearch
@@ -16,7 +18,7 @@ TEXT = "Spark engines sort data. The Spark engine reads NASA data, and sorts it!
 
 def features(spark, text):
     docs = spark.createDataFrame([(1, None, text)], "doc_id long, lang string, full_text string")
-    return {r["term"]: r for r in keywords.term_features(keywords.tokens(docs)).collect()}
+    return {r["term"]: r for r in keywords.term_features(docs).collect()}
 
 
 def test_term_counts(spark):
@@ -41,7 +43,7 @@ def test_term_score_by_hand(spark):
 
 def test_candidates_hold_no_stopword_and_stay_in_a_chunk(spark):
     docs = spark.createDataFrame([(1, "en", TEXT)], "doc_id long, lang string, full_text string")
-    found = {r["keyword"] for r in keywords.candidates(keywords.term_features(keywords.tokens(docs))).collect()}
+    found = {r["keyword"] for r in keywords.candidates(docs).collect()}
     assert {"spark engines sort", "nasa data", "data"} <= found
     assert not any(w in keywords.stopwords() for k in found for w in k.split())
     assert "data spark" not in found and "data sorts" not in found and "reads nasa data" in found
@@ -50,7 +52,7 @@ def test_candidates_hold_no_stopword_and_stay_in_a_chunk(spark):
 def test_stopwords_follow_the_language(spark):
     rows = [(lang, f"The war hat son die. {lang or 'x'} words") for lang in ("en", "de", "fr", "es", "nl", None)]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, full_text string")
-    found = keywords.term_features(keywords.tokens(docs)).where("not is_content").collect()
+    found = keywords.term_features(docs).where("not is_content").collect()
     stopped = {i: {r["term"] for r in found if r["doc_id"] == i} for i in range(len(rows))}
     assert stopped[0] == {"the"}
     assert stopped[1] == {"war", "hat", "die"}
@@ -58,13 +60,51 @@ def test_stopwords_follow_the_language(spark):
     assert stopped[4] == stopped[5] == {"the", "war", "hat", "son", "die"}
 
 
-def test_near_duplicates_are_left_out_but_the_list_is_filled(spark):
-    scored = spark.createDataFrame(
-        [(1, 1, "information systems", 0.1), (1, 1, "information system", 0.2), (1, 1, "other", 0.3), (1, 1, "last", 0.4)],
-        "doc_id long, tf long, keyword string, score double",
-    )
-    taken = keywords.best_keywords(scored, 2).first()["keywords"]
-    assert [k["keyword"] for k in taken] == ["information systems", "other"]
+def test_near_duplicates_are_left_out_but_the_list_is_filled():
+    scored = [(0.1, "information systems"), (0.2, "information system"), (0.3, "other"), (0.4, "last")]
+    assert [k for _, k in keywords.best_keywords(scored, 2)] == ["information systems", "other"]
+
+
+def test_bounded_distance_is_the_edit_distance(spark):
+    draw = random.Random(5)
+    pairs = [["".join(draw.choices("abé ", k=draw.randint(1, 12))) for _ in "ab"] for _ in range(300)]
+    rows = spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "a string, b string, i int").select("i", F.levenshtein("a", "b").alias("d")).collect()
+    distance = {r["i"]: r["d"] for r in rows}
+    for i, (a, b) in enumerate(pairs):
+        assert [keywords.within(a, b, limit) for limit in range(6)] == [distance[i] <= limit for limit in range(6)]
+
+
+def plain_words(text):
+    """sentence, chunk, pos and word by splitting."""
+    for sentence, body in enumerate(regex.split(keywords.SENTENCE_END, text)):
+        for chunk, run in enumerate(regex.split(keywords.CHUNK_END, body)):
+            for pos, word in enumerate(w for w in run.split(" ") if w):
+                yield sentence, chunk, pos, word
+
+
+@pytest.mark.parametrize("window", [1 << 20, 3])
+def test_tokens_are_what_splitting_gives(monkeypatch, window):
+    monkeypatch.setattr(keywords, "WINDOW", window)
+    draw = random.Random(7)
+    texts = ["".join(draw.choices(["a", "Éb", "NASA", " ", " ", ".", "!?", ",", "--", "\n", "9"], k=draw.randint(0, 40))) for _ in range(200)]
+    words = keywords.tokens([None, "", *texts, "", None])
+    got = list(zip(words.doc.tolist(), words.sentence.tolist(), words.chunk.tolist(), words.pos.tolist(), strict=True))
+    want = [(doc, *place, word) for doc, text in enumerate(texts, 2) for *place, word in plain_words(text)]
+    assert got == [w[:4] for w in want]
+    assert [words.terms[t] for t in words.term] == [w[4].lower() for w in want]
+    assert [bool(c) for c in words.capital] == [w[4][0].isupper() for w in want]
+    runs = {}
+    for w, line in zip(want, words.line.tolist(), strict=True):
+        runs.setdefault(line, set()).add(w[:3])
+    assert all(len(places) == 1 for places in runs.values())
+
+
+def test_texts_without_keywords_keep_their_row(spark):
+    rows = [(1, None, ""), (2, "en", "the of and"), (3, "en", None), (4, "en", "..."), (5, "en", "house")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, full_text string")
+    found = {r["doc_id"]: r["keywords"] for r in keywords.extract_keywords(docs, 3).collect()}
+    assert {i for i, k in found.items() if k is None} == {1, 2, 3, 4}
+    assert [k["keyword"] for k in found[5]] == ["house"]
 
 
 def test_title_search_equals_brute_force(spark):
