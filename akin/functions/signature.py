@@ -105,14 +105,15 @@ def band_buckets(sig: Column, bands: tuple[int, int]) -> Column:
     )
 
 
-def class_key(sig: Column) -> Column:
-    """The content id as 32 bytes, for grouping equal signatures."""
-    return F.unhex(sig_id(sig))
+def band_hashes(cell: Column, sig: Column, bands: tuple[int, int]) -> Column:
+    """(key, check) of every band: two hashes of 64 bits of the cell, the band and its positions, for joining."""
+    b, r = bands
 
+    def hashed(band: Column) -> Column:
+        part = F.slice(sig, band * r + 1, r)
+        return F.struct(F.xxhash64(cell, band, part).alias("key"), F.xxhash64(F.lit(b), part, band, cell).alias("check"))
 
-def band_keys(sig: Column, bands: tuple[int, int]) -> Column:
-    """The band buckets as 16 bytes each, for joining."""
-    return F.transform(band_buckets(sig, bands), F.unhex)
+    return F.transform(F.sequence(F.lit(0), F.lit(b - 1)), hashed)
 
 
 def shares_band(left: Column, right: Column, bands: tuple[int, int]) -> Column:

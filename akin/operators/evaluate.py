@@ -38,7 +38,7 @@ def candidate_flags(exact: DataFrame, table: DataFrame, bands: tuple[int, int])
     query_sig = table.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), F.col("sig").alias("q"))
     train_sig = table.filter("is_train").select("cell", "doc_id", F.col("sig").alias("t"))
     # The first of many copies is a neighbour of all of them, so train ids may be hot keys here.
-    both = sliced_join(exact.join(query_sig, QUERY), train_sig, ["cell", "doc_id"], "query_id")
+    both = sliced_join(exact.join(query_sig, QUERY), train_sig, ["cell", "doc_id"], "query_id", unique=True)
     return both.select(
         *QUERY, "rank", "doc_id", shares_band(F.col("q"), F.col("t"), bands).alias("is_candidate")
     )

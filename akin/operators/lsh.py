@@ -1,13 +1,22 @@
-"""Banded index over signatures and the candidates it returns."""
+"""A persistent banded index over signatures and the candidates it returns.
+
+The index is a table in buckets by band key, sorted within them: a search moves its probes to the buckets and leaves the
+index where it is. Later documents are appended, and a folder can be opened again in another session.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from akin.functions.signature import band_buckets, band_keys, class_key
-from akin.operators.skew import sliced_join
-from akin.session import materialise
+from akin.functions.signature import band_buckets, band_hashes
+from akin.operators.skew import SLICE_ROWS, sliced_join
+from akin.session import fresh_path, held_table, materialise
+
+KEYS = ["key", "check", "slice"]
+ROW_SCHEMA = "cell int, first_doc_id bigint, n_docs bigint, key bigint, check bigint, slice bigint"
 
 
 def lsh_index(signed: DataFrame, bands: tuple[int, int]) -> DataFrame:
@@ -22,49 +31,118 @@ def signature_classes(train: DataFrame) -> DataFrame:
     ``first_doc_id`` is the earliest of them in train order and ``n_docs`` counts them, so a group
     of copies of any size enters the index once. Grid cells (``cell``) stay apart.
     """
-    return train.groupBy("cell", class_key(F.col("sig")).alias("class_id")).agg(
+    return train.groupBy("cell", "sig").agg(
         F.min_by("doc_id", F.struct("order_key", "doc_id")).alias("first_doc_id"),
         F.count(F.lit(1)).alias("n_docs"),
-        F.first("sig").alias("sig"),
     )
 
 
-def candidate_classes(queries: DataFrame, train: DataFrame, bands: tuple[int, int]) -> DataFrame:
-    """Train signatures sharing at least one band with each query, not checked by similarity.
+@dataclass(frozen=True)
+class BandIndex:
+    """A bucketed table of band keys, the slices of its hot keys and its layout, in one folder."""
+
+    spark: SparkSession
+    folder: str
+    bands: tuple[int, int]
+    buckets: int
+
+    @property
+    def table(self) -> str:
+        return "band_index_" + "".join(c if c.isalnum() else "_" for c in self.folder.rsplit("/", 1)[-1])
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    @property
+    def hot(self) -> DataFrame:
+        """key, check, slices of the keys that are dealt; at most one for each bucket (see ``build_index``)."""
+        return F.broadcast(self.spark.read.schema("key bigint, check bigint, slices bigint").parquet(f"{self.folder}/hot"))
+
+    def append(self, train: DataFrame) -> None:
+        """Add documents. Signatures that are there already get a further row with the new documents' number."""
+        self._write(self._keyed(signature_classes(train)), "append")
+
+    def _keyed(self, classes: DataFrame) -> DataFrame:
+        return classes.select("cell", "first_doc_id", "n_docs", *keys(F.col("cell"), F.col("sig"), self.bands))
+
+    def _write(self, keyed: DataFrame, mode: str) -> None:
+        dealt = F.pmod(F.xxhash64("first_doc_id"), F.coalesce("slices", F.lit(1)))
+        rows = keyed.join(self.hot, KEYS[:2], "left").withColumn("slice", dealt).drop("slices")
+        # One file for each bucket and write.
+        placed = rows.select("cell", "first_doc_id", "n_docs", *KEYS).repartition(self.buckets, *KEYS)
+        writer = placed.write.mode(mode).bucketBy(self.buckets, *KEYS).sortBy(*KEYS)
+        (writer.option("path", f"{self.folder}/rows") if mode != "append" else writer).saveAsTable(self.table)
+
+
+def keys(cell: Column, sig: Column, bands: tuple[int, int]) -> tuple[Column, ...]:
+    """Generator of (key, check), one row per band."""
+    return (F.inline(band_hashes(cell, sig, bands)).alias("key", "check"),)
+
+
+def build_index(train: DataFrame, bands: tuple[int, int], folder: str | None = None) -> BandIndex:
+    """Write the index of the signed documents ``train`` (cell, doc_id, order_key, sig).
 
-    Rows: cell, query_id, first_doc_id, n_docs. Query copies are looked up once and joined back by
-    signature at the end.
+    A key above an average bucket's rows (SLICE_ROWS at least) is dealt to slices of that size, so at most as
+    many keys are hot as there are buckets. Without a folder the index goes to the scratch folder until its release.
     """
-    buckets = F.posexplode(band_keys(F.col("sig"), bands)).alias("band", "bucket")
-    # Both band tables are read twice, for the frequencies and for the join, so they are written.
-    index = materialise(
-        signature_classes(train).select("cell", "first_doc_id", "n_docs", buckets), "band-index"
-    )
-    asked = queries.select("cell", "doc_id", "sig", class_key(F.col("sig")).alias("query_class"))
-    probes = materialise(
-        asked.groupBy("cell", "query_class").agg(F.first("sig").alias("sig")).select("cell", "query_class", buckets),
-        "band-probes",
-    )
-    matches = sliced_join(index, probes, ["cell", "band", "bucket"], "first_doc_id")
-    found = materialise(matches.select("cell", "query_class", "first_doc_id", "n_docs").distinct(), "band-matches")
-    members = asked.select("cell", "query_class", F.col("doc_id").alias("query_id"))
-    return sliced_join(members, found, ["cell", "query_class"], "query_id").select(
-        "cell", "query_id", "first_doc_id", "n_docs"
+    spark = train.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = BandIndex(spark, folder or fresh_path(spark, "band-index"), bands, buckets)
+    if folder is None:
+        held_table(spark, index.table, index.folder)
+    classes = materialise(signature_classes(train), "classes")
+    keyed = index._keyed(classes)
+    limit = max(SLICE_ROWS, classes.count() * bands[0] // buckets)
+    counts = keyed.groupBy("key", "check").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit)
+    counts.select("key", "check", F.ceil(F.col("rows") / limit).alias("slices")).write.parquet(f"{index.folder}/hot")
+    layout = spark.createDataFrame([(*bands, buckets)], "bands int, rows int, buckets int")
+    layout.write.parquet(f"{index.folder}/layout")
+    index._write(keyed, "error")
+    return index
+
+
+def open_index(spark: SparkSession, folder: str) -> BandIndex:
+    """An index that was written before, in this session or another."""
+    b, r, buckets = spark.read.parquet(f"{folder}/layout").first()
+    index = BandIndex(spark, folder, (b, r), buckets)
+    columns = ", ".join(KEYS)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {index.table} ({ROW_SCHEMA}) USING parquet "
+        f"CLUSTERED BY ({columns}) SORTED BY ({columns}) INTO {buckets} BUCKETS LOCATION '{folder}/rows'"
     )
+    return index
+
+
+def search_index(queries: DataFrame, index: BandIndex) -> DataFrame:
+    """Train signatures sharing at least one band with each query, not checked by similarity.
+
+    Rows: cell, query_id, first_doc_id, n_docs; only the probes are moved to the buckets.
+    """
+    probes = queries.select(F.col("doc_id").alias("query_id"), *keys(F.col("cell"), F.col("sig"), index.bands))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("slices", F.lit(1)) - 1))
+    probes = probes.join(index.hot, KEYS[:2], "left").withColumn("slice", every).drop("slices")
+    return index.rows.join(probes, KEYS).select("cell", "query_id", "first_doc_id", "n_docs").distinct()
+
+
+def candidate_classes(queries: DataFrame, train: DataFrame, bands: tuple[int, int]) -> DataFrame:
+    """``search_index`` over an index built for this search."""
+    return search_index(queries, build_index(train, bands))
 
 
 def candidate_counts(queries: DataFrame, train: DataFrame, bands: tuple[int, int]) -> DataFrame:
     """Number of train documents the index returns per query; queries without any are absent."""
-    found = candidate_classes(queries, train, bands)
+    return counted(candidate_classes(queries, train, bands))
+
+
+def counted(found: DataFrame) -> DataFrame:
     return found.groupBy("cell", "query_id").agg(F.sum("n_docs").alias("n_candidates"))
 
 
 def candidate_documents(queries: DataFrame, train: DataFrame, bands: tuple[int, int]) -> DataFrame:
     """The candidates document by document: cell, query_id, doc_id. As long as the result it lists."""
-    first = signature_classes(train).select("cell", "class_id", "first_doc_id")
-    members = sliced_join(
-        train.select("cell", class_key(F.col("sig")).alias("class_id"), "doc_id"), first, ["cell", "class_id"], "doc_id"
-    )
+    first = materialise(signature_classes(train).select("cell", "sig", "first_doc_id"), "class-firsts")
+    members = sliced_join(train.select("cell", "sig", "doc_id"), first, ["cell", "sig"], "doc_id", unique=True).drop("sig")
     found = candidate_classes(queries, train, bands).select("cell", "query_id", "first_doc_id")
     # Both sides are read for their frequencies and for the join.
     members, found = materialise(members, "class-members"), materialise(found, "candidate-classes")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from akin.session import materialise
+
 # A key with fewer rows is never dealt to several tasks.
 SLICE_ROWS = 100_000
 
@@ -30,18 +32,21 @@ def _one(columns: list[str], slices: str) -> Column:
 
 
 def sliced_join(
-    many: DataFrame, few: DataFrame, keys: list[str], row_id: str, slice_rows: int = SLICE_ROWS
+    many: DataFrame, few: DataFrame, keys: list[str], row_id: str, slice_rows: int = SLICE_ROWS, unique: bool = False
 ) -> DataFrame:
     """Inner join that spreads the hot keys of both sides over several tasks.
 
     The rows of a key that is hot in ``many`` are dealt to slices by ``row_id`` and the matching rows of ``few`` are
     copied to each of them; the rows of a key that is hot in ``few`` are dealt by all their columns and
-    those of ``many`` are copied. A key hot on both sides gets a grid of slices.
+    those of ``many`` are copied. A key hot on both sides gets a grid of slices. With ``unique`` no key occurs twice in
+    ``few``, so its rows are not counted. Hot keys are found once and written, for both sides to read.
     """
-    own = hot_keys(many, keys, "_own", slice_rows).withColumn("_other", F.lit(1).cast("long"))
-    other = hot_keys(few, keys, "_other", slice_rows).withColumn("_own", F.lit(1).cast("long"))
-    hot = own.unionByName(other).groupBy(*keys).agg(F.max("_own").alias("_own"), F.max("_other").alias("_other"))
-    hot = F.broadcast(hot)
+    one = F.lit(1).cast("long")
+    hot = hot_keys(many, keys, "_own", slice_rows).withColumn("_other", one)
+    if not unique:
+        other = hot_keys(few, keys, "_other", slice_rows).withColumn("_own", one)
+        hot = hot.unionByName(other).groupBy(*keys).agg(F.max("_own").alias("_own"), F.max("_other").alias("_other"))
+    hot = F.broadcast(materialise(hot, "hot-keys"))
     left = many.join(hot, keys, "left").withColumn("_slice", _one([row_id], "_own"))
     left = left.withColumn("_copy", _every("_other")).drop("_own", "_other")
     right = few.join(hot, keys, "left").withColumn("_copy", _one(few.columns, "_other"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-# Paths of the intermediate tables written since the last release, by application.
+# Paths of the intermediate tables written since the last release, and names of those in the catalog, by application.
 _written: dict[str, list[str]] = {}
+_named: dict[str, list[str]] = {}
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -34,8 +35,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held_table(spark: SparkSession, name: str, path: str) -> None:
+    """Note a table of the catalog, and its folder, that goes with the next release."""
+    application = spark.sparkContext.applicationId
+    _named.setdefault(application, []).append(name)
+    _written.setdefault(application, []).append(path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of all results that have been consumed; call it at the end of a run."""
+    for name in _named.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path in _written.pop(spark.sparkContext.applicationId, []):
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -520,6 +520,19 @@ def lsh_documents(spark, sf_dir):
     return found.select("query_id", "doc_id")
 
 
+@query
+def lsh_append(spark, sf_dir):
+    """Candidates of an index of the documents in English, to which all others are added after it is opened again."""
+    split = run_of(spark, sf_dir)
+    english = spoken(spark, sf_dir).filter("lang = 'en'").select("doc_id")
+    signed = corpus.signed(split)
+    train = signed.filter("is_train")
+    index = lsh.build_index(train.join(english, "doc_id", "left_semi"), CFG.bands, fresh_path(spark, "lsh"))
+    index = lsh.open_index(spark, index.folder)
+    index.append(train.join(english, "doc_id", "left_anti"))
+    return lsh.counted(lsh.search_index(signed.filter("is_query"), index)).drop("cell")
+
+
 @query
 def topk_exact(spark, sf_dir):
     return corpus.exact_top(run_of(spark, sf_dir), CFG.n_results).drop("cell")
@@ -541,7 +554,7 @@ def external_results(spark, sf_dir):
     split, docs = whole_split(spark, sf_dir)
     top = materialise(keyword_quality.external_top(split, WHOLE.n_results), "external")
     titles = docs.select("doc_id", text.underscore(F.col("title")).alias("title"))
-    named = sliced_join(top, titles, ["doc_id"], "query_id")
+    named = sliced_join(top, titles, ["doc_id"], "query_id", unique=True)
     return named.select("query_id", "rank", "doc_id", "title", "shared", "score")
 
 

@@ -647,6 +647,7 @@ def oracles() -> dict[str, str]:
   candidates JOIN (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY sig ORDER BY pos) AS first_doc_id
     FROM sig JOIN train USING (doc_id)) USING (doc_id) GROUP BY query_id, first_doc_id""",
         "lsh_documents": chain(*base, bands(CFG), CANDIDATES) + "SELECT query_id, doc_id FROM candidates",
+        "lsh_append": chain(*base, bands(CFG), CANDIDATES) + "SELECT query_id, count(*) AS n_candidates FROM candidates GROUP BY query_id",
         "topk_exact": chain(*no_sig, top("exact_pairs", "exact_top", n)) + "SELECT * FROM exact_top",
         "topk_signature": chain(*base, sig_pairs(), top("sig_pairs", "sig_top", n)) + "SELECT * FROM sig_top",
         "topk_keyword": chain(*kw, sig_pairs("kw_sig", "kw_pairs"), top("kw_pairs", "kw_top", n)) + "SELECT * FROM kw_top",
