@@ -25,9 +25,9 @@ EXPANDED = 8_000_000
 # below it, one step through the lists per pair is faster (measured on prose).
 DENSE = 0.001
 
-TOP_SCHEMA = "cell int, query_id long, doc_id long, order_key long, shared long, score double"
+TOP_SCHEMA = "cell int, kind string, query_id long, doc_id long, order_key long, shared long, score double"
 TOP_TYPES = pa.schema(
-    [("cell", pa.int32())]
+    [("cell", pa.int32()), ("kind", pa.string())]
     + [(name, pa.int64()) for name in ("query_id", "doc_id", "order_key", "shared")]
     + [("score", pa.float64())]
 )
@@ -84,42 +84,39 @@ def row_chunks(n_rows: int, width: int) -> Iterator[slice]:
 class Postings:
     """Inverted lists of a block of sets, and their overlap with other sets."""
 
-    def __init__(self, values: np.ndarray, lengths: np.ndarray, weights: np.ndarray | None = None):
+    def __init__(self, values: np.ndarray, lengths: np.ndarray):
         rows = np.repeat(np.arange(len(lengths)), lengths)
         self.n_rows = len(lengths)
         self.vocabulary, place = np.unique(values, return_inverse=True)
         order = np.argsort(place, kind="stable")
         self.places, self.rows = place[order], rows[order]
-        self.weights = None if weights is None else weights[order]
         self.counts = np.bincount(place, minlength=len(self.vocabulary))
         self.starts = np.cumsum(self.counts) - self.counts
 
-    def overlap(self, values: np.ndarray, lengths: np.ndarray, weights: np.ndarray | None = None):
-        """Matrix (rows of the block x given sets) of shared elements, and of weight products.
+    def overlap(self, values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Matrix (rows of the block x given sets) of shared elements.
 
         An element in a large share of both sides is cheaper as a column of a matrix product,
         the others as a walk through their inverted lists.
         """
         n = len(lengths)
         shared = np.zeros((self.n_rows, n), dtype=np.int64)
-        total = None if weights is None else np.zeros((self.n_rows, n))
         if not len(self.vocabulary) or not len(values):
-            return shared, total
+            return shared
         place = np.searchsorted(self.vocabulary, values)
         place[place == len(self.vocabulary)] = 0
         hit = np.flatnonzero(self.vocabulary[place] == values)
         place, column = place[hit], np.repeat(np.arange(n), lengths)[hit]
-        weight = None if weights is None else weights[hit]
         work = np.bincount(place, minlength=len(self.vocabulary)) * self.counts
         dense = np.flatnonzero(work > DENSE * shared.size)
-        self._multiply(dense, place, column, weight, shared, total)
+        self._multiply(dense, place, column, shared)
         rare = np.ones(len(self.vocabulary), dtype=bool)
         rare[dense] = False
         keep = rare[place]
-        self._walk(place[keep], column[keep], None if weight is None else weight[keep], shared, total)
-        return shared, total
+        self._walk(place[keep], column[keep], shared)
+        return shared
 
-    def _multiply(self, dense, place, column, weight, shared, total) -> None:
+    def _multiply(self, dense: np.ndarray, place: np.ndarray, column: np.ndarray, shared: np.ndarray) -> None:
         n = shared.shape[1]
         step = max(1, SCORES // max(1, max(self.n_rows, n)))
         slot = np.empty(len(self.vocabulary), dtype=np.int64)
@@ -134,13 +131,8 @@ class Postings:
             left[self.rows[mine_at], mine[mine_at]] = 1
             right[theirs[theirs_at], column[theirs_at]] = 1
             shared += (left @ right).astype(np.int64)
-            if total is not None:
-                left, right = left.astype(np.float64), right.astype(np.float64)
-                left[self.rows[mine_at], mine[mine_at]] = self.weights[mine_at]
-                right[theirs[theirs_at], column[theirs_at]] = weight[theirs_at]
-                total += left @ right
 
-    def _walk(self, place, column, weight, shared, total) -> None:
+    def _walk(self, place: np.ndarray, column: np.ndarray, shared: np.ndarray) -> None:
         n = shared.shape[1]
         expanded = np.cumsum(self.counts[place])
         start = 0
@@ -152,22 +144,23 @@ class Postings:
             at = np.repeat(self.starts[part] - (ends - copies), copies) + np.arange(ends[-1])
             cell = self.rows[at] * n + np.repeat(column[start:stop], copies)
             shared += np.bincount(cell, minlength=shared.size).reshape(shared.shape)
-            if total is not None:
-                product = self.weights[at] * np.repeat(weight[start:stop], copies)
-                total += np.bincount(cell, weights=product, minlength=shared.size).reshape(shared.shape)
             start = stop
 
 
-def best_rows(left: pa.Table, right: pa.Table, scorer: Callable, n: int) -> pa.Table:
-    """The ``n`` best train rows of the block per query; equal scores go to the earlier row.
+def best_rows(left: pa.Table, right: pa.Table, scorers: dict[str, Callable], n: int) -> pa.Table:
+    """For each kind of score the ``n`` best train rows of the block per query; equal scores go to the earlier row.
 
-    ``scorer(left)`` returns a function from a slice of the train table to (shared, scores).
+    ``scorers[kind](left)`` returns a function from a slice of the train table to (shared, scores).
     """
     n_left = left.num_rows
     if not n_left or not right.num_rows:
         return TOP_TYPES.empty_table()
     right = right.sort_by([("order_key", "ascending"), ("doc_id", "ascending")])
-    score_chunk = scorer(left)
+    return pa.concat_tables([best_of_kind(left, right, kind, scorer(left), n) for kind, scorer in scorers.items()])
+
+
+def best_of_kind(left: pa.Table, right: pa.Table, kind: str, score_chunk: Callable, n: int) -> pa.Table:
+    n_left = left.num_rows
     best = np.empty((n_left, 0))
     best_shared = np.empty((n_left, 0), dtype=np.int64)
     best_row = np.empty((n_left, 0), dtype=np.int64)
@@ -183,6 +176,7 @@ def best_rows(left: pa.Table, right: pa.Table, scorer: Callable, n: int) -> pa.T
     return pa.table(
         {
             "cell": np.full(len(flat), left["cell"][0].as_py(), dtype=np.int32),
+            "kind": pa.array([kind] * len(flat), pa.string()),
             "query_id": np.repeat(left["query_id"].to_numpy(), best_row.shape[1]),
             "doc_id": right["doc_id"].to_numpy()[flat],
             "order_key": right["order_key"].to_numpy()[flat],
@@ -202,7 +196,7 @@ def set_scorer(column: str) -> Callable:
 
         def score(right: pa.Table):
             other, n_right = ragged(right[column])
-            shared, _ = postings.overlap(other, n_right)
+            shared = postings.overlap(other, n_right)
             return shared, shared / (n_left[:, None] + n_right[None, :] - shared)
 
         return score
@@ -210,35 +204,50 @@ def set_scorer(column: str) -> Callable:
     return prepare
 
 
-def signature_scorer(column: str) -> Callable:
-    """Fraction of equal positions of two signature columns."""
+def signature_scorer(column: str, length: int | None = None) -> Callable:
+    """Fraction of equal positions of two signature columns, of their first ``length`` positions if given."""
+
+    def matrix(rows: pa.Table) -> np.ndarray:
+        # Values lie below 2^31; a position is a row, so that it is read in one go.
+        values = ragged(rows[column])[0].reshape(rows.num_rows, -1)
+        return np.ascontiguousarray(values[:, :length].astype(np.int32).T)
 
     def prepare(left: pa.Table):
-        mine = ragged(left[column])[0].reshape(left.num_rows, -1)
+        mine = matrix(left)
 
         def score(right: pa.Table):
-            theirs = ragged(right[column])[0].reshape(right.num_rows, -1)
-            equal = np.zeros((len(mine), len(theirs)), dtype=np.int64)
-            for position in range(mine.shape[1]):
-                equal += mine[:, position, None] == theirs[None, :, position]
-            return equal, equal / mine.shape[1]
+            theirs = matrix(right)
+            equal = np.zeros((mine.shape[1], theirs.shape[1]), dtype=np.int16)
+            for own, other in zip(mine, theirs, strict=True):
+                equal += own[:, None] == other[None, :]
+            return equal.astype(np.int64), equal / len(mine)
 
         return score
 
     return prepare
 
 
-def top_rows(queries: DataFrame, train: DataFrame, scorer: Callable, sizes: tuple[int, int], n: int) -> DataFrame:
-    """The ``n`` best train documents of each query: cell, query_id, rank, doc_id, shared, score."""
-    parts = meet(queries, train, sizes, lambda left, right: best_rows(left, right, scorer, n), TOP_SCHEMA)
-    order = Window.partitionBy("cell", "query_id").orderBy(F.desc("score"), "order_key", "doc_id")
+def tops_of(
+    queries: DataFrame, train: DataFrame, scorers: dict[str, Callable], sizes: tuple[int, int], n: int
+) -> DataFrame:
+    """For each kind of score the ``n`` best train documents of each query, all kinds in one meeting of the blocks.
+
+    Rows: cell, kind, query_id, rank, doc_id, shared, score.
+    """
+    parts = meet(queries, train, sizes, lambda left, right: best_rows(left, right, scorers, n), TOP_SCHEMA)
+    order = Window.partitionBy("cell", "kind", "query_id").orderBy(F.desc("score"), "order_key", "doc_id")
     return (
         parts.withColumn("rank", F.row_number().over(order).cast("long"))
         .filter(F.col("rank") <= n)
-        .select("cell", "query_id", "rank", "doc_id", "shared", "score")
+        .select("cell", "kind", "query_id", "rank", "doc_id", "shared", "score")
     )
 
 
+def top_rows(queries: DataFrame, train: DataFrame, scorer: Callable, sizes: tuple[int, int], n: int) -> DataFrame:
+    """The ``n`` best train documents of each query: cell, query_id, rank, doc_id, shared, score."""
+    return tops_of(queries, train, {"": scorer}, sizes, n).drop("kind")
+
+
 PROFILE_SCHEMA = "cell int, query_id long, n_pairs long, n_disjoint long, sum_shared long, max_score double"
 
 

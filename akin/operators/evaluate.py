@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from akin.functions.signature import shares_band
@@ -56,6 +57,52 @@ def candidate_overlap(flags: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def list_grid(exact: DataFrame, lists: DataFrame, tops: Sequence[int]) -> DataFrame:
+    """Overlap of the lists of all kinds with the exact ones for every list length, from one join.
+
+    A row of both lists belongs to length t if both of its ranks do. Rows: cell, query_id, kind, n_results, overlap.
+    """
+    places = exact.select(*QUERY, "doc_id", F.col("rank").alias("exact_rank"))
+    both = lists.join(places, [*QUERY, "doc_id"], "left")
+    found = both.groupBy(*QUERY, "kind").agg(
+        *[F.count_if((F.col("rank") <= t) & (F.col("exact_rank") <= t)).alias(f"hits_{t}") for t in tops],
+        *[F.count_if(F.col("rank") <= t).alias(f"listed_{t}") for t in tops],
+    )
+    return by_length(found, {t: F.col(f"hits_{t}") / F.col(f"listed_{t}") for t in tops}, F.col("kind"))
+
+
+def candidate_grid(flags: DataFrame, counts: DataFrame, tops: Sequence[int]) -> DataFrame:
+    """The same rows for the LSH candidates, as kind ``lsh``; queries without candidates are absent."""
+    hits = [F.count_if(F.col("is_candidate") & (F.col("rank") <= t)).alias(f"hits_{t}") for t in tops]
+    found = counts.join(flags.groupBy(*QUERY).agg(*hits), QUERY)
+    return by_length(found, {t: F.col(f"hits_{t}") / F.col("n_candidates") for t in tops}, F.lit("lsh"))
+
+
+def by_length(found: DataFrame, overlaps: dict[int, Column], kind: Column) -> DataFrame:
+    entries = [F.struct(F.lit(t).cast("long").alias("n_results"), o.alias("overlap")) for t, o in overlaps.items()]
+    return found.select(*QUERY, kind.alias("kind"), F.inline(F.array(*entries)))
+
+
+def grid_means(overlaps: DataFrame, runs: dict[int, dict[str, str]], run_name: str) -> DataFrame:
+    """Mean overlaps per cell, run and list length over the queries that have a value of every kind of the run.
+
+    ``runs`` maps a value of the grid column ``run_name`` to its kinds by output name.
+    """
+    kinds = sorted({kind for run in runs.values() for kind in run.values()})
+    wide = overlaps.groupBy(*QUERY, "n_results").agg(
+        *[F.max(F.when(F.col("kind") == kind, F.col("overlap"))).alias(kind) for kind in kinds]
+    )
+    entries = [
+        F.struct(F.lit(run).cast("long").alias(run_name), *[F.col(kind).alias(f"overlap_{name}") for name, kind in named.items()])
+        for run, named in runs.items()
+    ]
+    names = [f"overlap_{name}" for name in next(iter(runs.values()))]
+    rows = wide.select("cell", "n_results", F.inline(F.array(*entries))).dropna(subset=names)
+    return rows.groupBy("cell", run_name, "n_results").agg(
+        F.count(F.lit(1)).alias("n_evaluated"), *[F.round(F.avg(name), 9).alias(f"avg_{name}") for name in names]
+    )
+
+
 def query_stats(parts: list[DataFrame]) -> DataFrame:
     """One row per query that has a value in every part; a query without candidates has no row."""
     return reduce(lambda left, right: left.join(right, QUERY), parts)

@@ -14,7 +14,7 @@ from akin.functions import distances
 from akin.functions.signature import minhash, prefix, sig_id, text_signature
 from akin.functions.text import shingle_ids
 from akin.operators.blocks import Postings, meet, ragged, row_chunks
-from akin.operators.ordering import cuts, order_key, sample_first, shuffled, up_to
+from akin.operators.ordering import cuts, order_key, shuffled, up_to
 from akin.session import materialise
 
 
@@ -110,7 +110,7 @@ def _self_task(left: pa.Table, right: pa.Table) -> pa.Table:
     for part in row_chunks(right.num_rows, n_left):
         rows = right.slice(part.start, part.stop - part.start)
         other, lengths = ragged(rows["set"])
-        shared, _ = postings.overlap(other, lengths)
+        shared = postings.overlap(other, lengths)
         exact = shared / (sizes[:, None] + lengths[None, :] - shared)
         theirs = ragged(rows["sig"])[0].reshape(rows.num_rows, -1)
         equal = np.zeros((n_left, rows.num_rows), dtype=np.int64)
@@ -209,7 +209,3 @@ def metric_summary(signatures: DataFrame, repetitions: int) -> DataFrame:
         *[F.round(F.avg(name), 9).alias(f"avg_{name}") for name in ("jaccard", "cosine", "hamming")],
         F.round(F.avg("euclidean"), 2).alias("avg_euclidean"),
     )
-
-
-def sampled(docs: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    return sample_first(shuffled(docs.select("doc_id"), seed=seed), fraction)

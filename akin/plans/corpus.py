@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from akin.config import SearchConfig
 from akin.functions.text import normalise, shingle_ids
 from akin.functions.signature import text_signature
-from akin.operators.blocks import set_scorer, signature_scorer, top_rows
+from akin.operators.blocks import set_scorer, signature_scorer, top_rows, tops_of
 from akin.operators.ordering import cuts, order_key, up_to
 from akin.session import materialise
 
@@ -22,12 +22,14 @@ class Split:
 
     ``docs`` has one row per document: doc_id, title, text (normalised), order_key and ``roles``,
     an array of (cell, is_train, is_query) with one entry per grid cell the document belongs to.
-    ``n_docs`` counts the requested documents of each cell.
+    ``n_docs`` counts the requested documents of each cell, and ``cells`` names the cell of each size asked for: sizes
+    that the corpus cuts to the same number of documents share a cell and are searched once.
     """
 
     docs: DataFrame
     cfg: SearchConfig
     n_docs: dict[int, int]
+    cells: tuple[int, ...] = (0,)
 
     def side(self, role: str, *columns: Column | str) -> DataFrame:
         """``cell`` and the given columns of the documents with a role, once per cell.
@@ -63,16 +65,16 @@ def holdout(docs: DataFrame, cfg: SearchConfig, sizes: tuple[int, ...] | None =
     neither sorted nor shuffled.
     """
     n_all = docs.count()
-    n_docs = {}
-    for cell, size in enumerate(sizes or (cfg.content_size,)):
-        n_docs[cell] = min(size, n_all) if size else n_all
+    held = [min(size, n_all) if size else n_all for size in sizes or (cfg.content_size,)]
+    distinct = list(dict.fromkeys(held))
+    n_docs = dict(enumerate(distinct))
     ends = {cell: (n - n // cfg.query_divisor, n) for cell, n in n_docs.items()}
     found = cuts(docs, sorted({rank for pair in ends.values() for rank in pair}), seed=cfg.seed)
     roles = []
     for cell, (split, n) in ends.items():
         is_train = up_to(found.get(split))
         roles.append(role(cell, up_to(found.get(n)), is_train, ~is_train))
-    return Split(with_roles(docs, cfg, roles), cfg, n_docs)
+    return Split(with_roles(docs, cfg, roles), cfg, n_docs, tuple(distinct.index(n) for n in held))
 
 
 def whole(docs: DataFrame, cfg: SearchConfig, n_skip: int) -> Split:
@@ -113,15 +115,22 @@ def exact_sides(split: Split) -> tuple[DataFrame, DataFrame, Callable, tuple[int
     return queries, train, set_scorer("shingles"), (sizes[0], sizes[1])
 
 
-def signature_sides(table: DataFrame, column: str = "sig") -> tuple[DataFrame, DataFrame, Callable, tuple[int, int]]:
-    """Query and train signatures for a search in blocks, with their scorer and sizes."""
-    rows = table.filter(F.col(column).isNotNull())
-    sizes = rows.agg(
-        *[F.coalesce(F.sum(F.when(F.col(role), F.size(column))), F.lit(0)) for role in ("is_query", "is_train")]
-    ).first()
-    queries = rows.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), F.col(column).alias("sig"))
-    train = rows.filter("is_train").select("cell", "doc_id", "order_key", F.col(column).alias("sig"))
-    return queries, train, signature_scorer("sig"), (sizes[0], sizes[1])
+def signature_sides(
+    table: DataFrame, columns: list[str]
+) -> tuple[DataFrame, DataFrame, tuple[int, int]]:
+    """Query and train signatures for a search in blocks, and their sizes; rows without one of the columns are left out."""
+    rows = table.dropna(subset=columns)
+    held = sum((F.size(c) for c in columns[1:]), F.size(columns[0]))
+    sizes = rows.agg(*[F.coalesce(F.sum(F.when(F.col(role), held)), F.lit(0)) for role in ("is_query", "is_train")]).first()
+    queries = rows.filter("is_query").select("cell", F.col("doc_id").alias("query_id"), *columns)
+    train = rows.filter("is_train").select("cell", "doc_id", "order_key", *columns)
+    return queries, train, (sizes[0], sizes[1])
+
+
+def signature_profile(table: DataFrame, column: str = "sig") -> tuple[DataFrame, DataFrame, Callable, tuple[int, int]]:
+    """Both sides, scorer and sizes for sums over all pairs."""
+    queries, train, sizes = signature_sides(table, [column])
+    return queries, train, signature_scorer(column), sizes
 
 
 def exact_top(split: Split, n: int) -> DataFrame:
@@ -129,6 +138,16 @@ def exact_top(split: Split, n: int) -> DataFrame:
     return top_rows(*exact_sides(split), n)
 
 
+def signature_tops(table: DataFrame, n: int, kinds: dict[str, tuple[str, int]]) -> DataFrame:
+    """The lists of several searches in one pass: ``kinds`` names the signature column and its length of each.
+
+    Rows: cell, kind, query_id, rank, doc_id, shared, score.
+    """
+    queries, train, sizes = signature_sides(table, sorted({column for column, _ in kinds.values()}))
+    scorers = {kind: signature_scorer(column, length) for kind, (column, length) in kinds.items()}
+    return tops_of(queries, train, scorers, sizes, n)
+
+
 def signature_top(table: DataFrame, n: int, column: str = "sig") -> DataFrame:
     """The ``n`` train documents with the most equal signature positions of each query."""
-    return top_rows(*signature_sides(table, column), n)
+    return top_rows(*signature_profile(table, column), n)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from akin.config import PRIME
+from akin.config import PRIME, SearchConfig
 from akin.functions.signature import minhash
 from akin.functions.text import normalise, strip_prefix, title_and_text
-from akin.operators.evaluate import query_stats
+from akin.operators.evaluate import candidate_grid, grid_means, list_grid, query_stats
 from akin.operators.keywords import extract_keywords, keyword_ids
 from akin.operators.textsearch import title_search
-from akin.plans.corpus import Split, exact_top, signature_top, signed
+from akin.plans.corpus import Split, exact_top, signature_tops, signed
 from akin.plans.quality import lsh_results, quality_parts, query_sizes
 from akin.session import materialise
 
@@ -51,18 +49,26 @@ def keyword_quality(split: Split, docs: DataFrame) -> DataFrame:
     n = cfg.n_results
     table = signed(split).join(keyword_signatures(docs, (cfg.n_keywords,), cfg.num_perm), "doc_id")
     exact = materialise(exact_top(split, n), "exact")
-    lists = {
-        "sig": materialise(signature_top(table, n), "approximate"),
-        "kw": materialise(signature_top(table, n, f"kw_{cfg.n_keywords}"), "by-keyword"),
-    }
+    found = materialise(signature_tops(table, n, signature_kinds(cfg, (cfg.n_keywords,))), "lists")
+    lists = {"sig": of_kind(found, "sig"), "kw": of_kind(found, f"kw_{cfg.n_keywords}")}
     stats = query_stats(quality_parts(exact, lsh_results(table, exact, cfg), lists, n))
     return stats.join(query_sizes(table, cfg.num_perm), ["cell", "query_id"])
 
 
+def signature_kinds(cfg: SearchConfig, sizes: tuple[int, ...]) -> dict[str, tuple[str, int]]:
+    """The full signature and those of the keyword lists, for one pass of ``signature_tops``."""
+    return {"sig": ("sig", cfg.num_perm)} | {f"kw_{m}": (f"kw_{m}", cfg.num_perm) for m in sizes}
+
+
+def of_kind(lists: DataFrame, kind: str) -> DataFrame:
+    return lists.filter(F.col("kind") == kind).drop("kind")
+
+
 def keyword_sweep(split: Split, docs: DataFrame, sizes: tuple[int, ...], tops: tuple[int, ...]) -> DataFrame:
     """Mean overlaps per content size (cell), number of keywords and list length.
 
-    One pass with the longest lists; a grid row filters them by rank.
+    One pass with the longest lists finds those of all signatures, and one long table (cell, query, kind, length) is grouped
+    for the whole grid.
     """
     cfg = split.cfg
     n = max(tops)
@@ -70,23 +76,9 @@ def keyword_sweep(split: Split, docs: DataFrame, sizes: tuple[int, ...], tops: t
         signed(split).join(keyword_signatures(with_a_role(split, docs), sizes, cfg.num_perm), "doc_id"), "keyword-table"
     )
     exact = materialise(exact_top(split, n), "exact")
-    approximate = materialise(signature_top(table, n), "approximate")
-    lsh = lsh_results(table, exact, cfg)
-    runs = []
-    for m in sizes:
-        by_keyword = materialise(signature_top(table, n, f"kw_{m}"), "by-keyword")
-        for top in tops:
-            stats = query_stats(quality_parts(exact, lsh, {"sig": approximate, "kw": by_keyword}, top))
-            runs.append(
-                stats.groupBy("cell")
-                .agg(
-                    F.count(F.lit(1)).alias("n_evaluated"),
-                    *[F.round(F.avg(f"overlap_{x}"), 9).alias(f"avg_overlap_{x}") for x in ("lsh", "sig", "kw")],
-                )
-                .withColumn("n_keywords", F.lit(m).cast("long"))
-                .withColumn("n_results", F.lit(top).cast("long"))
-            )
-    return reduce(DataFrame.unionByName, runs)
+    lists = materialise(signature_tops(table, n, signature_kinds(cfg, sizes)), "lists")
+    overlaps = list_grid(exact, lists, tops).unionByName(candidate_grid(*lsh_results(table, exact, cfg), tops))
+    return grid_means(overlaps, {m: {"lsh": "lsh", "sig": "sig", "kw": f"kw_{m}"} for m in sizes}, "n_keywords")
 
 
 def external_top(split: Split, n: int) -> DataFrame:
@@ -96,32 +88,22 @@ def external_top(split: Split, n: int) -> DataFrame:
     return title_search(titles, train, split.n_docs[0], n)
 
 
-def whole_corpus_lists(split: Split, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """Signatures, exact lists and the signature, keyword and title-search lists of a split."""
+def whole_corpus_lists(split: Split, docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures, exact lists, and the lists of kinds sig, kw and ext (signature, keyword and title search) of a split."""
     cfg = split.cfg
-    table = materialise(
-        signed(split).join(keyword_signatures(docs, (cfg.n_keywords,), cfg.num_perm), "doc_id"), "whole-table"
-    )
+    m = cfg.n_keywords
+    table = materialise(signed(split).join(keyword_signatures(docs, (m,), cfg.num_perm), "doc_id"), "whole-table")
     exact = materialise(exact_top(split, n), "exact")
-    lists = {
-        "sig": materialise(signature_top(table, n), "approximate"),
-        "kw": materialise(signature_top(table, n, f"kw_{cfg.n_keywords}"), "by-keyword"),
-        "ext": materialise(external_top(split, n), "external"),
-    }
-    return table, exact, lists
+    kinds = {"sig": ("sig", cfg.num_perm), "kw": (f"kw_{m}", cfg.num_perm)}
+    external = external_top(split, n).withColumn("kind", F.lit("ext"))
+    columns = ["cell", "query_id", "kind", "rank", "doc_id"]
+    lists = signature_tops(table, n, kinds).select(*columns).unionByName(external.select(*columns))
+    return table, exact, materialise(lists, "lists")
 
 
 def top_sweep(split: Split, docs: DataFrame, tops: tuple[int, ...]) -> DataFrame:
-    """Mean overlaps per list length over the whole corpus, trained once."""
+    """Mean overlaps per list length over the whole corpus, trained once and grouped once for all lengths."""
     table, exact, lists = whole_corpus_lists(split, docs, max(tops))
-    lsh = lsh_results(table, exact, split.cfg)
-    runs = []
-    for n in tops:
-        stats = query_stats(quality_parts(exact, lsh, lists, n))
-        runs.append(
-            stats.agg(
-                F.count(F.lit(1)).alias("n_evaluated"),
-                *[F.round(F.avg(f"overlap_{x}"), 9).alias(f"avg_overlap_{x}") for x in ("lsh", "sig", "kw", "ext")],
-            ).withColumn("n_results", F.lit(n).cast("long"))
-        )
-    return reduce(DataFrame.unionByName, runs)
+    overlaps = list_grid(exact, lists, tops).unionByName(candidate_grid(*lsh_results(table, exact, split.cfg), tops))
+    kinds = {name: name for name in ("lsh", "sig", "kw", "ext")}
+    return grid_means(overlaps, {split.cfg.n_keywords: kinds}, "n_keywords").drop("cell", "n_keywords")

@@ -482,7 +482,7 @@ def pairs_exact(spark, sf_dir):
 
 @query
 def pairs_signature(spark, sf_dir):
-    return profile(*corpus.signature_sides(corpus.signed(run_of(spark, sf_dir)))).drop("cell")
+    return profile(*corpus.signature_profile(corpus.signed(run_of(spark, sf_dir)))).drop("cell")
 
 
 def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -493,7 +493,7 @@ def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pairs_keyword(spark, sf_dir):
-    sides = corpus.signature_sides(keyword_table(spark, sf_dir), f"kw_{KEYWORDS.n_keywords}")
+    sides = corpus.signature_profile(keyword_table(spark, sf_dir), f"kw_{KEYWORDS.n_keywords}")
     return profile(*sides).drop("cell")
 
 
@@ -686,7 +686,7 @@ def footprint(spark, sf_dir):
 
 
 def cell_values(spark: SparkSession, split: corpus.Split, sizes: tuple[int, ...]) -> DataFrame:
-    rows = [(cell, size, split.n_docs[cell]) for cell, size in enumerate(sizes)]
+    rows = [(cell, size, split.n_docs[cell]) for cell, size in zip(split.cells, sizes, strict=True)]
     return F.broadcast(spark.createDataFrame(rows, "cell int, content_size long, n_docs long"))
 
 
