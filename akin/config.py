@@ -24,6 +24,8 @@ class SearchConfig:
     content_size: int = 0
     n_keywords: int = 25
     seed: int = 42
+    # Shingles of exactly ``shingle_size`` characters (``exact``) or of every length up to it (``upto``).
+    shingle_mode: str = "exact"
 
     @property
     def bands(self) -> tuple[int, int]:

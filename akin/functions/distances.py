@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def jaccard_sets(left: Column, right: Column) -> Column:
-    """Shared over united elements of two sets; null when both are empty."""
+    """Shared over united elements of two sets; null when both are empty. Their union is counted, not built."""
     return jaccard_counts(F.size(F.array_intersect(left, right)), F.size(left), F.size(right))
 
 
@@ -56,6 +58,30 @@ def euclidean(left: Column, right: Column) -> Column:
     )
 
 
+def norm(values: Column) -> Column:
+    """Length of a vector."""
+    return F.sqrt(_sum(F.transform(values, lambda x: x.cast("double") * x.cast("double"))))
+
+
+def metrics(left: Column, right: Column, left_norm: Column, right_norm: Column) -> Column:
+    """Struct of the four metrics that are numbers, of vectors of one length whose norms are known: a batch is two matrices."""
+
+    @F.arrow_udf("struct<jaccard:double,cosine:double,hamming:double,euclidean:double>")
+    def compare(left: pa.Array, right: pa.Array, left_norm: pa.Array, right_norm: pa.Array) -> pa.Array:
+        a, b = (side.flatten().to_numpy(zero_copy_only=False).reshape(len(side), -1) for side in (left, right))
+        width = max(1, a.shape[1])
+        equal = (a == b).sum(axis=1)
+        a, b = a.astype(np.float64), b.astype(np.float64)
+        lengths = left_norm.to_numpy(zero_copy_only=False) * right_norm.to_numpy(zero_copy_only=False)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cosine = 1 - np.einsum("ij,ij->i", a, b) / lengths
+        a -= b
+        columns = [equal / width, cosine, (width - equal) / width, np.sqrt(np.einsum("ij,ij->i", a, a))]
+        return pa.StructArray.from_arrays([pa.array(c, pa.float64()) for c in columns], ["jaccard", "cosine", "hamming", "euclidean"])
+
+    return compare(left, right, left_norm, right_norm)
+
+
 def pct_change(current: Column, previous: Column) -> Column:
     """Relative difference in percent: equal values give 100, a zero base gives 0."""
     return (

@@ -58,13 +58,13 @@ def _ends(batch: pa.Array) -> np.ndarray:
     return np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1]
 
 
-def text_signature(text: Column, k: int, num_perm: int) -> Column:
+def text_signature(text: Column, k: int, num_perm: int, mode: str = "exact") -> Column:
     """Struct (n_shingles, shingle_bytes, sig) of a text, whose shingle set stays in the worker."""
     permuter = Permuter(permutations(num_perm))
 
     @F.arrow_udf("struct<n_shingles:bigint,shingle_bytes:bigint,sig:array<bigint>>")
     def sign(batch: pa.Array) -> pa.Array:
-        found = [id_set_and_bytes(t or "", k) for t in batch.to_pylist()]
+        found = [id_set_and_bytes(t or "", k, mode) for t in batch.to_pylist()]
         return pa.StructArray.from_arrays(
             [
                 pa.array([len(ids) for ids, _ in found], pa.int64()),

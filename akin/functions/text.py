@@ -118,18 +118,26 @@ def id_set(text: str, sizes: range) -> np.ndarray:
     return np.unique(np.concatenate([ids_in_place(points, size) for size in sizes])).view(np.int64)
 
 
-def id_set_and_bytes(text: str, size: int) -> tuple[np.ndarray, int]:
-    """Sorted distinct shingle ids of one text, and the UTF-8 bytes of the distinct shingles."""
+def id_set_and_bytes(text: str, k: int, mode: str = "exact") -> tuple[np.ndarray, int]:
+    """Sorted distinct shingle ids of one text, and the UTF-8 bytes of the distinct shingles; nothing for texts shorter than k."""
     points = code_points(text)
+    if len(points) < k:
+        return np.empty(0, dtype=np.int64), 0
+    found = [_ids_and_bytes(points, size) for size in _sizes(k, mode)]
+    ids = found[0][0] if len(found) == 1 else np.unique(np.concatenate([ids for ids, _ in found]))
+    return ids.view(np.int64), sum(n_bytes for _, n_bytes in found)
+
+
+def _ids_and_bytes(points: np.ndarray, size: int) -> tuple[np.ndarray, int]:
     ids = ids_in_place(points, size)
-    if not len(ids) or points.max() < 128:
+    if points.max() < 128:
         ids = np.unique(ids)
-        return ids.view(np.int64), size * len(ids)
+        return ids, size * len(ids)
     ids, first = np.unique(ids, return_index=True)
     # Bytes of each character by the limits of UTF-8, summed over each shingle's first place.
     widths = 1 + sum((points >= limit).astype(np.int64) for limit in (0x80, 0x800, 0x10000))
     ends = np.concatenate([[0], np.cumsum(widths)])
-    return ids.view(np.int64), int((ends[first + size] - ends[first]).sum())
+    return ids, int((ends[first + size] - ends[first]).sum())
 
 
 def list_array(rows: list) -> pa.ListArray:

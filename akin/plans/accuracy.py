@@ -160,10 +160,10 @@ def raw_signatures(docs: DataFrame, k: int, num_perm: int) -> DataFrame:
     return materialise(rows, "raw-signatures").filter("n_shingles > 0").withColumn("sig_id", sig_id(F.col("sig")))
 
 
-def consecutive_pairs(signatures: DataFrame, seeds: Sequence[int]) -> DataFrame:
+def consecutive_pairs(signatures: DataFrame, seeds: Sequence[int], columns: Sequence[str] = ("sig",)) -> DataFrame:
     """Neighbours in seeded orders of the signatures, except the last pair of each order.
 
-    Rows: repetition (the seed), pos, a_doc_id, b_doc_id, a_sig, b_sig. Neighbours meet in an
+    Rows: repetition (the seed), pos, a_doc_id, b_doc_id and the ``columns`` of both, as a_sig, b_sig. Neighbours meet in an
     equi-join on their place, so no task sees a whole order, and only ids are ordered.
     """
     ids = signatures.select("doc_id", F.explode(F.array(*[F.lit(s).cast("long") for s in seeds])).alias("repetition"))
@@ -174,7 +174,7 @@ def consecutive_pairs(signatures: DataFrame, seeds: Sequence[int]) -> DataFrame:
     second = ordered.select("repetition", (F.col("pos") - 1).alias("pos"), F.col("doc_id").alias("b_doc_id"))
     pairs = first.join(second, ["repetition", "pos"])
     for side in ("a", "b"):
-        own = signatures.select(F.col("doc_id").alias(f"{side}_doc_id"), F.col("sig").alias(f"{side}_sig"))
+        own = signatures.select(F.col("doc_id").alias(f"{side}_doc_id"), *[F.col(c).alias(f"{side}_{c}") for c in columns])
         pairs = pairs.join(own, f"{side}_doc_id")
     return pairs
 
@@ -195,15 +195,16 @@ def pair_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def metric_summary(signatures: DataFrame, repetitions: int) -> DataFrame:
-    """Mean of each metric over the neighbours of every reshuffle."""
-    a, b = F.col("a_sig"), F.col("b_sig")
-    rows = consecutive_pairs(signatures, range(1, repetitions + 1)).select(
-        "repetition",
-        distances.jaccard_estimate(a, b).alias("jaccard"),
-        distances.cosine(a, b).alias("cosine"),
-        distances.hamming(a, b).alias("hamming"),
-        distances.euclidean(a, b).alias("euclidean"),
-    )
+    """Mean of each metric over the neighbours of every reshuffle.
+
+    Norms are taken once for each signature, not for each pair; a pair's vectors are joined at four bytes a position and
+    compared a batch at a time.
+    """
+    narrow = signatures.select("doc_id", F.col("sig").cast("array<int>").alias("sig"), distances.norm(F.col("sig")).alias("norm"))
+    narrow = materialise(narrow, "norms")
+    pairs = consecutive_pairs(narrow, range(1, repetitions + 1), ("sig", "norm"))
+    compared = distances.metrics(F.col("a_sig"), F.col("b_sig"), F.col("a_norm"), F.col("b_norm"))
+    rows = pairs.select("repetition", compared.alias("metrics")).select("repetition", "metrics.*")
     return rows.groupBy("repetition").agg(
         F.count(F.lit(1)).alias("n_pairs"),
         *[F.round(F.avg(name), 9).alias(f"avg_{name}") for name in ("jaccard", "cosine", "hamming")],

@@ -92,7 +92,7 @@ def signed(split: Split) -> DataFrame:
     One row per grid cell and document, with its roles in that cell; a document is signed once.
     """
     cfg = split.cfg
-    signature = text_signature(F.col("text"), cfg.shingle_size, cfg.num_perm).alias("signed")
+    signature = text_signature(F.col("text"), cfg.shingle_size, cfg.num_perm, cfg.shingle_mode).alias("signed")
     rows = split.docs.filter(F.size("roles") > 0).select("doc_id", "title", "order_key", "roles", signature)
     table = materialise(rows.select("*", "signed.*").drop("signed"), "signatures").filter("n_shingles > 0")
     return table.select("*", F.inline("roles")).drop("roles")
@@ -101,15 +101,16 @@ def signed(split: Split) -> DataFrame:
 def exact_sides(split: Split) -> tuple[DataFrame, DataFrame, Callable, tuple[int, int]]:
     """Query and train shingle sets for a search in blocks, with their scorer and sizes.
 
-    The sizes are the characters of both sides over all cells: a text has at most as many shingles.
+    The sizes are the characters of both sides over all cells, for each length of shingles: a text has at most as many shingles.
     """
+    lengths = 1 if split.cfg.shingle_mode == "exact" else split.cfg.shingle_size
 
     def chars(role: str) -> Column:
         cells = F.size(F.filter("roles", lambda r: r[role]))
-        return F.coalesce(F.sum(F.length("text") * cells), F.lit(0)).cast("long")
+        return F.coalesce(F.sum(F.length("text") * cells * lengths), F.lit(0)).cast("long")
 
     sizes = split.docs.filter(F.size("roles") > 0).agg(chars("is_query"), chars("is_train")).first()
-    shingles = shingle_ids(F.col("text"), split.cfg.shingle_size).alias("shingles")
+    shingles = shingle_ids(F.col("text"), split.cfg.shingle_size, split.cfg.shingle_mode).alias("shingles")
     queries = split.side("is_query", F.col("doc_id").alias("query_id"), shingles)
     train = split.side("is_train", "doc_id", "order_key", shingles)
     return queries, train, set_scorer("shingles"), (sizes[0], sizes[1])

@@ -182,18 +182,56 @@ def sink_metrics(spark, sf_dir):
     return through_sink(distance_metrics(spark, sf_dir), "metrics")
 
 
-@query
-def sink_doc_stats(spark, sf_dir):
+def signing_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and keywords that go into the signatures of every document, times the permutations."""
     cfg = KEYWORDS
     docs = spoken(spark, sf_dir)
     counts = counted(spark, sf_dir, cfg.shingle_size)
     found = materialise(keywords.extract_keywords(keyword_quality.keyword_input(docs), cfg.n_keywords), "keywords")
-    rows = counts.join(found.filter("keywords is not null"), "doc_id").select(
+    return counts.join(found.filter("keywords is not null"), "doc_id").select(
         "doc_id",
         (F.col("n_shingles") * cfg.num_perm).alias("full_cost"),
         (F.size("keywords").cast("long") * cfg.num_perm).alias("keyword_cost"),
     )
-    return through_sink(rows, "doc-stats")
+
+
+@query
+def sink_doc_stats(spark, sf_dir):
+    return through_sink(signing_costs(spark, sf_dir), "doc-stats")
+
+
+@query
+def sink_signing_stats(spark, sf_dir):
+    titles = documents(spark, sf_dir).select("doc_id", text.strip_prefix(F.col("title")).alias("title"))
+    rows = signing_costs(spark, sf_dir).join(titles, "doc_id")
+    number = F.lit(KEYWORDS.n_keywords).cast("long").alias("n_keywords")
+    return through_sink(with_config(rows, KEYWORDS).select("*", number), "signing-stats")
+
+
+@query
+def sink_corpus_stats(spark, sf_dir):
+    rows = clean_signatures(spark, sf_dir, METRICS).agg(
+        F.lit("documents").alias("dataset"),
+        F.count(F.lit(1)).alias("n_titles"),
+        F.round(F.avg(F.when(F.col("n_shingles") > 0, F.col("n_shingles") * METRICS.num_perm)), 6).alias("avg_cost"),
+    )
+    return through_sink(rows, "corpus-stats")
+
+
+@query
+def sink_metric_means(spark, sf_dir):
+    rows = metric_summary(spark, sf_dir).select(F.lit("documents").alias("dataset"), "*")
+    return through_sink(rows, "metric-means")
+
+
+@query
+def sink_keyword_stats(spark, sf_dir):
+    return through_sink(keyword_stats(spark, sf_dir), "keyword-stats")
+
+
+@query
+def sink_whole_stats(spark, sf_dir):
+    return through_sink(whole_stats(spark, sf_dir), "whole-stats")
 
 
 # ---- projections and filters ----
@@ -538,6 +576,11 @@ def topk_exact(spark, sf_dir):
     return corpus.exact_top(run_of(spark, sf_dir), CFG.n_results).drop("cell")
 
 
+@query
+def topk_upto(spark, sf_dir):
+    return corpus.exact_top(run_of(spark, sf_dir, CFG.with_(shingle_mode="upto")), CFG.n_results).drop("cell")
+
+
 @query
 def topk_signature(spark, sf_dir):
     return corpus.signature_top(corpus.signed(run_of(spark, sf_dir)), CFG.n_results).drop("cell")
@@ -558,6 +601,12 @@ def external_results(spark, sf_dir):
     return named.select("query_id", "rank", "doc_id", "title", "shared", "score")
 
 
+@query
+def external_without_first(spark, sf_dir):
+    split, _ = whole_split(spark, sf_dir)
+    return keyword_quality.external_top(split, WHOLE.n_results, without_first=True).drop("cell")
+
+
 # ---- evaluation ----
 
 
@@ -629,6 +678,13 @@ def keyword_stats(spark, sf_dir):
     return with_config(rows, KEYWORDS).withColumn("n_keywords", F.lit(KEYWORDS.n_keywords).cast("long"))
 
 
+@query
+def whole_stats(spark, sf_dir):
+    split, docs = whole_split(spark, sf_dir)
+    rows = with_config(keyword_quality.whole_stats(split, docs, "pages"), WHOLE)
+    return rows.drop("query_divisor").withColumn("n_keywords", F.lit(WHOLE.n_keywords).cast("long"))
+
+
 @query
 def global_stats(spark, sf_dir):
     return with_config(quality.search_quality(run_of(spark, sf_dir))[1], CFG)
@@ -663,6 +719,13 @@ def error_counts(spark, sf_dir):
     )
 
 
+@query
+def error_stages(spark, sf_dir):
+    docs = spoken(spark, sf_dir)
+    stages = keyword_quality.query_stages(corpus.holdout(docs, KEYWORDS), docs)
+    return stages.groupBy("stage").agg(F.count(F.lit(1)).alias("n_queries"))
+
+
 @query
 def index_coverage(spark, sf_dir):
     split = run_of(spark, sf_dir)

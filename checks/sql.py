@@ -492,6 +492,21 @@ def sweep_topn() -> str:
     return chain(*ctes) + " UNION ALL ".join(selects)
 
 
+def whole_stats() -> str:
+    cfg, n = WHOLE, WHOLE.n_results
+    ctes = [*whole_corpus(n), "exact_top AS (SELECT * FROM exact_all)", sig_pairs(), top("sig_pairs", "sig_top", n)]
+    ctes += [*keyword_tables(cfg.n_keywords, lang=False), readable_keyword_sign(cfg.n_keywords, cfg.num_perm)]
+    ctes += [sig_pairs("kw_sig", "kw_pairs"), top("kw_pairs", "kw_top", n), LSH_EVAL, query_sizes(cfg)]
+    ctes += [list_eval(name, f"{name}_top") for name in ("sig", "kw", "ext")]
+    joined = "lsh_eval" + "".join(f" JOIN {t} USING (query_id)" for t in ("sig_eval", "kw_eval", "ext_eval", "sizes"))
+    rows = f"""SELECT 'pages' AS dataset, e.*, title, {8 * cfg.num_perm}::BIGINT AS keyword_sig_bytes,
+  (SELECT count(*) FROM train JOIN sh_n USING (doc_id)) AS n_compared
+  FROM (SELECT * FROM {joined}) e JOIN corpus ON corpus.doc_id = e.query_id"""
+    return chain(*ctes) + with_config(rows, cfg, f"{cfg.n_keywords}::BIGINT AS n_keywords,").replace(
+        f"SELECT {cfg.query_divisor}::BIGINT AS query_divisor,", "SELECT"
+    )
+
+
 def sweep_accuracy() -> str:
     ctes, selects = [DOCUMENTS, *SAMPLES, BOTH, SAMPLE_PAIRS], []
     for k in SHINGLE_SIZES:
@@ -537,6 +552,10 @@ def oracles() -> dict[str, str]:
         list_eval("kw", "kw_top"),
         query_sizes(KEYWORDS),
     ]
+    keyword_stats = chain(*kw_quality) + with_config(
+        "SELECT * FROM lsh_eval JOIN sig_eval USING (query_id) JOIN kw_eval USING (query_id) JOIN sizes USING (query_id)",
+        KEYWORDS, f"{8 * KEYWORDS.num_perm}::BIGINT AS keyword_sig_bytes, {KEYWORDS.n_keywords}::BIGINT AS n_keywords,",
+    )
     keyword_only = [DOCUMENTS, *keyword_tables(KEYWORDS.n_keywords)]
     metric = [*raw_signatures(), consecutive(), METRIC_PAIRS]
     pair = "pos, a_doc_id, b_doc_id"
@@ -558,6 +577,18 @@ def oracles() -> dict[str, str]:
   FROM sizes LEFT JOIN lsh_eval USING (query_id) LEFT JOIN sig_eval USING (query_id)"""
     global_stats = chain(*quality) + with_config(overall, CFG)
     metric_rows = f"SELECT {pair}, jaccard, xor, round(cosine, 9) AS cosine, hamming, round(euclidean, 3) AS euclidean FROM metrics"
+    metric_summary = chain(
+        *raw_signatures(), consecutive(f"(SELECT unnest(generate_series(1, {REPETITIONS})) AS repetition)"), METRIC_PAIRS
+    ) + """SELECT repetition, count(*) AS n_pairs, round(avg(jaccard), 9) AS avg_jaccard,
+  round(avg(cosine), 9) AS avg_cosine, round(avg(hamming), 9) AS avg_hamming, round(avg(euclidean), 2) AS avg_euclidean
+  FROM metrics GROUP BY repetition"""
+    doc_stats = f"""SELECT doc_id, n * {KEYWORDS.num_perm} AS full_cost, m * {KEYWORDS.num_perm} AS keyword_cost FROM sh_n
+  JOIN (SELECT doc_id, count(*) AS m FROM kw GROUP BY doc_id) USING (doc_id)"""
+    doc_costs = chain(*keyword_only, CLEAN, shingles(KEYWORDS.shingle_size))
+    long_enough = f"doc_id IN (SELECT doc_id FROM roles WHERE length(s) >= {k})"
+    all_sizes = " UNION ALL ".join(f"SELECT * FROM sh{size} WHERE {long_enough}" for size in range(1, k + 1))
+    split_upto = [DOCUMENTS, placed(), holdout(CFG), QUERIES, TRAIN, *[shingles(size, f"sh{size}") for size in range(1, k + 1)]]
+    split_upto += [f"sh AS ({all_sizes})", "sh_n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id)", exact_pairs()]
     accuracy = "SELECT k, num_perm, a_doc_id, b_doc_id, jaccard, estimate, pct_diff FROM rows"
     out = {
         "scan_articles": chain(ARTICLES) + "SELECT * FROM articles",
@@ -580,9 +611,15 @@ def oracles() -> dict[str, str]:
         "sink_global_stats": global_stats,
         "sink_accuracy": chain(*sample_rows) + f"SELECT {SAMPLE}::BIGINT AS n, * FROM ({accuracy})",
         "sink_metrics": chain(*metric) + metric_rows,
-        "sink_doc_stats": chain(*keyword_only, CLEAN, shingles(KEYWORDS.shingle_size)) + f"""
-  SELECT doc_id, n * {KEYWORDS.num_perm} AS full_cost, m * {KEYWORDS.num_perm} AS keyword_cost FROM sh_n
-  JOIN (SELECT doc_id, count(*) AS m FROM kw GROUP BY doc_id) USING (doc_id)""",
+        "sink_doc_stats": doc_costs + doc_stats,
+        "sink_signing_stats": doc_costs + with_config(
+            f"SELECT d.*, doc_id::VARCHAR AS title FROM ({doc_stats}) d", KEYWORDS, f"{KEYWORDS.n_keywords}::BIGINT AS n_keywords,"
+        ),
+        "sink_corpus_stats": chain(DOCUMENTS, CLEAN, shingles(METRICS.shingle_size)) + f"""SELECT 'documents' AS dataset,
+  (SELECT count(*) FROM corpus) AS n_titles, round(avg(n * {METRICS.num_perm}), 6) AS avg_cost FROM sh_n""",
+        "sink_metric_means": f"SELECT 'documents' AS dataset, * FROM ({metric_summary})",
+        "sink_keyword_stats": keyword_stats,
+        "sink_whole_stats": whole_stats(),
         "normalize_ws": f"SELECT doc_id, {clean()} AS text FROM documents",
         "strip_prefix": "SELECT doc_id, replace('A/' || source || '/A/' || doc_id, 'A/', '') AS title FROM documents",
         "title_text": chain(DOCUMENTS) + f"SELECT doc_id, title || ', ' || {clean()} AS full_text FROM corpus",
@@ -649,11 +686,14 @@ def oracles() -> dict[str, str]:
         "lsh_documents": chain(*base, bands(CFG), CANDIDATES) + "SELECT query_id, doc_id FROM candidates",
         "lsh_append": chain(*base, bands(CFG), CANDIDATES) + "SELECT query_id, count(*) AS n_candidates FROM candidates GROUP BY query_id",
         "topk_exact": chain(*no_sig, top("exact_pairs", "exact_top", n)) + "SELECT * FROM exact_top",
+        "topk_upto": chain(*split_upto, top("exact_pairs", "exact_top", n)) + "SELECT * FROM exact_top",
         "topk_signature": chain(*base, sig_pairs(), top("sig_pairs", "sig_top", n)) + "SELECT * FROM sig_top",
         "topk_keyword": chain(*kw, sig_pairs("kw_sig", "kw_pairs"), top("kw_pairs", "kw_top", n)) + "SELECT * FROM kw_top",
         "external_results": chain(PAGES, placed(), whole(), TRAIN, *title_search(WHOLE.n_results))
         + """SELECT query_id, rank, e.doc_id, replace(title, ' ', '_') AS title, shared, score FROM ext_top e
   JOIN corpus ON corpus.doc_id = e.doc_id""",
+        "external_without_first": chain(PAGES, placed(), whole(), TRAIN, *title_search(WHOLE.n_results + 1))
+        + "SELECT query_id, rank - 1 AS rank, doc_id, shared, score FROM ext_top WHERE rank > 1",
         "result_overlap": chain(*quality) + "SELECT e.query_id, e.doc_id FROM exact_top e JOIN sig_top USING (query_id, doc_id)",
         "recall_lsh": chain(*exact, bands(CFG), CANDIDATES, LSH_EVAL) + "SELECT * FROM lsh_eval",
         "recall_signature": chain(*quality) + "SELECT sig_eval.* FROM sig_eval JOIN lsh_counts USING (query_id)",
@@ -663,23 +703,22 @@ def oracles() -> dict[str, str]:
             top("exact_pairs", "exact_top", WHOLE.n_results), *title_search(WHOLE.n_results), list_eval("ext", "ext_top"),
         ) + "SELECT * FROM ext_eval",
         "query_stats": query_stats,
-        "keyword_stats": chain(*kw_quality) + with_config(
-            "SELECT * FROM lsh_eval JOIN sig_eval USING (query_id) JOIN kw_eval USING (query_id) JOIN sizes USING (query_id)",
-            KEYWORDS, f"{KEYWORDS.n_keywords}::BIGINT AS n_keywords,",
-        ),
+        "keyword_stats": keyword_stats,
+        "whole_stats": whole_stats(),
         "global_stats": global_stats,
         "accuracy_avg": chain(*self_rows(64))
         + "SELECT count(*) AS n_pairs, round(sum(pct_diff) / count(*), 9) AS avg_pct_diff FROM rows",
-        "metric_summary": chain(
-            *raw_signatures(), consecutive(f"(SELECT unnest(generate_series(1, {REPETITIONS})) AS repetition)"), METRIC_PAIRS
-        ) + """SELECT repetition, count(*) AS n_pairs, round(avg(jaccard), 9) AS avg_jaccard,
-  round(avg(cosine), 9) AS avg_cosine, round(avg(hamming), 9) AS avg_hamming, round(avg(euclidean), 2) AS avg_euclidean
-  FROM metrics GROUP BY repetition""",
+        "metric_summary": metric_summary,
         "error_counts": chain(*base, bands(CFG), CANDIDATES) + f"""SELECT count(*) AS n_queries,
   count(*) FILTER (length(s) < {k}) AS n_unreadable,
   count(*) FILTER (length(s) >= {k} AND doc_id NOT IN (SELECT query_id FROM candidates)) AS n_without_candidates,
   count(*) FILTER (length(s) >= {k} AND doc_id IN (SELECT query_id FROM candidates)) AS n_evaluated
   FROM roles WHERE is_query""",
+        "error_stages": chain(*kw, bands(KEYWORDS), CANDIDATES) + f"""SELECT stage, count(*) AS n_queries FROM (SELECT CASE
+  WHEN text IS NULL THEN 'missing' WHEN length(s) < {KEYWORDS.shingle_size} THEN 'short'
+  WHEN doc_id NOT IN (SELECT doc_id FROM kw) THEN 'keywords'
+  WHEN doc_id NOT IN (SELECT query_id FROM candidates) THEN 'candidates' ELSE 'evaluated' END AS stage
+  FROM roles WHERE is_query) GROUP BY stage""",
         "index_coverage": chain(DOCUMENTS, placed(), holdout(CFG)) + f"""SELECT count(*) AS n_requested,
   count(*) FILTER (length(s) >= {k}) AS n_indexed FROM roles WHERE is_train""",
         "footprint": chain(DOCUMENTS, CLEAN, shingles(6)) + """SELECT doc_id, sum(strlen(g))::BIGINT AS shingle_bytes,
