@@ -25,8 +25,9 @@ import re
 import struct
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,10 +35,13 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 NEVER = 1 << 40
 MEMO_CHUNKS = 1 << 19
+MEMO_LENGTH = 256  # longer chunks are not remembered
 MEMO_ARCS = 1 << 18
 # Python's str.split() also splits at these four, which are no white space in Unicode.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 WHITE = regex.compile(r"\p{White_Space}+")
+# Marks that may close a chunk, and the end of the Latin letters that every Unicode version knows.
+MARKS, LATIN_END = ".,;:!?", "\u0250"
 
 
 def byte_chars() -> list[str]:
@@ -61,6 +65,7 @@ class Automaton:
         vocab = {t: i for t, i in vocab.items() if i not in self.dead}
         # Labels inside a word, with -1 for strings that only begin one, and labels at a word's end.
         self.ends = {t.removesuffix(suffix): i for t, i in vocab.items() if t.endswith(suffix) and t != suffix}
+        self.longest_end = max(map(len, self.ends), default=0)
         self.labels = {t[:n]: -1 for t in vocab for n in range(1, len(t))}
         self.labels.update((t, i) for t, i in vocab.items() if not t.endswith(suffix) or t == suffix)
 
@@ -99,7 +104,7 @@ class Automaton:
     def encode(self, word: str) -> list[int]:
         """Token ids of a pre-split word, given in byte characters."""
         n, arcs = len(word), self.arcs
-        whole = self.ends.get(word)
+        whole = self.ends.get(word) if n <= self.longest_end else None
         if whole is not None:
             return [whole]
         closed, path, rest = {0}, [], [self._labels_at(word, 0)]
@@ -132,7 +137,7 @@ class Automaton:
                 break
             if token >= 0:
                 found.append((token, end))
-        token = self.ends.get(word[start:])
+        token = self.ends.get(word[start:]) if n - start <= self.longest_end else None
         if token is not None:
             found.append((token, n))
         return reversed(found)
@@ -143,7 +148,7 @@ class Tokenizer:
 
     Special tokens in a text are taken as such. The rest goes through NFC and lower-casing, is cut by the
     file's pattern, and each piece goes through the automaton. Results are remembered by
-    white-space chunk, at most twice MEMO_CHUNKS of them.
+    white-space chunk, at most twice MEMO_CHUNKS of them. A word of any length is read in a time that grows in proportion.
     """
 
     def __init__(self, path: str, compiled: bool = True):
@@ -152,6 +157,7 @@ class Tokenizer:
         model = spec["model"]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.suffix = model["end_of_word_suffix"]
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"]) if compiled else None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
@@ -176,7 +182,8 @@ class Tokenizer:
             known = self.words.get(piece)
             if known is None:
                 known = self.automaton.encode("".join(map(self.chars.__getitem__, piece.encode())))
-                self.words[piece] = known
+                if len(piece) <= MEMO_LENGTH:
+                    self.words[piece] = known
             ids += known
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -189,7 +196,7 @@ class Tokenizer:
         made = {c: self.old[c] for c in chunks if c in self.old}
         new = [c for c in chunks if c not in made]
         made.update(zip(new, self._packed(new), strict=True))
-        self.memo.update(made)
+        self.memo.update((c, ids) for c, ids in made.items() if len(c) <= MEMO_LENGTH)
         return made
 
     def _packed(self, chunks: list[str]) -> list[bytes]:
@@ -220,7 +227,11 @@ class Tokenizer:
 
 
 class LibraryTokenizer(Tokenizer):
-    """The same ids with chunks encoded by the tokenizers library instead of the automaton."""
+    """The same ids with chunks encoded by the tokenizers library instead of the automaton.
+
+    The pattern takes letters and marks apart, so a chunk of Latin letters and closing marks is the ids of its word and
+    of its marks: words are shared by all chunks that end in different marks, and are encoded many at a time.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -232,10 +243,38 @@ class LibraryTokenizer(Tokenizer):
         self.encoder.no_padding()
         # Special tokens are taken out before; what lower-casing turns into one is ordinary text.
         self.encoder.encode_special_tokens = True
+        self.ends_word = np.array([label.endswith(self.suffix) for label in self.labels])
+        self.words: dict[str, bytes] = {}
 
     def _packed(self, chunks: list[str]) -> list[bytes]:
-        found = self.encoder.encode_batch_fast(chunks, add_special_tokens=False)
-        return [struct.pack(f"<{len(x)}I", *x.ids) for x in found]
+        cut = [(core, chunk[len(core) :]) for chunk in chunks for core in (chunk.rstrip(MARKS),)]
+        plain = [0 < len(core) <= MEMO_LENGTH and core.isalpha() and max(core) < LATIN_END for core, _ in cut]
+        self._learn(dict.fromkeys(core for (core, _), p in zip(cut, plain, strict=True) if p))
+        parts = [tail for (_, tail), p in zip(cut, plain, strict=True) if p and tail]
+        parts += [chunk for chunk, p in zip(chunks, plain, strict=True) if not p]
+        parts = [part for part in dict.fromkeys(parts) if part not in self.words]
+        found = self.encoder.encode_batch_fast(parts, add_special_tokens=False)
+        odd = {part: struct.pack(f"<{len(x)}I", *x.ids) for part, x in zip(parts, found, strict=True)}
+        self.words.update((part, ids) for part, ids in odd.items() if len(part) <= MEMO_LENGTH)
+        known = lambda part: odd.get(part) or self.words.get(part, b"")
+        return [
+            (self.words[core] + (known(tail) if tail else b"")) if p else known(chunk)
+            for chunk, (core, tail), p in zip(chunks, cut, plain, strict=True)
+        ]
+
+    def _learn(self, words: Iterable[str]) -> None:
+        """Encode words of letters as one text; the last token of each is the one that ends a word."""
+        new = [w for w in words if w not in self.words]
+        if not new:
+            return
+        ids = np.array(self.encoder.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends_word[ids]) + 1)
+        packed = ids.tobytes()
+        if len(ends) != len(new):  # a vocabulary with words that no end label closes
+            singly = self.encoder.encode_batch_fast(new, add_special_tokens=False)
+            self.words.update((w, struct.pack(f"<{len(x)}I", *x.ids)) for w, x in zip(new, singly, strict=True))
+            return
+        self.words.update((w, packed[a:b]) for w, a, b in zip(new, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
 
 
 def tokenizer(path: str, kind: type[Tokenizer] = Tokenizer) -> Tokenizer:

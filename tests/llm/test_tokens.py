@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -145,3 +146,24 @@ def test_packed_rows(spark, library):
         assert [zlib.crc32(ids[s : s + 4096].tobytes()) for s in part.start] == part.ids_crc32.tolist()
         assert np.concatenate(part.ids.tolist()).tolist() == ids.tolist()
     assert packing.packed(docs.limit(0), PATH).collect() == []
+
+
+def test_words_share_ids_with_what_closes_them(library):
+    draw = random.Random(9)
+    own = bpe.LibraryTokenizer(PATH)
+    words = ["".join(draw.choices("abcdeßéñ", k=draw.randint(1, 9))) for _ in range(300)]
+    text = " ".join(draw.choice(words) + draw.choice(["", "", ".", ",", "...", "?!", "'s", "-x", "9."]) for _ in range(5000))
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_word_of_a_million_letters(library):
+    draw = random.Random(4)
+    word = "".join(draw.choices("abcdefghij", k=1_000_000))
+    started = time.process_time()
+    got = bpe.Tokenizer(PATH).encode(word)
+    assert time.process_time() - started < 60
+    short = word[:20_000]
+    assert np.frombuffer(bpe.Tokenizer(PATH).encode(short), "<u4").tolist() == library.encode(short, add_special_tokens=False).ids
+    labels = library.get_vocab(False)
+    names = {i: t for t, i in labels.items()}
+    assert "".join(names[i] for i in np.frombuffer(got, "<u4")) == word + "</w>"
