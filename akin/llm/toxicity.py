@@ -1,47 +1,53 @@
-"""Toxicity by the nearest labelled examples, found exactly under the cosine of TF-IDF weighted by chi-square.
+"""Toxicity by the nearest labelled examples, found exactly by cosine over a block-max inverted index.
 
-Terms are words and the character n-grams of words. Fitted on a bounded sample: ``PER_LABEL`` labelled examples of
-each class are the examples to search, and all their terms are the vocabulary; a term that no example has can't
-add to a cosine and isn't in the norms. A term weighs its idf, from document frequencies over all documents, times 1 and
-the chi-square of its occurrence and the label, so none is left out and those that tell the classes apart lead. The examples form an
-inverted index: postings of each term, and for terms that many examples hold a dense matrix instead. A document is
-compared with all examples that share a term, so the neighbours are exact. Their votes, weighted by cosine, go
-through a monotone map that was fitted to the votes on the examples themselves, each without itself.
+Terms are words. Fitted on a bounded sample: ``PER_LABEL`` labelled examples of each class, EXAMPLE_CHARS characters in all,
+are the examples to search and their words are the vocabulary; a word that no example has can't add to a cosine and isn't in
+the norms. A word weighs 1 + ln of its frequency times its idf, from document frequencies over all documents, times 1 and the
+chi-square of its occurrence and the label. That last factor goes beyond plain TF-IDF; what it is worth stands in the README.
 
-The model's size is that of the examples. It goes to every task as terms and counts, compressed, and is indexed there;
+The examples are dealt to blocks of BLOCK. The index holds, for every term and block, the largest weight there, and the postings
+of the block; terms that many examples hold are rows of a matrix in both. For a document the largest weights give each block
+an upper bound. Blocks are opened while their bound reaches the document's k-th best cosine so far, so what stays closed
+cannot hold a neighbour and the neighbours are exact. Their votes, weighted by cosine, go through a monotone map
+fitted to the votes on the examples themselves. There each is judged without itself, and with weights that have not
+seen its label: the chi-squares of a half of the examples are taken from the other half.
+
+The model's size is that of the examples. It goes to every worker as terms and counts, compressed, and is indexed there once;
 documents are scored where they are.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from akin.llm.labels import bounded_sample, prior, remainder, training_labels
-from akin.llm.tables import written
+from akin.llm.tables import dropped, written
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-PER_LABEL, BLOCK, NEAREST, EVIDENCE = 1500, 64, 15, 3
-COMMON = 8  # terms that one of so many examples holds are in the dense part
-SIZES = (4, 5)
+PER_LABEL, EXAMPLE_CHARS, NEAREST, EVIDENCE = 1500, 24_000_000, 15, 3
+BLOCK, QUERIES = 64, 256
+COMMON = 8  # terms that one of so many examples holds are rows of a matrix
+HALVES = 2
 MEMO_WORDS = 1 << 18
-ROWS = 512
 DIGITS = 12
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Rows(NamedTuple):
-    """Sparse rows: where each row starts, then the terms and weights of all."""
+    """Sparse rows: where each row starts, then the terms (rising) and weights of all."""
 
     starts: np.ndarray
     terms: np.ndarray
@@ -52,141 +58,195 @@ class Rows(NamedTuple):
         part = slice(self.starts[i], self.starts[i + 1])
         return self.terms[part], self.weights[part]
 
+    def owners(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
 
-class Examples(NamedTuple):
-    """The index: ids, labels and class weights of the examples, and their vectors.
-
-    ``postings`` are rows by term that hold example and weight. A term with a place in ``column`` (-1 for none) has none
-    but a row in ``common``, with a column for each example.
-    """
-
-    doc_ids: np.ndarray
-    labels: np.ndarray
-    class_weights: np.ndarray
-    postings: Rows
-    column: np.ndarray
-    common: np.ndarray
-    vectors: Rows | np.ndarray
-
-
-class Model(NamedTuple):
-    terms: dict[str, int]
-    value: np.ndarray
-    examples: Examples
-    base: float
-    votes: np.ndarray
-    scores: np.ndarray
+    def some(self, first: int, last: int) -> Rows:
+        low, high = self.starts[first], self.starts[last]
+        return Rows(self.starts[first : last + 1] - low, self.terms[low:high], self.weights[low:high], self.width)
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def terms_of(word: str) -> set[str]:
-    """The word between its marks and all n-grams of that."""
-    marked = f"^{word}$"
-    return {marked} | {marked[i : i + n] for n in SIZES for i in range(len(marked) - n + 1)}
+def stacked(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Rows:
+    starts = np.cumsum([0, *(len(t) for t, _ in rows)])
+    terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)])
+    return Rows(starts, terms, np.concatenate([np.zeros(0), *(w for _, w in rows)]), width)
 
 
-class Lookup(dict):
-    """Vocabulary terms of each word, remembered for at most MEMO_WORDS words."""
+def counted(texts: list[str | None], terms: dict[str, int]) -> Rows:
+    """Terms of each text and how often they occur."""
+    rows = []
+    for text in texts:
+        found = {terms[w]: n for w, n in Counter(words(text)).items() if w in terms}
+        order = np.argsort(at := np.fromiter(found, np.int32, len(found)), kind="stable")
+        rows.append((at[order], np.fromiter(found.values(), np.float64, len(found))[order]))
+    return stacked(rows, len(terms))
 
-    def __init__(self, terms: dict[str, int]):
-        super().__init__()
-        self.terms = terms
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        found = sorted(t for t in map(self.terms.get, terms_of(word)) if t is not None)
-        found = self[word] = np.array(found, np.int32)
-        return found
+def weighted(rows: Rows, value: np.ndarray) -> Rows:
+    """Counts turned into rows of length 1 with weights (1 + ln tf) * value of the term; empty rows stay empty."""
+    weights = (1 + np.log(rows.weights)) * value[rows.terms]
+    of = rows.owners()
+    norms = np.sqrt(np.bincount(of, weights**2, len(rows.starts) - 1))
+    return rows._replace(weights=weights / np.where(norms > 0, norms, 1)[of])
 
-    def held(self, text: str | None) -> np.ndarray:
-        """Terms of a text, as often as they occur."""
-        return np.concatenate([np.zeros(0, np.int32), *map(self.__getitem__, words(text))])
 
+class Block(NamedTuple):
+    """Examples ``first`` on: the matrix of common terms, and postings of the others by term."""
 
-def stacked(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Rows:
-    starts = np.cumsum([0, *(len(t) for t, _ in rows)])
-    terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)])
-    return Rows(starts, terms, np.concatenate([np.zeros(0), *(w for _, w in rows)]), width)
+    first: int
+    common: np.ndarray
+    terms: np.ndarray
+    starts: np.ndarray
+    places: np.ndarray
+    weights: np.ndarray
 
 
-def sparse(rows: Rows | np.ndarray) -> Rows:
-    if isinstance(rows, Rows):
-        return rows
-    return stacked([(np.flatnonzero(r).astype(np.int32), r[np.flatnonzero(r)]) for r in rows], rows.shape[1])
+class Examples(NamedTuple):
+    """The index: ids, labels and class weights of the examples, and their vectors in blocks.
 
+    ``column`` is a term's row in the matrices, -1 for the others. ``common_most`` and the rows of ``most`` hold the largest
+    weight of a term in each block. ``ranks`` orders equal cosines.
+    """
 
-def counted(texts: list[str | None], lookup: Lookup) -> Rows:
-    """Terms of each text and how often they occur."""
-    return stacked([np.unique(lookup.held(text), return_counts=True) for text in texts], len(lookup.terms))
+    doc_ids: np.ndarray
+    labels: np.ndarray
+    class_weights: np.ndarray
+    ranks: np.ndarray
+    vectors: Rows
+    column: np.ndarray
+    blocks: list[Block]
+    common_most: np.ndarray
+    most: Rows
 
 
-def weighted(rows: Rows, value: np.ndarray) -> Rows:
-    """Counts turned into rows of length 1 with weights (1 + ln tf) * value of the term; empty rows stay empty."""
-    weights = (1 + np.log(rows.weights)) * value[rows.terms]
-    of = np.repeat(np.arange(len(rows.starts) - 1), np.diff(rows.starts))
-    return rows._replace(weights=weights / np.sqrt(np.bincount(of, weights**2, len(rows.starts) - 1))[of])
-
-
-def indexed(doc_ids: np.ndarray, labels: np.ndarray, rows: Rows | np.ndarray, counts: tuple[int, int]) -> Examples:
-    """Order the examples by id and list them by term."""
-    order = np.lexsort((labels, doc_ids))
-    doc_ids, labels = doc_ids[order], labels[order]
-    given = sparse(rows)
-    kept = stacked([given.row(i) for i in order], given.width)
-    del given
-    n, often = len(order), np.bincount(kept.terms, minlength=kept.width)
-    of = np.repeat(np.arange(n, dtype=np.int32), np.diff(kept.starts))
-    column = np.full(kept.width, -1, np.int32)
+def indexed(doc_ids: np.ndarray, labels: np.ndarray, rows: Rows, counts: tuple[int, int]) -> Examples:
+    """Put examples of one kind together, by label and leading common term, and list them by block and term."""
+    n, often = len(doc_ids), np.bincount(rows.terms, minlength=rows.width)
+    column = np.full(rows.width, -1, np.int32)
     many = np.flatnonzero(often * COMMON >= max(n, 1))
     column[many] = np.arange(len(many))
-    dense = column[kept.terms] >= 0
-    common = np.zeros((len(many), n))
-    common[column[kept.terms[dense]], of[dense]] = kept.weights[dense]
-    at, terms, weights = of[~dense], kept.terms[~dense], kept.weights[~dense]
+    ranks = np.empty(n, np.int64)
+    ranks[np.lexsort((labels, doc_ids))] = np.arange(n)
+    leading = np.full(n, -1)
+    for i in range(n):
+        terms, weights = rows.row(i)
+        shared = column[terms] >= 0
+        leading[i] = terms[shared][weights[shared].argmax()] if shared.any() else -1
+    order = np.lexsort((ranks, leading, labels))
+    kept = stacked([rows.row(i) for i in order], rows.width)
+    blocks, tops = [], []
+    common_most = np.zeros((len(many), -(-n // BLOCK)))
+    for b, first in enumerate(range(0, n, BLOCK)):
+        part = kept.some(first, min(n, first + BLOCK))
+        of, at = part.owners(), column[part.terms]
+        matrix = np.zeros((len(many), len(part.starts) - 1))
+        matrix[at[at >= 0], of[at >= 0]] = part.weights[at >= 0]
+        common_most[:, b] = matrix.max(axis=1, initial=0)
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(part.terms[rare], kind="stable")]
+        terms, starts = np.unique(part.terms[rare], return_index=True)
+        blocks.append(Block(first, matrix, terms, np.append(starts, len(rare)), of[rare], part.weights[rare]))
+        if len(terms):
+            tops.append((terms, np.full(len(terms), b), np.maximum.reduceat(part.weights[rare], starts)))
+    terms, places, weights = (np.concatenate(c) for c in zip(*tops, strict=True)) if tops else (np.zeros(0, np.int64),) * 3
     by_term = np.argsort(terms, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=kept.width))])
-    postings = Rows(starts, at[by_term], weights[by_term], n)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=rows.width))])
+    most = Rows(starts, places[by_term], weights[by_term], len(blocks))
     # The sample takes both classes evenly: an example counts for the labelled rows it stands for.
-    sampled = np.bincount(labels, minlength=2)
-    shares = np.array(counts) / np.maximum(sampled, 1)
-    return Examples(doc_ids, labels, shares[labels], postings, column, common, kept if isinstance(rows, Rows) else rows[order])
-
-
-def nearest(queries: Rows | np.ndarray, index: Examples, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Cosines and positions of the ``k`` nearest examples, exactly; ties to the smaller position.
-
-    ``leave`` names an example for each query that doesn't count. Missing neighbours have position -1.
+    shares = np.array(counts) / np.maximum(np.bincount(labels, minlength=2), 1)
+    return Examples(doc_ids[order], labels[order], shares[labels[order]], ranks[order], kept, column, blocks, common_most, most)
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, and the range each belongs to."""
+    sizes = ends - starts
+    of = np.repeat(np.arange(len(starts)), sizes)
+    return np.arange(len(of)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes), of
+
+
+class Search:
+    """A batch of queries against the index: bounds of all blocks, cosines with those that are opened."""
+
+    def __init__(self, queries: Rows, index: Examples):
+        self.index, self.n = index, len(queries.starts) - 1
+        of, at = queries.owners(), index.column[queries.terms]
+        self.dense = np.zeros((self.n, len(index.common_most)))
+        self.dense[of[at >= 0], at[at >= 0]] = queries.weights[at >= 0]
+        self.of, self.terms, self.weights = of[at < 0], queries.terms[at < 0], queries.weights[at < 0]
+
+    def bounds(self) -> np.ndarray:
+        """At least the cosine of every query with any example of each block."""
+        most, n_blocks = self.index.most, len(self.index.blocks)
+        at, entry = spread(most.starts[self.terms], most.starts[self.terms + 1])
+        rare = np.bincount(self.of[entry] * n_blocks + most.terms[at], most.weights[at] * self.weights[entry], self.n * n_blocks)
+        return self.dense @ self.index.common_most + rare.reshape(self.n, n_blocks)
+
+    def cosines(self, block: Block, asking: np.ndarray) -> np.ndarray:
+        """Of the queries in ``asking`` with the examples of the block."""
+        width = block.common.shape[1]
+        found = self.dense[asking] @ block.common
+        if len(block.terms):
+            row = np.full(self.n, -1)
+            row[asking] = np.arange(len(asking))
+            place = np.minimum(np.searchsorted(block.terms, self.terms), len(block.terms) - 1)
+            held = np.flatnonzero((block.terms[place] == self.terms) & (row[self.of] >= 0))
+            at, entry = spread(block.starts[place[held]], block.starts[place[held] + 1])
+            entry = held[entry]
+            cell = row[self.of[entry]] * width + block.places[at]
+            found += np.bincount(cell, block.weights[at] * self.weights[entry], found.size).reshape(found.shape)
+        return np.round(found, DIGITS)
+
+
+def nearest(queries: Rows, index: Examples, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Cosines and places of the ``k`` nearest examples, exactly, and how many blocks were opened; ties to the smaller rank.
+
+    ``leave`` names an example for each query that doesn't count. Missing neighbours have place -1.
     """
-    queries = sparse(queries)
-    n, m, postings = len(queries.starts) - 1, len(index.doc_ids), index.postings
+    n, opened = len(queries.starts) - 1, 0
     best, where = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
-    if not m:
-        return best, where
-    for low in range(0, n, BLOCK):
-        size = min(BLOCK, n - low)
-        dense, found = np.zeros((size, len(index.common))), np.zeros((size, m))
-        for i in range(size):
-            terms, weights = queries.row(low + i)
-            place = index.column[terms]
-            dense[i, place[place >= 0]] = weights[place >= 0]
-            terms, weights = terms[place < 0], weights[place < 0]
-            sizes = postings.starts[terms + 1] - postings.starts[terms]
-            at = np.repeat(postings.starts[terms] + sizes - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
-            found[i] = np.bincount(postings.terms[at], postings.weights[at] * np.repeat(weights, sizes), m)
-        found = np.round(found + dense @ index.common, DIGITS)
-        if leave is not None:
-            found[np.arange(size), leave[low : low + size]] = -1
-        least = np.partition(found, max(0, m - k), axis=1)[:, max(0, m - k)]
-        for i in range(size):
-            among = np.flatnonzero(found[i] >= least[i])
-            among = among[np.argsort(-found[i, among], kind="stable")[:k]]
-            best[low + i, : len(among)] = found[i, among]
-            where[low + i, : len(among)] = np.where(found[i, among] >= 0, among, -1)
-    return best, where
+    behind = np.append(index.ranks, len(index.ranks))  # the rank of no neighbour, at place -1
+    for low in range(0, n if index.blocks else 0, QUERIES):
+        some = queries.some(low, min(n, low + QUERIES))
+        search = Search(some, index)
+        bounds = search.bounds()
+        closed = np.ones(bounds.shape, bool)
+        own, held = best[low : low + search.n], where[low : low + search.n]
+
+        def visit(b: int, asking: np.ndarray) -> None:
+            block = index.blocks[b]
+            found = search.cosines(block, asking)
+            places = np.broadcast_to(np.arange(block.first, block.first + found.shape[1]), found.shape).copy()
+            if leave is not None:
+                out = places == leave[low + asking][:, None]
+                found[out], places[out] = -1, -1
+            found, places = np.hstack([own[asking], found]), np.hstack([held[asking], places])
+            order = np.lexsort((behind[places], -found), axis=1)[:, :k]
+            own[asking], held[asking] = np.take_along_axis(found, order, 1), np.take_along_axis(places, order, 1)
+            closed[asking, b] = False
+
+        # Each query's most promising block first, then all others that may still hold a neighbour.
+        first = bounds.argmax(axis=1)
+        for b in np.unique(first):
+            visit(b, np.flatnonzero(first == b))
+        for b in np.argsort(-bounds.mean(axis=0), kind="stable"):
+            asking = np.flatnonzero(closed[:, b] & (bounds[:, b] + 1e-9 >= own[:, -1]))
+            if len(asking):
+                visit(b, asking)
+        opened += int((~closed).sum())
+    return best, where, opened
+
+
+class Model(NamedTuple):
+    terms: dict[str, int]
+    value: np.ndarray
+    examples: Examples
+    base: float
+    votes: np.ndarray
+    scores: np.ndarray
 
 
 def votes(best: np.ndarray, where: np.ndarray, index: Examples, base: float) -> np.ndarray:
@@ -209,21 +269,22 @@ def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: tuple[Counter, Counter] = Counter(), Counter()
+    """How many examples of each label and half hold a term."""
+    held = [Counter() for _ in range(2 * HALVES)]
     for batch in batches:
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
-            held[label].update(set().union(*map(terms_of, set(words(text.as_py())))))
+        for label, half, text in zip(*(batch.column(c).to_pylist() for c in ("label", "half", "text")), strict=True):
+            held[2 * half + label].update(set(words(text)))
             if sum(map(len, held)) >= MEMO_WORDS:
                 yield _counts(held)
     yield _counts(held)
 
 
-def _counts(held: tuple[Counter, Counter]) -> pa.RecordBatch:
-    terms = list(held[0].keys() | held[1].keys())
+def _counts(held: list[Counter]) -> pa.RecordBatch:
+    terms = list(set().union(*held))
     columns = [pa.array(terms, pa.string()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)]
     for h in held:
         h.clear()
-    return pa.RecordBatch.from_arrays(columns, ["term", "clean", "toxic"])
+    return pa.RecordBatch.from_arrays(columns, ["term", *(f"n{i}" for i in range(len(held)))])
 
 
 def chi_square(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -234,94 +295,134 @@ def chi_square(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray
 
 
 def vocabulary(sample: DataFrame) -> tuple[list[str], np.ndarray]:
-    """All terms of the sample, in order, and their chi-squares."""
-    total = dict(sample.groupBy("label").count().collect())
-    found = sample.select("label", "text").mapInArrow(_term_counts, "term string, clean long, toxic long")
-    counts = found.groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum("clean").cast("double").alias("b"))
-    counts = counts.toArrow().sort_by("term")
-    a, b = (counts.column(c).to_numpy() for c in "ab")
-    return counts.column("term").to_pylist(), chi_square(a, b, float(total.get(1, 0)), float(total.get(0, 0)))
+    """All terms of the sample, in order, and a row of chi-squares for each half left out, then of all examples."""
+    sizes = np.zeros(2 * HALVES)
+    for r in sample.groupBy("half", "label").count().collect():
+        sizes[2 * r["half"] + r["label"]] = r["count"]
+    names = [f"n{i}" for i in range(2 * HALVES)]
+    found = sample.select("label", "half", "text").mapInArrow(_term_counts, "term string, " + ", ".join(f"{n} long" for n in names))
+    counts = found.groupBy("term").agg(*[F.sum(n).cast("double").alias(n) for n in names]).toArrow().sort_by("term")
+    held = np.array([counts.column(n).to_numpy() for n in names])
+    seen = [[h for h in range(HALVES) if h != left] for left in range(HALVES)] + [list(range(HALVES))]
+    clean, toxic = ([np.array([2 * h + label for h in halves]) for halves in seen] for label in (0, 1))
+    both = [chi_square(held[t].sum(0), held[c].sum(0), sizes[t].sum(), sizes[c].sum()) for c, t in zip(clean, toxic, strict=True)]
+    return counts.column("term").to_pylist(), np.array(both)
 
 
 def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
     """How many documents there are, and how many hold each term, over all of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, lookup = np.zeros(len(terms) + 1, np.int64), Lookup(terms)
+        seen = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                seen[lookup.held(text.as_py())] += 1  # once, however often a term occurs
+                held = [terms[w] for w in set(words(text.as_py())) if w in terms]
+                seen[held] += 1
                 seen[-1] += 1
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["term", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(len(terms) + 1, np.int64)
-    got = counted.toArrow()
+    got = counts.toArrow()  # one row for each term of the examples
     out[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return int(out[-1]), out[:-1]
 
 
+def examples_of(docs: DataFrame, given: DataFrame) -> DataFrame:
+    """doc_id, label, half, text: the sample, in the order of its hashes while it stays within EXAMPLE_CHARS."""
+    sample = bounded_sample(docs, given, PER_LABEL)
+    before = Window.orderBy("draw", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
+    keyed = sample.withColumn("draw", F.xxhash64("doc_id")).withColumn("text", F.coalesce("text", F.lit("")))
+    # At most 2 * PER_LABEL rows (and repeated ones); only their lengths are summed.
+    held = keyed.withColumn("chars", F.sum(F.length("text")).over(before)).where(F.col("chars") <= EXAMPLE_CHARS)
+    return held.select("doc_id", "label", F.pmod("draw", F.lit(HALVES)).cast("int").alias("half"), "text")
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> bytes:
     """The model of the training rows of ``labels`` among ``docs``, for ``unpacked``."""
     given = training_labels(docs, labels, "toxic", FOLDS, HELD_OUT)
     counts = prior(given)
-    sample = written(bounded_sample(docs, given, PER_LABEL), "toxicity-sample")
+    sample = written(examples_of(docs, given), "toxicity-sample")
     names, chi = vocabulary(sample)
     terms = {t: i for i, t in enumerate(names)}
-    n, held = document_frequencies(docs, terms)
-    value = (np.log((n + 1) / (held + 1)) + 1e-3) * (1 + chi)
+    n, often = document_frequencies(docs, terms)
+    values = (np.log((n + 1) / (often + 1)) + 1e-3) * (1 + chi)
     base = (counts[1] + 1) / (sum(counts) + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(terms)
         for batch in batches:
-            rows = counted(batch.column("text").to_pylist(), lookup)
+            rows = counted(batch.column("text").to_pylist(), terms)
             both = zip(*(rows.row(i) for i in range(batch.num_rows)), strict=True) if batch.num_rows else ((), ())
-            values = [pa.array([x.astype(np.int32).tobytes() for x in column], pa.binary()) for column in both]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *values], schema.names)
+            packed = [pa.array([x.astype(np.int32).tobytes() for x in column], pa.binary()) for column in both]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:3]), *packed], schema.names)
 
-    schema = StructType([sample.schema["doc_id"], sample.schema["label"]]).add("terms", "binary").add("counts", "binary")
-    found = sample.select("doc_id", "label", "text").mapInArrow(run, schema).toArrow()  # at most 2 * PER_LABEL rows
+    schema = StructType([sample.schema[c] for c in ("doc_id", "label", "half")]).add("terms", "binary").add("counts", "binary")
+    found = sample.mapInArrow(run, schema).toArrow()  # at most 2 * PER_LABEL rows, of EXAMPLE_CHARS characters
     pairs = zip(found.column("terms"), found.column("counts"), strict=True)
     held = stacked([tuple(np.frombuffer(x.as_buffer(), np.int32) for x in pair) for pair in pairs], len(terms))
-    doc_ids, marks = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label"))
-    index = indexed(doc_ids, marks, weighted(held, value), counts)
-    own = votes(*nearest(index.vectors, index, NEAREST, np.arange(len(doc_ids))), index, base)
-    at, score = monotone(own, index.labels.astype(float), index.class_weights) if len(doc_ids) else (np.zeros(1), np.array([base]))
-    often = held.weights.astype(np.min_scalar_type(int(held.weights.max(initial=0))))
+    doc_ids, marks, halves = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label", "half"))
+    at, score = calibrated(doc_ids, marks, halves, held, values, counts, base)
     stored = io.BytesIO()
     np.savez_compressed(
         stored,
         names=np.frombuffer("\n".join(names).encode(), np.uint8),
-        value=value,
+        value=values[-1],
         doc_ids=doc_ids,
         labels=marks,
         starts=held.starts,
         terms=held.terms,
-        often=often,
+        often=held.weights.astype(np.min_scalar_type(int(held.weights.max(initial=0)))),
         counts=counts,
         base=base,
         votes=at,
         scores=score,
     )
+    dropped(sample)
     return stored.getvalue()
 
 
-def unpacked(model: bytes) -> Model:
-    """The model that ``fitted`` stored."""
-    stored = np.load(io.BytesIO(model))
-    names, value = stored["names"].tobytes().decode(), stored["value"]
-    terms = {t: i for i, t in enumerate(names.split("\n"))} if len(value) else {}
-    held = Rows(stored["starts"], stored["terms"], stored["often"].astype(np.float64), len(value))
-    index = indexed(stored["doc_ids"], stored["labels"], weighted(held, value), tuple(stored["counts"]))
-    return Model(terms, value, index._replace(vectors=np.zeros((0, 0))), float(stored["base"]), stored["votes"], stored["scores"])
+def calibrated(
+    doc_ids: np.ndarray, labels: np.ndarray, halves: np.ndarray, held: Rows, values: np.ndarray, counts: tuple[int, int], base: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """The monotone map from votes to scores, by the votes on examples whose labels their weights have not seen."""
+    if not len(doc_ids):
+        return np.zeros(1), np.array([base])
+    share, weight = np.zeros(len(doc_ids)), np.zeros(len(doc_ids))
+    for half in range(HALVES):
+        index = indexed(doc_ids, labels, weighted(held, values[half]), counts)
+        # The index has its own order; rows of one id are told apart by their ranks.
+        rows = np.empty(len(doc_ids), np.int64)
+        rows[index.ranks] = np.arange(len(doc_ids))
+        rows = rows[np.argsort(np.lexsort((labels, doc_ids)), kind="stable")]
+        mine = np.flatnonzero(halves == half)
+        asked = stacked([index.vectors.row(i) for i in rows[mine]], held.width)
+        best, where, _ = nearest(asked, index, NEAREST, rows[mine])
+        share[mine] = votes(best, where, index, base)
+        weight[mine] = index.class_weights[rows[mine]]
+    return monotone(share, labels.astype(float), weight)
 
 
-def judged(model: Model, lookup: Lookup, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpacked(model: bytes) -> Model:
+    """The model that ``fitted`` stored, indexed once for as long as the Python worker lives."""
+    name = hashlib.sha256(model).digest()
+    known = sys.__dict__.get("_akin_toxicity")
+    if known is None or known[0] != name:
+        stored = np.load(io.BytesIO(model))
+        names, value = stored["names"].tobytes().decode(), stored["value"]
+        terms = {t: i for i, t in enumerate(names.split("\n"))} if len(value) else {}
+        held = Rows(stored["starts"], stored["terms"], stored["often"].astype(np.float64), len(value))
+        index = indexed(stored["doc_ids"], stored["labels"], weighted(held, value), tuple(stored["counts"]))
+        index = index._replace(vectors=Rows(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), 0))
+        known = name, Model(terms, value, index, float(stored["base"]), stored["votes"], stored["scores"])
+        sys.__dict__["_akin_toxicity"] = known
+    return known[1]
+
+
+def judged(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of a batch of texts, and the cosines and places of their nearest examples."""
-    rows = weighted(counted(batch.column("text").to_pylist(), lookup), model.value)
-    best, where = nearest(rows, model.examples, NEAREST)
+    rows = weighted(counted(batch.column("text").to_pylist(), model.terms), model.value)
+    best, where, _ = nearest(rows, model.examples, NEAREST)
     share = votes(best, where, model.examples, model.base)
     return np.round(np.clip(np.interp(share, model.votes, model.scores), 0, 1), 9), best, where
 
@@ -332,11 +433,10 @@ def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unpacked(stored)
-        lookup = Lookup(model.terms)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                yield part.filter(pa.array(judged(model, lookup, part)[0] < THRESHOLD))
+            for at in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(at, QUERIES)
+                yield part.filter(pa.array(judged(model, part)[0] < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -348,17 +448,17 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Learns from labelled rows outside the held-out fold only; the text is a document's only input.
     Null and empty texts, and texts without any term of the vocabulary, get the share of label 1, as do
     all without labels. A null ``doc_id`` is not held out. Repeated rows are scored alike; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. Examples of equal cosine count in the order of their ids. A text of any
+    length is read whole; its distinct words are held.
     """
     stored = fitted(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = unpacked(stored)
-        lookup = Lookup(model.terms)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                score, best, where = judged(model, lookup, part)
+            for at in range(0, batch.num_rows, QUERIES):
+                part = batch.slice(at, QUERIES)
+                score, best, where = judged(model, part)
                 near = [
                     [(int(model.examples.doc_ids[w]), float(b)) for w, b in zip(ws, bs, strict=True) if b > 0]
                     for ws, bs in zip(where[:, :EVIDENCE], best[:, :EVIDENCE], strict=True)
