@@ -38,6 +38,35 @@ def dropped(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Bits of a bitmap of keys, and of one of its rows; it never has more than their quotient of rows.
+BITS, ROW_BITS = 1 << 27, 1 << 15
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def parted(df: DataFrame, key: str, small: DataFrame, small_key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` that may have their key in ``small``, and those that surely don't, which need no join.
+
+    The keys of ``small`` are hashed into a bitmap of BITS bits, 16 MB whatever their number, that is broadcast: what the
+    rest weighs is never shuffled. ``small`` is read for it: pass a written table.
+    """
+    row, bit, bits = (unused(df, c) for c in ("_row", "_bit", "_bits"))
+    hashed = lambda column: F.pmod(F.xxhash64(F.col(column)), F.lit(BITS))
+    places = small.select(hashed(small_key).alias("h")).select(F.expr(f"h div {ROW_BITS}").alias(row), F.expr(f"h % {ROW_BITS}").alias("bit"))
+    bitmap = written(places.groupBy(row).agg(F.bitmap_construct_agg("bit").alias(bits)), "bitmap")
+    keyed = df.withColumn(bit, hashed(key)).withColumn(row, F.expr(f"`{bit}` div {ROW_BITS}"))
+    joined = keyed.join(F.broadcast(bitmap), row, "left")
+    byte = F.expr(f"cast(conv(hex(substring(`{bits}`, cast(`{bit}` % {ROW_BITS} div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.coalesce(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1, F.lit(False))
+    return joined.where(hit).select(*df.columns), joined.where(~hit).select(*df.columns)
+
+
 def numbered(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
     """Add ``name``: long numbers without gaps from 0 in every group of ``groups``, by ``order``.
 

@@ -5,9 +5,8 @@ import random
 WORDS = "the of and on idiot house green walks under three river stone cloud paper lamp again never seven".split()
 CLASH = {
     "n": "bigint", "size": "int", "label": "int", "score": "double", "shard": "string", "law": "int", "component_id": "string",
-    "_number": "string", "number": "int", "node": "int", "key": "string", "at": "int", "hash": "string", "piece": "int", "held_out": "int",
+    "_number": "string", "_spans": "int", "_row": "int", "number": "int", "node": "int", "key": "string", "at": "int", "hash": "string", "piece": "int", "held_out": "int",
 }
-CLASH.pop("_number")
 
 
 def prose(draw, n):

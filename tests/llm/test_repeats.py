@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from akin.llm import induced, minhash, suffix_dedup
+from akin.llm import induced, minhash, suffix_dedup, tables
 from akin.llm.components import components
 from akin.llm.shingles import shingles
 from tests.llm.fixtures import WORDS, odd_documents, prose, table
@@ -155,11 +155,11 @@ def repeated_documents(seed):
     return list(enumerate(texts, -5))
 
 
-@pytest.mark.parametrize("seed, broadcast, slice_", [(1, 300_000, 1 << 18), (2, 0, 50)])
-def test_repeats(spark, monkeypatch, seed, broadcast, slice_):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", broadcast)
+@pytest.mark.parametrize("seed, bits, slice_", [(1, 1 << 27, 1 << 18), (2, 4, 50)])
+def test_repeats(spark, monkeypatch, seed, bits, slice_):
+    monkeypatch.setattr(tables, "BITS", bits)
     monkeypatch.setattr(induced, "SLICE", slice_)
-    if broadcast == 0:
+    if bits == 4:
         monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
     rows = repeated_documents(seed)
     want = brute_repeats(rows)
@@ -214,3 +214,30 @@ def test_anchors_depend_on_the_string_alone():
 
 def test_words_are_known():
     assert len(set(WORDS)) == len(WORDS)
+
+
+def test_parted_rows_have_no_partner_among_the_rest(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as _row", "cast(id as string) as _bits", "id * 7 as key")
+    small = spark.range(0, 21000, 700).selectExpr("id as k")
+    for bits, most in ((1 << 27, 30), (1 << 10, 400), (2, 3000)):
+        monkeypatch.setattr(tables, "BITS", bits)
+        held, rest = tables.parted(docs, "key", small, "k")
+        assert held.columns == rest.columns == docs.columns
+        held, rest = ({r["key"] for r in x.collect()} for x in (held, rest))
+        assert len(held) + len(rest) == 3000 and {r["k"] for r in small.collect()} <= held
+        assert 30 <= len(held) <= most
+    held, rest = tables.parted(docs, "key", small.limit(0), "k")
+    assert held.count() == 0 and rest.count() == 3000
+    assert tables.unused(docs, "_BITS") == "_BITS_"
+
+
+def test_passages_go_from_documents_with_any_column(spark):
+    draw = random.Random(6)
+    shared = prose(draw, 40)
+    rows = [(i, f"{i} {shared} {i}") for i in range(5)] + [(9, None), (10, "")]
+    docs = table(spark, rows)
+    left = suffix_dedup.deduplicated(docs)
+    assert left.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert texts[0] == rows[0][1] and texts[9] is None and texts[10] == ""
+    assert all(len(texts[i]) < 20 for i in range(1, 5))
