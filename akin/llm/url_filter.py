@@ -34,23 +34,38 @@ RULES = [
     Rule("block", "net", "/fr/"),
 ]
 
-# The labelled table: names of junk hosts and of ordinary ones. Words are also paired with the words NEXT places on.
-# Each name stands at several addresses, dealt alike in both lists, so that domain, language and number say nothing.
-BLOCKED = "cheap pills spam farm free bets casino win adult x ads track meds viagra poker spins cash click link now".split()
-ALLOWED = "library news garden weather museum history science travel music school city trains theatre radio winter advice".split()
-SYLLABLES = "er th re at on in an nd st en es or tion ing ble ly wh sh ou ea ha ed".split()
-NEXT = (1, 7)
+# Fixed values of the labelled table: words that name unwanted sites (gambling, pharmacy, loans, adult, piracy,
+# counterfeits, advertising) and words that name ordinary ones. Names are single words and pairs of them; to the ordinary ones
+# made-up names of open syllables are added. Each name stands at several addresses, dealt alike in both lists, so that
+# domain, language and number say nothing.
+BLOCKED = """casino poker slots roulette jackpot betting lottery viagra cialis pharmacy pills steroids payday loans forex bitcoin
+giveaway prize winner adult webcam escorts dating torrent warez keygen cracked replica rolex discount coupons popups adserver
+tracker spam phishing""".split()
+ALLOWED = """library museum university school hospital garden weather news science history travel music theatre radio recipes
+sports council archive journal books maps transport parish county village river forest mountain bakery physics biology
+chemistry language poetry""".split()
+CONSONANTS, VOWELS, MADE_UP = "bcdfghjklmnpqrstvwxyz", "aeiou", 40
+NEXT, JOINED = (1, 7), ("-", "")
 PREFIXES, DOMAINS, LANGUAGES = ("", "www.", "blog.", "m."), ("com", "net", "org"), ("en", "de", "fr", "es")
 ENDINGS = ("", "/", ".html", "?page=2", "#top")
 ADDRESSES = 4
 
 
+def paired(words: list[str]) -> list[str]:
+    """The words, and each joined to the words NEXT places on."""
+    return words + [w + joint + words[(i + k) % len(words)] for k, joint in zip(NEXT, JOINED, strict=True) for i, w in enumerate(words)]
+
+
+def made_up() -> list[str]:
+    """Names of three or four open syllables, by rule."""
+    open_ = [c + v for c in CONSONANTS for v in VOWELS]
+    return ["".join(open_[(31 * i + 17 * k * (i + 1)) % len(open_)] for k in range(3 + i % 2)) for i in range(MADE_UP)]
+
+
 def labelled_urls() -> list[tuple[str, int]]:
     """The built-in table: urls without scheme, and 1 for junk."""
-    paired = lambda words: [f"{w}-{words[(i + k) % len(words)]}" for k in NEXT for i, w in enumerate(words)]
     rows = []
-    spoken = ["th" + w.replace("-", "") for w in paired(SYLLABLES)]
-    for names, label in ((paired(BLOCKED), 1), (ALLOWED + paired(ALLOWED) + spoken, 0)):
+    for names, label in ((paired(BLOCKED), 1), (paired(ALLOWED) + made_up(), 0)):
         for i, name in enumerate(names):
             for k in range(ADDRESSES):
                 prefix, domain = PREFIXES[(i + k) % len(PREFIXES)], DOMAINS[(i // 2 + k) % len(DOMAINS)]
