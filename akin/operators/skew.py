@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,18 @@ from akin.session import materialise
 SLICE_ROWS = 100_000
 
 
-def hot_keys(side: DataFrame, keys: list[str], slices: str, slice_rows: int) -> DataFrame:
+def hot_keys(side: DataFrame, keys: list[str], slices: str, slice_rows: int) -> DataFrame | None:
     """Keys with more rows than an average task has (``slice_rows`` at least), and their number of slices.
 
-    Rows are counted with a partial aggregate, in jobs of their own: pass written tables, not long plans. With t tasks at most t keys can lie above the average, so the
-    result has no more rows than that at any size of ``side``.
+    Rows are counted with a partial aggregate, in jobs of their own: pass written tables, not long plans. With t tasks at most
+    t keys can lie above the average, so the result has no more rows than that at any size of ``side``. None
+    if the whole side has no more rows than a slice, when no key needs a count.
     """
     tasks = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = max(slice_rows, side.count() // tasks)
+    n_rows = side.count()
+    if n_rows <= slice_rows:
+        return None
+    limit = max(slice_rows, n_rows // tasks)
     counts = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
     return counts.select(*keys, F.ceil(F.col("_rows") / limit).cast("long").alias(slices))
 
@@ -42,10 +48,13 @@ def sliced_join(
     ``few``, so its rows are not counted. Hot keys are found once and written, for both sides to read.
     """
     one = F.lit(1).cast("long")
-    hot = hot_keys(many, keys, "_own", slice_rows).withColumn("_other", one)
-    if not unique:
-        other = hot_keys(few, keys, "_other", slice_rows).withColumn("_own", one)
-        hot = hot.unionByName(other).groupBy(*keys).agg(F.max("_own").alias("_own"), F.max("_other").alias("_other"))
+    own = hot_keys(many, keys, "_own", slice_rows)
+    other = None if unique else hot_keys(few, keys, "_other", slice_rows)
+    found = [] if own is None else [own.withColumn("_other", one)]
+    found += [] if other is None else [other.withColumn("_own", one)]
+    if not found:
+        return many.join(few, keys)
+    hot = reduce(DataFrame.unionByName, found).groupBy(*keys).agg(F.max("_own").alias("_own"), F.max("_other").alias("_other"))
     hot = F.broadcast(materialise(hot, "hot-keys"))
     left = many.join(hot, keys, "left").withColumn("_slice", _one([row_id], "_own"))
     left = left.withColumn("_copy", _every("_other")).drop("_own", "_other")

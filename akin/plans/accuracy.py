@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from akin.functions import distances
@@ -67,9 +67,13 @@ def sample_accuracy(docs: DataFrame, n: int, ks: tuple[int, ...], num_perm: int,
 def pair_accuracy(pairs: DataFrame, num_perm: int) -> DataFrame:
     """Exact and estimated Jaccard of each pair of ``sample_accuracy`` and their relative difference in percent."""
     estimate = distances.jaccard_estimate(prefix(F.col("a_sig"), num_perm), prefix(F.col("b_sig"), num_perm))
+    return judged_pairs(pairs, F.lit(num_perm), estimate)
+
+
+def judged_pairs(pairs: DataFrame, num_perm: Column, estimate: Column) -> DataFrame:
     return pairs.select(
         F.col("k").cast("long").alias("k"),
-        F.lit(num_perm).cast("long").alias("num_perm"),
+        num_perm.cast("long").alias("num_perm"),
         "a_doc_id",
         "b_doc_id",
         "jaccard",
@@ -88,12 +92,16 @@ def accuracy_sweep(
 ) -> DataFrame:
     """Per-pair accuracy over (k, each of num_perms) and (num_perm, each of ks).
 
-    Every shingle size is cut and signed once, with the longest signature it needs.
+    Both axes share one pass: every shingle size is cut, signed with the longest signature and paired once, and a pair
+    is judged at the lengths its size asks for.
     """
-    by_perm = sample_accuracy(docs, n, (k,), max(num_perms))
-    by_size = sample_accuracy(docs, n, ks, num_perm)
-    runs = [pair_accuracy(by_perm, p) for p in num_perms if not (p == num_perm and k in ks)]
-    return reduce(DataFrame.unionByName, [*runs, pair_accuracy(by_size, num_perm)])
+    longest = max(*num_perms, num_perm)
+    pairs = sample_accuracy(docs, n, tuple(sorted({k, *ks})), longest)
+    asked = sorted({*num_perms, num_perm} if k in ks else set(num_perms))
+    lengths = F.when(F.col("k") == k, F.array(*map(F.lit, asked))).otherwise(F.array(F.lit(num_perm)))
+    rows = pairs.withColumn("num_perm", F.explode(lengths))
+    estimate = distances.jaccard_estimate(F.slice("a_sig", F.lit(1), "num_perm"), F.slice("b_sig", F.lit(1), "num_perm"))
+    return judged_pairs(rows, F.col("num_perm"), estimate)
 
 
 SELF_SCHEMA = "cell int, query_id long, n_pairs long, sum_pct_diff double"

@@ -217,8 +217,11 @@ def test_sliced_join_of_a_key_hot_on_either_side(spark, hot_many, hot_few):
     assert got.columns == ["k", "i", "v"]
     want = sorted(map(tuple, left.join(right, "k").collect()))
     assert sorted(map(tuple, got.collect())) == want
-    hot = skew.hot_keys(left, ["k"], "n", 50).collect()
+    hot = skew.hot_keys(left, ["k"], "n", 30).collect()
     assert [r["k"] for r in hot] == ([0] if hot_many > 50 else [])
+    assert skew.hot_keys(left, ["k"], "n", 1000) is None
+    unsliced = skew.sliced_join(left, right, ["k"], "i", slice_rows=1000)
+    assert unsliced.columns == got.columns and sorted(map(tuple, unsliced.collect())) == want
 
 
 def test_more_hot_keys_than_a_list_could_name(spark):
