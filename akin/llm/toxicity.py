@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
+from akin.llm.divergence import term_lists
 from akin.llm.labels import bounded_sample, prior, remainder, training_labels
 from akin.llm.tables import dropped, written
 
@@ -43,7 +43,6 @@ COMMON = 8  # terms that one of so many examples holds are rows of a matrix
 HALVES = 2
 MEMO_WORDS = 1 << 18
 DIGITS = 12
-WORD = re.compile(r"[^\W\d_]+")
 
 
 class Rows(NamedTuple):
@@ -66,8 +65,12 @@ class Rows(NamedTuple):
         return Rows(self.starts[first : last + 1] - low, self.terms[low:high], self.weights[low:high], self.width)
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words(text: str | None) -> Counter[bytes]:
+    """How often each word occurs: runs of lower-cased ASCII letters and of characters beyond ASCII, as UTF-8."""
+    found: Counter[bytes] = Counter()
+    for part in term_lists((text or "").lower().encode()):
+        found.update(part)
+    return found
 
 
 def stacked(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Rows:
@@ -76,13 +79,15 @@ def stacked(rows: list[tuple[np.ndarray, np.ndarray]], width: int) -> Rows:
     return Rows(starts, terms, np.concatenate([np.zeros(0), *(w for _, w in rows)]), width)
 
 
-def counted(texts: list[str | None], terms: dict[str, int]) -> Rows:
+def counted(texts: list[str | None], terms: dict[bytes, int]) -> Rows:
     """Terms of each text and how often they occur."""
     rows = []
     for text in texts:
-        found = {terms[w]: n for w, n in Counter(words(text)).items() if w in terms}
-        order = np.argsort(at := np.fromiter(found, np.int32, len(found)), kind="stable")
-        rows.append((at[order], np.fromiter(found.values(), np.float64, len(found))[order]))
+        found = words(text)
+        at = np.fromiter((terms.get(w, -1) for w in found), np.int32, len(found))
+        often = np.fromiter(found.values(), np.float64, len(found))
+        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+        rows.append((at[order], often[order]))
     return stacked(rows, len(terms))
 
 
@@ -109,7 +114,7 @@ class Examples(NamedTuple):
     """The index: ids, labels and class weights of the examples, and their vectors in blocks.
 
     ``column`` is a term's row in the matrices, -1 for the others. ``common_most`` and the rows of ``most`` hold the largest
-    weight of a term in each block. ``ranks`` orders equal cosines.
+    weight of a term in each block, ``slots`` the term's place in the postings there. ``ranks`` orders equal cosines.
     """
 
     doc_ids: np.ndarray
@@ -121,6 +126,7 @@ class Examples(NamedTuple):
     blocks: list[Block]
     common_most: np.ndarray
     most: Rows
+    slots: np.ndarray
 
 
 def indexed(doc_ids: np.ndarray, labels: np.ndarray, rows: Rows, counts: tuple[int, int]) -> Examples:
@@ -151,14 +157,15 @@ def indexed(doc_ids: np.ndarray, labels: np.ndarray, rows: Rows, counts: tuple[i
         terms, starts = np.unique(part.terms[rare], return_index=True)
         blocks.append(Block(first, matrix, terms, np.append(starts, len(rare)), of[rare], part.weights[rare]))
         if len(terms):
-            tops.append((terms, np.full(len(terms), b), np.maximum.reduceat(part.weights[rare], starts)))
-    terms, places, weights = (np.concatenate(c) for c in zip(*tops, strict=True)) if tops else (np.zeros(0, np.int64),) * 3
+            tops.append((terms, np.full(len(terms), b), np.maximum.reduceat(part.weights[rare], starts), np.arange(len(terms))))
+    terms, places, weights, slots = (np.concatenate(c) for c in zip(*tops, strict=True)) if tops else (np.zeros(0, np.int64),) * 4
     by_term = np.argsort(terms, kind="stable")
     starts = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=rows.width))])
     most = Rows(starts, places[by_term], weights[by_term], len(blocks))
     # The sample takes both classes evenly: an example counts for the labelled rows it stands for.
     shares = np.array(counts) / np.maximum(np.bincount(labels, minlength=2), 1)
-    return Examples(doc_ids[order], labels[order], shares[labels[order]], ranks[order], kept, column, blocks, common_most, most)
+    own = (doc_ids[order], labels[order], shares[labels[order]], ranks[order])
+    return Examples(*own, kept, column, blocks, common_most, most, slots[by_term])
 
 
 def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,35 +176,43 @@ def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Search:
-    """A batch of queries against the index: bounds of all blocks, cosines with those that are opened."""
+    """A batch of queries against the index: bounds of all blocks, cosines with those that are opened.
+
+    Of the other terms there is an entry for every query, term and block that holds the term, sorted by block.
+    """
 
     def __init__(self, queries: Rows, index: Examples):
         self.index, self.n = index, len(queries.starts) - 1
         of, at = queries.owners(), index.column[queries.terms]
         self.dense = np.zeros((self.n, len(index.common_most)))
         self.dense[of[at >= 0], at[at >= 0]] = queries.weights[at >= 0]
-        self.of, self.terms, self.weights = of[at < 0], queries.terms[at < 0], queries.weights[at < 0]
+        of, terms, weights = of[at < 0], queries.terms[at < 0], queries.weights[at < 0]
+        at, entry = spread(index.most.starts[terms], index.most.starts[terms + 1])
+        order = np.argsort(index.most.terms[at], kind="stable")
+        at, entry = at[order], entry[order]
+        self.block, self.slot, self.most = index.most.terms[at], index.slots[at], index.most.weights[at]
+        self.of, self.weights = of[entry], weights[entry]
+        self.begin = np.searchsorted(self.block, np.arange(len(index.blocks) + 1))
 
     def bounds(self) -> np.ndarray:
         """At least the cosine of every query with any example of each block."""
-        most, n_blocks = self.index.most, len(self.index.blocks)
-        at, entry = spread(most.starts[self.terms], most.starts[self.terms + 1])
-        rare = np.bincount(self.of[entry] * n_blocks + most.terms[at], most.weights[at] * self.weights[entry], self.n * n_blocks)
+        n_blocks = len(self.index.blocks)
+        rare = np.bincount(self.of * n_blocks + self.block, self.most * self.weights, self.n * n_blocks)
         return self.dense @ self.index.common_most + rare.reshape(self.n, n_blocks)
 
-    def cosines(self, block: Block, asking: np.ndarray) -> np.ndarray:
-        """Of the queries in ``asking`` with the examples of the block."""
+    def cosines(self, b: int, asking: np.ndarray) -> np.ndarray:
+        """Of the queries in ``asking`` with the examples of block ``b``."""
+        block = self.index.blocks[b]
         width = block.common.shape[1]
         found = self.dense[asking] @ block.common
-        if len(block.terms):
-            row = np.full(self.n, -1)
-            row[asking] = np.arange(len(asking))
-            place = np.minimum(np.searchsorted(block.terms, self.terms), len(block.terms) - 1)
-            held = np.flatnonzero((block.terms[place] == self.terms) & (row[self.of] >= 0))
-            at, entry = spread(block.starts[place[held]], block.starts[place[held] + 1])
-            entry = held[entry]
-            cell = row[self.of[entry]] * width + block.places[at]
-            found += np.bincount(cell, block.weights[at] * self.weights[entry], found.size).reshape(found.shape)
+        row = np.full(self.n, -1)
+        row[asking] = np.arange(len(asking))
+        part = slice(self.begin[b], self.begin[b + 1])
+        held = np.flatnonzero(row[self.of[part]] >= 0) + part.start
+        at, entry = spread(block.starts[self.slot[held]], block.starts[self.slot[held] + 1])
+        entry = held[entry]
+        cell = row[self.of[entry]] * width + block.places[at]
+        found += np.bincount(cell, block.weights[at] * self.weights[entry], found.size).reshape(found.shape)
         return np.round(found, DIGITS)
 
 
@@ -218,7 +233,7 @@ def nearest(queries: Rows, index: Examples, k: int, leave: np.ndarray | None = N
 
         def visit(b: int, asking: np.ndarray) -> None:
             block = index.blocks[b]
-            found = search.cosines(block, asking)
+            found = search.cosines(b, asking)
             places = np.broadcast_to(np.arange(block.first, block.first + found.shape[1]), found.shape).copy()
             if leave is not None:
                 out = places == leave[low + asking][:, None]
@@ -241,7 +256,7 @@ def nearest(queries: Rows, index: Examples, k: int, leave: np.ndarray | None = N
 
 
 class Model(NamedTuple):
-    terms: dict[str, int]
+    terms: dict[bytes, int]
     value: np.ndarray
     examples: Examples
     base: float
@@ -273,7 +288,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [Counter() for _ in range(2 * HALVES)]
     for batch in batches:
         for label, half, text in zip(*(batch.column(c).to_pylist() for c in ("label", "half", "text")), strict=True):
-            held[2 * half + label].update(set(words(text)))
+            held[2 * half + label].update(words(text).keys())
             if sum(map(len, held)) >= MEMO_WORDS:
                 yield _counts(held)
     yield _counts(held)
@@ -281,7 +296,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counts(held: list[Counter]) -> pa.RecordBatch:
     terms = list(set().union(*held))
-    columns = [pa.array(terms, pa.string()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)]
+    columns = [pa.array(terms, pa.binary()).cast(pa.string()), *(pa.array([h[t] for t in terms], pa.int64()) for h in held)]
     for h in held:
         h.clear()
     return pa.RecordBatch.from_arrays(columns, ["term", *(f"n{i}" for i in range(len(held)))])
@@ -309,14 +324,14 @@ def vocabulary(sample: DataFrame) -> tuple[list[str], np.ndarray]:
     return counts.column("term").to_pylist(), np.array(both)
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int]) -> tuple[int, np.ndarray]:
+def document_frequencies(docs: DataFrame, terms: dict[bytes, int]) -> tuple[int, np.ndarray]:
     """How many documents there are, and how many hold each term, over all of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(len(terms) + 1, np.int64)
         for batch in batches:
             for text in batch.column("text"):
-                held = [terms[w] for w in set(words(text.as_py())) if w in terms]
+                held = [terms[w] for w in words(text.as_py()) if w in terms]
                 seen[held] += 1
                 seen[-1] += 1
         some = np.flatnonzero(seen)
@@ -345,7 +360,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> bytes:
     counts = prior(given)
     sample = written(examples_of(docs, given), "toxicity-sample")
     names, chi = vocabulary(sample)
-    terms = {t: i for i, t in enumerate(names)}
+    terms = {t.encode(): i for i, t in enumerate(names)}
     n, often = document_frequencies(docs, terms)
     values = (np.log((n + 1) / (often + 1)) + 1e-3) * (1 + chi)
     base = (counts[1] + 1) / (sum(counts) + 2)
@@ -409,8 +424,8 @@ def unpacked(model: bytes) -> Model:
     known = sys.__dict__.get("_akin_toxicity")
     if known is None or known[0] != name:
         stored = np.load(io.BytesIO(model))
-        names, value = stored["names"].tobytes().decode(), stored["value"]
-        terms = {t: i for i, t in enumerate(names.split("\n"))} if len(value) else {}
+        names, value = stored["names"].tobytes(), stored["value"]
+        terms = {t: i for i, t in enumerate(names.split(b"\n"))} if len(value) else {}
         held = Rows(stored["starts"], stored["terms"], stored["often"].astype(np.float64), len(value))
         index = indexed(stored["doc_ids"], stored["labels"], weighted(held, value), tuple(stored["counts"]))
         index = index._replace(vectors=Rows(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), 0))
