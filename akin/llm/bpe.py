@@ -168,6 +168,7 @@ class Tokenizer:
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.words: dict[str, list[int]] = {}
+        self.most = MEMO_CHUNKS
 
     def _pieces(self, chunk: str) -> list[str]:
         if chunk.isascii() or "Cn" not in map(unicodedata.category, chunk):
@@ -189,7 +190,7 @@ class Tokenizer:
 
     def _made(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that are not in the memo; from now on they are."""
-        if len(self.memo) >= MEMO_CHUNKS:
+        if len(self.memo) >= self.most:
             # The full memo serves on as the old one, so frequent chunks come back from there.
             self.old, self.memo = self.memo, {}
             self.words.clear()
@@ -243,6 +244,7 @@ class LibraryTokenizer(Tokenizer):
         self.encoder.no_padding()
         # Special tokens are taken out before; what lower-casing turns into one is ordinary text.
         self.encoder.encode_special_tokens = True
+        self.most = MEMO_CHUNKS // 2  # the words are remembered as well
         self.ends_word = np.array([label.endswith(self.suffix) for label in self.labels])
         self.words: dict[str, bytes] = {}
 

@@ -29,7 +29,7 @@ BUCKETS = 1 << BITS
 SIZES = (3, 4, 5)
 PER_LABEL, FEATURES = 1500, 10_000_000
 EPOCHS, RATE = 6, 0.3
-CHUNK = 1 << 21
+CHUNK = 1 << 19  # bytes whose features are taken at once; each needs some 80 bytes
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 REPEAT = np.uint64(1)
 INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
