@@ -12,6 +12,7 @@ from akin.functions import distances, signature, text
 from akin.operators import keywords, lsh, ordering, rejects
 from akin.operators.blocks import profile
 from akin.operators.evaluate import candidate_flags, candidate_overlap, list_overlap, result_overlap
+from akin.operators.postings import posting_profile, posting_top
 from akin.operators.skew import sliced_join
 from akin.plans import accuracy, corpus, keyword_quality, quality
 from akin.session import fresh_path, materialise
@@ -531,8 +532,7 @@ def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pairs_keyword(spark, sf_dir):
-    sides = corpus.signature_profile(keyword_table(spark, sf_dir), f"kw_{KEYWORDS.n_keywords}")
-    return profile(*sides).drop("cell")
+    return posting_profile(keyword_table(spark, sf_dir), f"kw_{KEYWORDS.n_keywords}").drop("cell")
 
 
 # ---- searches ----
@@ -588,8 +588,7 @@ def topk_signature(spark, sf_dir):
 
 @query
 def topk_keyword(spark, sf_dir):
-    top = corpus.signature_top(keyword_table(spark, sf_dir), KEYWORDS.n_results, f"kw_{KEYWORDS.n_keywords}")
-    return top.drop("cell")
+    return posting_top(keyword_table(spark, sf_dir), KEYWORDS.n_results, f"kw_{KEYWORDS.n_keywords}").drop("cell")
 
 
 @query
@@ -643,7 +642,7 @@ def recall_keyword(spark, sf_dir):
     split = run_of(spark, sf_dir, KEYWORDS)
     signed = materialise(keyword_table(spark, sf_dir), "keyword-table")
     exact = materialise(corpus.exact_top(split, KEYWORDS.n_results), "exact")
-    top = corpus.signature_top(signed, KEYWORDS.n_results, f"kw_{KEYWORDS.n_keywords}")
+    top = posting_top(signed, KEYWORDS.n_results, f"kw_{KEYWORDS.n_keywords}")
     asked = candidate_part(signed, exact, KEYWORDS).select("cell", "query_id")
     return list_overlap(exact, top, "kw").join(asked, ["cell", "query_id"], "left_semi").drop("cell")
 
