@@ -292,8 +292,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     """Ids and decoded texts: doc_id, ids (array of int), decoded.
 
     One row per row of ``docs`` in place, nothing is shuffled. A null or empty text has no ids; repeated rows
-    are encoded alike; an empty table gives none; other columns are ignored. ``path`` names a vocabulary
-    file that every executor can open.
+    are encoded alike; an empty table gives none; other columns are ignored. A text of any length is encoded whole, in a time and
+    memory in proportion to it. ``path`` names a vocabulary file that every executor can open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

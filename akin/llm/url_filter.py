@@ -164,7 +164,7 @@ def judged(pages: DataFrame, rules: list[Rule] | None = None, examples: DataFram
     The longest rule that fits decides; without one the model does (block from 0.5). ``score`` is the model's
     probability of block, given for every row. A null or malformed url has empty host and path, no
     rule, and is judged by the model on the empty string. An empty table gives no rows, repeated rows
-    are judged alike, other columns are ignored.
+    are judged alike, other columns are ignored. A url of any length is judged whole.
     """
     spark = pages.sparkSession
     model = fitted(training_table(spark) if examples is None else examples).first()
