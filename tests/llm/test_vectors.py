@@ -128,3 +128,26 @@ def test_recall_of_a_graph():
     nearest = (query @ graph.vectors.T).argmax(1)
     found = [(graph.search(query, width)[0] == nearest[:, None]).any(1).mean() for width in (16, 256)]
     assert found[1] >= found[0] and found[1] > 0.97
+
+
+def test_the_graph_answers_in_a_large_shard(monkeypatch):
+    """5,000 vectors in one shard: all links are found, and hardly a query is compared with the whole shard."""
+    draw = np.random.default_rng(11)
+    base = draw.normal(0, 1, (1250, 24))
+    vectors = hnsw.unit(np.repeat(base, 4, axis=0) + draw.normal(0, 0.12, (5000, 24)))
+    graph = hnsw.Graph(vectors)
+    whole = []
+    compared = hnsw._compared
+
+    def counting(query, rest, all_vectors, rows):
+        whole.append(len(rest) * len(rows))
+        return compared(query, rest, all_vectors, rows)
+
+    monkeypatch.setattr(hnsw, "_compared", counting)
+    found = set()
+    for which, row in hnsw.near_rows(graph, vectors, np.random.default_rng(5), np.arange(5000)):
+        found |= set(zip(which.tolist(), row.tolist(), strict=True))
+    cosines = vectors @ vectors.T
+    want = set(zip(*(x.tolist() for x in np.nonzero(cosines >= hnsw.COSINE)), strict=True))
+    assert len(want) > 15_000 and want <= found
+    assert sum(whole) < 0.02 * 5000 * 5000
