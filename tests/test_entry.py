@@ -14,7 +14,11 @@ def test_every_query_has_a_name_and_sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test data")
-@pytest.mark.parametrize("name", ["topk_exact", "lsh_candidates", "keyword_extract", "global_stats", "coverage"])
+@pytest.mark.parametrize(
+    "name",
+    ["topk_exact", "topk_upto", "lsh_candidates", "lsh_append", "keyword_extract", "pairs_keyword", "global_stats", "coverage"]
+    + ["whole_stats", "sweep_topn", "sweep_size_perm", "error_stages", "external_without_first", "sink_signing_stats", "metric_summary"],
+)
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     base = duckdb.connect()
