@@ -377,7 +377,15 @@ def fitted(docs: DataFrame, labels: DataFrame) -> bytes:
     pairs = zip(found.column("terms"), found.column("counts"), strict=True)
     held = stacked([tuple(np.frombuffer(x.as_buffer(), np.int32) for x in pair) for pair in pairs], len(terms))
     doc_ids, marks, halves = (found.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "label", "half"))
-    at, score = calibrated(doc_ids, marks, halves, held, values, counts, base)
+
+    # The votes on the examples take several indexes: a task's work, of which only the points of the map come back.
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            made = calibrated(doc_ids, marks, halves, held, values, counts, base)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in made], ["vote", "score"])
+
+    fit = docs.sparkSession.range(0, 1, 1, 1).mapInArrow(points, "vote double, score double").toArrow().sort_by("vote")
+    at, score = (fit.column(c).to_numpy() for c in ("vote", "score"))
     stored = io.BytesIO()
     np.savez_compressed(
         stored,
