@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from akin.llm.labels import bounded_sample, prior, remainder, training_labels
-from akin.llm.tables import written
+from akin.llm.tables import dropped, written
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -144,7 +144,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             kinds = [b for b, _ in features([(text or "").encode()])]
             share = np.concatenate([np.full(len(b), 1 / max(len(b), 1)) for b in kinds])
             unique, at = np.unique(np.concatenate(kinds), return_inverse=True)
-            ids.append(unique.astype(np.int32).tobytes())
+            ids.append(unique.astype(np.uint16).tobytes())
             shares.append(np.bincount(at, share, len(unique)).astype(np.float32).tobytes())
         yield pa.RecordBatch.from_pydict(
             {
@@ -163,13 +163,28 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     schema = StructType([sample.schema["label"], sample.schema["doc_id"]])
     schema = schema.add("buckets", "binary").add("shares", "binary")
     rows = written(sample.mapInArrow(_sample_features, schema), "quality-sample")
-    examples, total = [], 0
-    for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "buckets", "shares").toLocalIterator():
-        examples.append((np.frombuffer(r["buckets"], np.int32), np.frombuffer(r["shares"], np.float32), r["label"]))
-        total += len(examples[-1][0])
-        if total >= FEATURES:
-            break
-    return trained(examples, prior(given))
+    counts = prior(given)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples, total = [], 0
+        for batch in batches:
+            for label, buckets, shares in zip(*(batch.column(c).to_pylist() for c in ("label", "buckets", "shares")), strict=True):
+                if total < FEATURES:
+                    examples.append((np.frombuffer(buckets, np.uint16), np.frombuffer(shares, np.float32), label))
+                    total += len(examples[-1][0])
+        model = trained(examples, counts)
+        parts = [np.asarray(part, np.float64).tobytes() for part in model]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.binary()) for part in parts], list(Model._fields))
+
+    # The sample is bounded, so one task fits it; only the model, of fixed size, comes to the driver.
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("buckets"), F.col("shares")]
+    placed = rows.repartition(1).sortWithinPartitions(*order)
+    made = placed.mapInArrow(fit, ", ".join(f"{name} binary" for name in Model._fields)).first()
+    if made is None:  # nothing is labelled
+        return trained([], counts)
+    vectors, weights, biases, shift = (np.frombuffer(made[name], np.float64) for name in Model._fields)
+    dropped(rows)
+    return Model(vectors.reshape(BUCKETS, DIMENSIONS), weights.reshape(2, DIMENSIONS), biases, float(shift[0]))
 
 
 def scores_of(model: Model, batch: pa.RecordBatch) -> np.ndarray:
