@@ -74,6 +74,28 @@ def test_small_blocks_change_nothing(spark, split, monkeypatch, elements, scores
     assert shared.tolist() == [[len(np.intersect1d(a, b)) for b in sets[10:]] for a in sets[:10]]
 
 
+def test_blocks_are_bounded_and_meet_without_a_shuffle(spark, split, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "BLOCK_ELEMENTS", 400)
+    queries, train, scorer = corpus.exact_sides(split)
+    found = [pa.ipc.open_stream(r["block"]).read_all() for r in blocks.packed(train).collect()]
+    assert len(found) > 3 and sum(b.num_rows for b in found) == len(brute_split()[0])
+    for block in found:
+        sizes = blocks.n_elements(block)
+        assert sizes.sum() - sizes[-1] < 400
+    sums = blocks.meet(queries, train, lambda left: blocks.profile_rows(left, scorer), blocks.PROFILE_SCHEMA)
+    assert "hashpartitioning" not in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_places_take_the_earlier_of_equal_scores():
+    import numpy as np
+
+    scores = np.random.default_rng(3).integers(0, 4, (20, 30)) / 4
+    for n in (1, 5, 29, 30):
+        assert (blocks.best_places(scores, n) == np.argsort(-scores, axis=1, kind="stable")[:, :n]).all()
+
+
 def test_fewer_train_rows_than_results(spark):
     docs = fixtures.frame(spark, {i: f"text number {i}" for i in range(10)})
     split = corpus.holdout(docs, CFG)
