@@ -250,3 +250,26 @@ def test_more_hot_keys_than_a_list_could_name(spark):
     many = spark.range(1200 * 12).select((F.col("id") % 1200).alias("k"), F.col("id").alias("i"))
     few = spark.range(1200).select(F.col("id").alias("k"), F.col("id").alias("v"))
     assert skew.sliced_join(many, few, ["k"], "i", slice_rows=10).count() == 1200 * 12
+
+
+def test_title_search_pairs_are_not_shuffled(spark):
+    import math
+    import re
+
+    from akin.operators.textsearch import title_search
+
+    texts = {i: " ".join(f"w{j}" for j in range(40) if (i * 7 + j * j) % 5 < 2) + " the" * (i % 3) for i in range(30)}
+    titles = {i: f"the w{i} w{i + 3} w{i}" for i in range(40)} | {90: "nothing known", 91: None}
+    queries = spark.createDataFrame([(0, i, t) for i, t in titles.items()], "cell int, doc_id long, title string").repartition(3)
+    train = spark.createDataFrame([(0, i, t, 100 - i) for i, t in texts.items()], "cell int, doc_id long, text string, order_key long")
+    found = title_search(queries, train.repartition(4), len(texts), 4)
+    assert not re.search(r"hashpartitioning\([^)]*query_id#\w+L?, doc_id", found._jdf.queryExecution().executedPlan().toString())
+    tf = {i: {w: t.split().count(w) for w in t.split()} for i, t in texts.items()}
+    df = {w: sum(w in t for t in tf.values()) for w in {w for t in tf.values() for w in t}}
+    want = {}
+    for q, title in titles.items():
+        asked = set((title or "").split())
+        rows = [(-round(sum(c * math.log(30 / df[w]) for w, c in t.items() if w in asked), 9), 100 - i, i) for i, t in tf.items() if asked & set(t)]
+        want |= {(q, r): (i, -s) for r, (s, _, i) in enumerate(sorted(rows)[:4], 1)}
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in found.collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == d and got[k][1] == pytest.approx(s) for k, (d, s) in want.items())
