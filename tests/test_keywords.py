@@ -223,3 +223,20 @@ def test_released_tables_are_gone(spark):
     assert table.count() == 5 and os.path.isdir(folder)
     release(spark)
     assert not os.path.exists(folder)
+
+
+def test_features_hold_no_object_per_term(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(keywords, "BATCH", 1 << 17)
+    texts = [" ".join(f"w{doc}x{i}" for i in range(300)) for doc in range(400)] + ["", None, "the dog"]
+    tracemalloc.start()
+    found = keywords.feature_lists(pa.nulls(len(texts), pa.string()), pa.array(texts, pa.string()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 120,000 terms; 100 MB as one object each.
+    assert peak < 60e6
+    assert [len(row) for row in found.to_pylist()] == [300] * 400 + [0, 0, 2]
+    assert [(t["term"], t["score"] is None) for t in found[-1].as_py()] == [("the", True), ("dog", False)]
