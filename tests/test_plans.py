@@ -154,3 +154,19 @@ def test_metric_means_over_reshuffles(spark):
         assert got[seed]["avg_euclidean"] == pytest.approx(np.mean([np.linalg.norm(x - y) for x, y in sides]), abs=0.01)
         cosine = [1 - x @ y / np.linalg.norm(x) / np.linalg.norm(y) for x, y in sides]
         assert got[seed]["avg_cosine"] == pytest.approx(np.mean(cosine), abs=1e-8)
+
+
+def test_neighbour_texts_are_joined_not_their_sets(spark, tmp_path):
+    import re
+
+    from checks import queries
+
+    rows = [(i, f"some text {i * 7919 % 31} of many words {i}", "en") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.REGISTRY["set_union"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"parquet .*/sets-", plan) and "a_text" in plan
+    texts = {i: fixtures.shingles(t, 4) for i, t, _ in rows}
+    got = found.collect()
+    assert len(got) == 38
+    assert all(r["n_united"] == len(texts[r["a_doc_id"]] | texts[r["b_doc_id"]]) for r in got)
