@@ -1,6 +1,9 @@
 import math
+import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -47,6 +50,33 @@ def test_long_text_is_cut_without_loss(spark):
     assert len(column(spark, [value], "string", text.shingle_ids(F.col("v"), 5))[0]) == len(found)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text("aé€😀z\x00", min_size=9, max_size=60)), st.integers(1, 9), st.integers(1, 9))
+def test_shingle_strings_of_a_batch(values, first, last):
+    sizes = range(min(first, last), max(first, last) + 1)
+    rows = [None if v is None else text.shingle_points(v, sizes) for v in values]
+    want = [None if v is None else [s for k in sizes for s in sorted(shingles(v, k))] for v in values]
+    assert text.string_lists(rows).to_pylist() == want
+
+
+def test_long_shingles_of_many_letters():
+    rng = random.Random(3)
+    value = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(3000)) * 2
+    assert text.string_lists([text.shingle_points(value, range(12, 13))]).to_pylist() == [sorted(shingles(value, 12))]
+
+
+def test_a_batch_is_signed_without_holding_its_sets():
+    rng = random.Random(5)
+    texts = pa.array(["".join(rng.choice("abcdefgh ijklmnop") for _ in range(4000)) for _ in range(300)])
+    permuter = signature.Permuter(permutations(16))
+    tracemalloc.start()
+    signed = signature.signed_texts(texts, 6, "exact", permuter)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The sets of the batch take 9 MB.
+    assert len(signed) == 300 and peak < 3_000_000
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(min_size=4, max_size=80), st.integers(1, 4))
 def test_ids_are_one_to_one_with_shingles(value, k):
