@@ -74,6 +74,27 @@ def test_bounded_distance_is_the_edit_distance(spark):
         assert [keywords.within(a, b, limit) for limit in range(6)] == [distance[i] <= limit for limit in range(6)]
 
 
+def test_distance_is_only_taken_where_a_piece_is_shared(monkeypatch):
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(3000):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 45)))
+        b = list(a if rng.random() < 0.8 else a[::-1])
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "bc"])
+        pairs.append((a, "".join(b) or "x"))
+
+    def plain(a, b):
+        limit = next(n for n in range(99) if 1.0 - (n + 1) / max(len(a), len(b)) <= keywords.DUPLICATE_LIMIT)
+        return limit > 0 and keywords.within(a, b, limit)
+
+    assert [keywords.similar(a, b) for a, b in pairs] == [plain(a, b) for a, b in pairs]
+    asked = []
+    monkeypatch.setattr(keywords, "within", lambda *pair: asked.append(pair))
+    assert not keywords.similar("market garden", "winter season") and not asked
+
+
 def plain_words(text):
     """sentence, chunk, pos and word by splitting."""
     for sentence, body in enumerate(regex.split(keywords.SENTENCE_END, text)):
