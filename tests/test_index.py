@@ -3,8 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from akin.config import SearchConfig
+from akin.functions.signature import band_hashes
 from akin.operators import lsh
 from akin.plans import corpus
 from akin.session import fresh_path, release
@@ -69,6 +71,27 @@ def test_searching_does_not_move_the_index(spark, sides):
     assert "Exchange hashpartitioning(key" in probe_branch
 
 
+def test_pairs_are_not_shuffled_to_be_told_apart(sides):
+    queries, train = sides
+    plan = lsh.search_index(queries, lsh.build_index(train, CFG.bands))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_repeated_ids_give_a_pair_once(spark, sides):
+    queries, train = sides
+    # Ids with two texts, null ids, and documents that come again in a later run.
+    same_id = F.when(F.col("doc_id") % 3 == 0, F.lit(7)).when(F.col("doc_id") % 2 == 1, F.lit(None)).otherwise(F.col("doc_id"))
+    queries, train = (side.withColumn("doc_id", same_id).unionByName(side) for side in sides)
+    index = lsh.build_index(train, CFG.bands)
+    index.append(train.filter("doc_id % 2 = 0"))
+    keys = lambda side: side.select("*", F.explode(F.transform(band_hashes(F.col("cell"), F.col("sig"), CFG.bands), lambda h: h["key"])).alias("key"))
+    runs = [lsh.signature_classes(part) for part in (train, train.filter("doc_id % 2 = 0"))]
+    want = keys(queries.withColumnRenamed("doc_id", "query_id")).drop("cell").join(keys(runs[0].unionByName(runs[1])), "key")
+    want = want.select("cell", "query_id", "first_doc_id", "n_docs").distinct()
+    found = lsh.search_index(queries, index)
+    assert found.exceptAll(want).isEmpty() and want.exceptAll(found).isEmpty() and found.filter("query_id is null").count()
+
+
 def test_an_index_of_nothing_finds_nothing(spark, sides):
     queries, train = sides
     assert lsh.candidate_classes(queries, train.limit(0), CFG.bands).collect() == []
