@@ -23,7 +23,6 @@ import json
 import os
 import re
 import struct
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
+from akin.llm.tables import kept
+
 NEVER = 1 << 40
 MEMO_CHUNKS = 1 << 19
 MEMO_LENGTH = 256  # longer chunks are not remembered
@@ -278,12 +279,8 @@ class LibraryTokenizer(Tokenizer):
 
 
 def tokenizer(path: str, kind: type[Tokenizer] = Tokenizer) -> Tokenizer:
-    """The tokenizer of a vocabulary file, made once per Python process."""
-    made = sys.__dict__.setdefault("_akin_tokenizers", {})
-    key = kind.__name__, path
-    if key not in made:
-        made[key] = kind(path)
-    return made[key]
+    """The tokenizer of a vocabulary file, made once in a Python worker."""
+    return kept(("tokenizer", kind.__name__, path), lambda: kind(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from akin.llm.components import Forest, components
 from akin.llm.shingles import coefficients, shingles, signature
-from akin.llm.tables import numbered, written
+from akin.llm.tables import numbered, parts, written
 
 COORDINATES, MATCHES = 64, 28
 PERCENT = 75
@@ -44,7 +44,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = coefficients(COORDINATES)
-        for batch in batches:
+        for batch in parts(batches):
             sizes, left, right, signatures, low = [], [], [], [], []
             for text in batch.column("text"):
                 found = shingles(text.as_py())
@@ -144,7 +144,7 @@ def retained(lists: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         found = pa.array([shingles(t.as_py()).tobytes() for t in batch.column("text")], pa.large_binary()).cast(pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["node", "found"])
 

@@ -10,7 +10,7 @@ documents are scored where they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from akin.llm.labels import bounded_sample, prior, remainder, training_labels
-from akin.llm.tables import dropped, written
+from akin.llm.tables import dropped, parts, written
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -124,7 +124,7 @@ def probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
     return np.round(1 / (1 + np.exp(-np.clip(logits, -500, 500))), 9)
 
 
-def chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
+def chunks(texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     """Texts as bytes, in order, about CHUNK bytes at a time."""
     part, size = [], 0
     for text in texts:
@@ -188,8 +188,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scores_of(model: Model, batch: pa.RecordBatch) -> np.ndarray:
-    parts = [probabilities(model, part) for part in chunks(batch.column("text").to_pylist())]
-    return np.concatenate(parts) if parts else np.zeros(0)
+    scores = [probabilities(model, part) for part in chunks(text.as_py() for text in batch.column("text"))]
+    return np.concatenate(scores) if scores else np.zeros(0)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fitted(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             yield batch.filter(pa.array(scores_of(model, batch) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import xxhash
 
+from akin.llm.tables import kept
+
 WORDS = 5
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 16
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64)) for i in range(WORDS)]
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -23,8 +23,7 @@ class _WordHashes(dict):
 
 
 def _word_hashes() -> _WordHashes:
-    # Task code travels by value: the memo lives on the interpreter.
-    return sys.__dict__.setdefault("_akin_word_hashes", _WordHashes())
+    return kept("word hashes", _WordHashes)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

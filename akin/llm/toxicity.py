@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,12 +32,12 @@ from pyspark.sql.types import ArrayType, LongType, StructType
 
 from akin.llm.divergence import term_lists
 from akin.llm.labels import bounded_sample, prior, remainder, training_labels
-from akin.llm.tables import dropped, written
+from akin.llm.tables import dropped, kept, written
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 PER_LABEL, EXAMPLE_CHARS, NEAREST, EVIDENCE = 1500, 24_000_000, 15, 3
-BLOCK, QUERIES = 64, 256
+BLOCK, QUERIES = 64, 128
 COMMON = 8  # terms that one of so many examples holds are rows of a matrix
 HALVES = 2
 MEMO_WORDS = 1 << 18
@@ -427,19 +426,18 @@ def calibrated(
 
 
 def unpacked(model: bytes) -> Model:
-    """The model that ``fitted`` stored, indexed once for as long as the Python worker lives."""
-    name = hashlib.sha256(model).digest()
-    known = sys.__dict__.get("_akin_toxicity")
-    if known is None or known[0] != name:
+    """The model that ``fitted`` stored, indexed once in a Python worker."""
+
+    def indexed_model() -> Model:
         stored = np.load(io.BytesIO(model))
         names, value = stored["names"].tobytes(), stored["value"]
         terms = {t: i for i, t in enumerate(names.split(b"\n"))} if len(value) else {}
         held = Rows(stored["starts"], stored["terms"], stored["often"].astype(np.float64), len(value))
         index = indexed(stored["doc_ids"], stored["labels"], weighted(held, value), tuple(stored["counts"]))
         index = index._replace(vectors=Rows(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), 0))
-        known = name, Model(terms, value, index, float(stored["base"]), stored["votes"], stored["scores"])
-        sys.__dict__["_akin_toxicity"] = known
-    return known[1]
+        return Model(terms, value, index, float(stored["base"]), stored["votes"], stored["scores"])
+
+    return kept(("toxicity", hashlib.sha256(model).digest()), indexed_model)
 
 
 def judged(model: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
