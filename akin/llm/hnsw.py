@@ -3,10 +3,11 @@
 Equal vectors are one node with a number of copies. Nodes are dealt to shards by their id; each shard builds its own graph
 and writes it to the shared folder. Every node then searches every shard, in blocks of queries. A search descends the
 layers and keeps a beam; a beam whose worst member still links is widened until it is not, and an audit against brute
-force on a few queries of each block widens all beams until it finds all their links and its share of the true nearest
-neighbours. Where a beam would cost more than comparing the whole shard, the shard is compared, and rows that no
-path leads to are always compared. Links found are confirmed in double precision. A task returns the number of links of
-each query and a spanning forest of the links; the components of the forests are the result.
+force widens all beams of a block of queries until it finds all links of a few of them, its share of their true nearest
+neighbours that come close to linking, and each of some rows from a vector made to just link to it. Where a beam would
+cost more than comparing the whole shard, the shard is compared, and rows that no path leads to are always compared.
+Links found are confirmed in double precision. A task returns the number of links of each query and a spanning forest of
+the links; the components of the forests are the result.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ COSINE = 0.9
 SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 100_000, 16_384
 LINKS, LINKS_BELOW, FANOUT = 16, 32, 16
 BUILD_BEAM, BEAM, DESCENT = 64, 64, 8
-BATCH, VISITED = 512, 1 << 25
+BATCH, VISITED, TOGETHER, PIECE = 512, 1 << 25, 512, 1024
 COMPARED, PAIRS = 1 << 22, 1 << 17
-AUDIT, RECALL = 64, 0.97
+AUDIT, RECALL, CLOSE = 64, 0.97, 0.7
 SLACK = 1e-4
 
 
@@ -43,7 +44,7 @@ def _chosen(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, keep: int)
     order = np.argsort(-near, axis=1, kind="stable")
     ids, near = np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
     apart = vectors[ids]
-    between = np.einsum("qcd,qed->qce", apart, apart)
+    between = apart @ apart.transpose(0, 2, 1)
     taken = np.zeros(ids.shape, bool)
     for c in range(ids.shape[1]):
         closest = np.where(taken, between[:, c], -np.inf).max(1)
@@ -53,6 +54,15 @@ def _chosen(query: np.ndarray, ids: np.ndarray, vectors: np.ndarray, keep: int)
     return out if out.shape[1] == keep else np.pad(out, ((0, 0), (0, keep - out.shape[1])), constant_values=-1)
 
 
+def _cosines(query: np.ndarray, at: np.ndarray, vectors: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Of each of the pairs (at, node), in pieces whose rows stay in a core's cache."""
+    out = np.empty(len(at), np.float32)
+    for low in range(0, len(at), PIECE):
+        some = slice(low, low + PIECE)
+        np.vecdot(query.take(at[some], 0), vectors.take(node[some], 0), out=out[some])
+    return out
+
+
 class Graph:
     """Layers over ``vectors`` (rows of length 1): layer l holds the first ``sizes[l]`` rows."""
 
@@ -119,31 +129,43 @@ class Graph:
 
     def _beam(self, query: np.ndarray, links: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the beam of every query, best first, -1 where it isn't full."""
-        out, rows = [], max(1, VISITED // max(1, len(links)))
+        out, rows = [], max(1, min(TOGETHER, VISITED // max(1, len(links))))
         for at in range(0, len(query), rows):
             out.append(self._beam_of(query[at : at + rows], links, entries[at : at + rows], width))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     def _beam_of(self, query: np.ndarray, links: np.ndarray, entries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         n, step = len(query), 4
-        seen = np.zeros((n, len(links) + 1), bool)  # the last column stands for -1
+        # The last column stands for -1, which is never new.
+        seen = np.zeros((n, len(links) + 1), bool)
+        seen[:, -1] = True
         ids, near = np.full((n, width), -1, np.int64), np.full((n, width), -np.inf, np.float32)
         open_ = np.zeros((n, width), bool)
-        rows, fresh = np.arange(n), np.sort(entries, axis=1)
+        rows, fresh = np.arange(n), entries
         while len(rows):
-            # Each new row once, and never again.
-            twice = np.zeros(fresh.shape, bool)
-            twice[:, 1:] = fresh[:, 1:] == fresh[:, :-1]
-            fresh = np.where(twice | seen[rows[:, None], fresh], -1, fresh)
-            seen[rows[:, None], fresh] = True
-            cosine = np.einsum("qd,qcd->qc", query[rows], self.vectors[fresh])
-            cosine[fresh < 0] = -np.inf
-            every = np.hstack([near[rows], cosine])
-            order = np.argsort(-every, axis=1, kind="stable")[:, :width]
-            near[rows] = np.take_along_axis(every, order, 1)
-            ids[rows] = np.take_along_axis(np.hstack([ids[rows], fresh]), order, 1)
-            unread = np.hstack([open_[rows], fresh >= 0])
-            open_[rows] = np.take_along_axis(unread, order, 1) & (ids[rows] >= 0)
+            # Each new row once, and never again; what is no better than the worst of a full beam doesn't enter it.
+            which, column = np.nonzero(~seen[rows[:, None], fresh])
+            node = fresh[which, column]
+            at = rows[which]
+            seen[at, node] = True
+            cosine = _cosines(query, at, self.vectors, node)
+            better = np.flatnonzero(cosine > near[at, -1])
+            _, first = np.unique(which[better] * len(links) + node[better], return_index=True)
+            which, node, cosine = (x[better[first]] for x in (which, node, cosine))
+            counts = np.bincount(which, minlength=len(rows))
+            some = np.flatnonzero(counts)
+            if len(some):
+                column = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+                line = (np.cumsum(counts > 0) - 1)[which]
+                new_ids = np.full((len(some), int(counts.max())), -1, np.int64)
+                new_near = np.full(new_ids.shape, -np.inf, np.float32)
+                new_ids[line, column], new_near[line, column] = node, cosine
+                at = rows[some]
+                every = np.hstack([near[at], new_near])
+                order = np.argsort(-every, axis=1, kind="stable")[:, :width]
+                near[at] = np.take_along_axis(every, order, 1)
+                ids[at] = np.take_along_axis(np.hstack([ids[at], new_ids]), order, 1)
+                open_[at] = np.take_along_axis(np.hstack([open_[at], new_ids >= 0]), order, 1)
             rows = rows[open_[rows].any(1)]
             if len(rows):
                 best = np.argsort(~open_[rows], axis=1, kind="stable")[:, :step]
@@ -151,7 +173,6 @@ class Graph:
                 nodes = np.where(read, np.take_along_axis(ids[rows], best, 1), -1)
                 open_[rows[:, None], best] = False
                 fresh = np.where(nodes[:, :, None] < 0, -1, links[nodes]).reshape(len(rows), -1)
-                fresh = np.sort(fresh, axis=1)
         return ids, near
 
     def search(self, query: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,6 +216,14 @@ def _compared(query: np.ndarray, rest: np.ndarray, vectors: np.ndarray, rows: np
             yield rest[at : at + step][which], some[place]
 
 
+def _at_the_edge(rows: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """For each row a vector of random direction that just links to it."""
+    aside = draw.standard_normal(rows.shape)
+    aside -= np.vecdot(aside, rows)[:, None] * rows
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), SLACK)
+    return unit(COSINE * rows + np.sqrt(1 - COSINE**2) * aside).astype(np.float32)
+
+
 def near_rows(graph: Graph, query: np.ndarray, draw: np.random.Generator, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (query, row of the graph) whose cosine may reach COSINE, each once, in pieces.
 
@@ -212,15 +241,21 @@ def near_rows(graph: Graph, query: np.ndarray, draw: np.random.Generator, own: n
     # Of copies that differ only in rounding any is the nearest; loose rows are compared anyway.
     nearest = true.max(1, initial=-np.inf)
     links = (true >= COSINE - SLACK) & joined[:n]
+    # Neighbours far from linking are hard to find and tell little about links.
+    close = nearest >= CLOSE
+    target = draw.choice(np.flatnonzero(joined[:n]), AUDIT)
+    asked = np.concatenate([query[audited], _at_the_edge(graph.vectors[target], draw)])
     # A beam of width w reads about w * LINKS_BELOW rows: beyond the shard's rows comparing all is less work.
     trusted = False
     while not trusted and (width == BEAM or width * LINKS_BELOW < n) and width < n:
-        ids, near = graph.search(query[audited], width)
+        ids, near = graph.search(asked, width)
+        full = near[:, -1] >= COSINE - SLACK  # such a beam is widened below
+        reached = (ids[len(audited) :] == target[:, None]).any(1) | full[len(audited) :]
         found = np.zeros((len(audited), n + 1), bool)
-        found[np.arange(len(audited))[:, None], ids] = True
-        whole = (~links | found[:, :n]).all(1) | (near[:, -1] >= COSINE - SLACK)  # a full beam is widened below
+        found[np.arange(len(audited))[:, None], ids[: len(audited)]] = True
+        whole = (~links | found[:, :n]).all(1) | full[: len(audited)]
         best = np.where(found[:, :n] | ~joined[:n], true, -np.inf).max(1) >= nearest - SLACK
-        trusted = whole.all() and best.mean() >= RECALL
+        trusted = whole.all() and reached.all() and best.sum(where=close) >= RECALL * close.sum()
         width *= 1 if trusted else 2
     rest = np.arange(len(query))
     while trusted and len(rest):

@@ -151,3 +151,33 @@ def test_the_graph_answers_in_a_large_shard(monkeypatch):
     want = set(zip(*(x.tolist() for x in np.nonzero(cosines >= hnsw.COSINE)), strict=True))
     assert len(want) > 15_000 and want <= found
     assert sum(whole) < 0.02 * 5000 * 5000
+
+
+def test_neighbours_far_from_linking_do_not_widen_the_beams(monkeypatch):
+    draw = np.random.default_rng(17)
+    vectors = hnsw.unit(draw.normal(size=(4200, 64)))
+    query = hnsw.unit(np.vstack([vectors[:200] + draw.normal(0, 0.04, (200, 64)), draw.normal(size=(800, 64))]))
+    graph = hnsw.Graph(vectors)
+    monkeypatch.setattr(hnsw, "BEAM", 32)
+    search, widths = hnsw.Graph.search, []
+
+    def noting(self, query, width):
+        widths.append(width)
+        return search(self, query, width)
+
+    monkeypatch.setattr(hnsw.Graph, "search", noting)
+    pairs = set()
+    for which, row in hnsw.near_rows(graph, query, np.random.default_rng(5), np.full(1000, -1)):
+        pairs |= set(zip(which.tolist(), row.tolist()))
+    cosines = query @ vectors.T
+    assert pairs >= set(zip(*(x.tolist() for x in np.nonzero(cosines >= hnsw.COSINE)), strict=True))
+    assert set(widths) == {hnsw.BEAM}
+
+
+def test_a_vector_at_the_edge_just_links():
+    draw = np.random.default_rng(18)
+    for dimensions in (2, 64):
+        rows = hnsw.unit(draw.normal(size=(50, dimensions))).astype(np.float32)
+        made = hnsw._at_the_edge(rows, draw)
+        np.testing.assert_allclose(np.vecdot(made, rows), hnsw.COSINE, atol=1e-5)
+    assert np.isfinite(hnsw._at_the_edge(np.ones((3, 1), np.float32), draw)).all()
