@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from akin.llm import hash_tree, url_filter
+from akin.llm import hash_tree, tables, url_filter
 from akin.llm.tables import numbered, written
 from tests.llm.fixtures import odd_documents, table
 
@@ -154,3 +154,15 @@ def test_fit_equals_numpy(spark):
         w, b = w * (1 - url_filter.DECAY) + url_filter.RATE * x.T @ error / len(y), b + error.mean()
     model = url_filter.fitted(table_).first()
     assert np.allclose(model["weights"], w, atol=1e-6) and abs(model["bias"] - b) < 1e-6
+
+
+def test_the_bitmap_of_few_keys_is_small(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(tables, "written", lambda df, name, f=tables.written: rows.append((out := f(df, name)).count()) or out)
+    df = spark.range(3000).withColumn("text", F.col("id").cast("string"))
+    for keys in (0, 1000):
+        may, not_ = tables.parted(df, "id", tables.written(spark.range(keys).withColumnRenamed("id", "key"), "keys"), "key")
+        held, left = ({r["id"] for r in x.collect()} for x in (may, not_))
+        assert held >= set(range(keys)) and len(held) < keys + 100
+        assert not held & left and held | left == set(range(3000))
+    assert rows[1] == 0 and rows[3] <= 128
