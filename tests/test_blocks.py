@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from akin.config import SearchConfig
-from akin.operators import blocks
-from akin.plans import corpus
+from akin.operators import blocks, postings
+from akin.plans import corpus, keyword_quality
 from akin.session import materialise
 from tests import fixtures
 
@@ -76,3 +76,16 @@ def test_overlap_and_equal_positions_equal_brute_force(monkeypatch):
     a, b = rng.integers(0, 2, (600, 23)), rng.integers(0, 2, (600, 31))
     equal = blocks.equal_positions(a.astype(np.int32), b.astype(np.int32))
     assert equal.tolist() == (a[:, :, None] == b[:, None, :]).sum(axis=0).tolist()
+
+
+def test_sums_of_keyword_signatures_shuffle_no_pair(spark, monkeypatch):
+    copies = {500 + i: "one text of which there are many copies" for i in range(20)}
+    docs = fixtures.frame(spark, fixtures.make_texts(40) | copies).withColumn("lang", F.lit("en"))
+    table = corpus.signed(corpus.holdout(docs, CFG)).join(keyword_quality.keyword_signatures(docs, (4,), 16), "doc_id")
+
+    def shuffled_pairs(*_):
+        raise AssertionError("pairs that meet are formed as rows")
+
+    monkeypatch.setattr(postings, "meet", shuffled_pairs)
+    want = blocks.profile(*corpus.signature_profile(table, "kw_4"))
+    assert sorted(postings.posting_profile(table, "kw_4").select(want.columns).collect()) == sorted(want.collect())
