@@ -1,7 +1,7 @@
 """Near duplicates among embeddings with hierarchical navigable small-world graphs.
 
 Equal vectors are one node with a number of copies. Nodes are dealt to shards by their id; each shard builds its own graph
-and writes it to the shared folder. Every node then searches every shard, in blocks of queries. A search descends the
+and writes it to the shared folder. Every node then searches every shard, in blocks of queries that read the graphs from there. A search descends the
 layers and keeps a beam; a beam whose worst member still links is widened until it is not, and an audit against brute
 force widens all beams of a block of queries until it finds all links of a few of them, its share of their true nearest
 neighbours that come close to linking, and each of some rows from a vector made to just link to it. Where a beam would
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 100_000, 16_384
 LINKS, LINKS_BELOW, FANOUT = 16, 32, 16
 BUILD_BEAM, BEAM, DESCENT = 64, 64, 8
 BATCH, VISITED, TOGETHER, PIECE = 512, 1 << 25, 512, 1024
-COMPARED, PAIRS = 1 << 22, 1 << 17
+COMPARED, PAIRS = 1 << 22, 1 << 14
 AUDIT, RECALL, CLOSE = 64, 0.97, 0.7
 SLACK = 1e-4
 
@@ -194,16 +195,41 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """In single precision if that loses nothing."""
+    with np.errstate(over="ignore"):
+        single = vectors.astype(np.float32)
+    return single if (single == vectors).all() else vectors
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """``unit`` in double precision, rounded to single; a block of rows at a time."""
+    out = np.empty(vectors.shape, np.float32)
+    for low in range(0, len(vectors), QUERY_ROWS):
+        out[low : low + QUERY_ROWS] = unit(vectors[low : low + QUERY_ROWS].astype(np.float64))
+    return out
+
+
+def _stored(**arrays: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
     # A random order, the same in every run: the layers are its beginnings.
     order = np.argsort(pd.util.hash_array(frame["vec_id"].to_numpy(np.int64)), kind="stable")
-    ids = frame["vec_id"].to_numpy(np.int64)[order]
-    vectors = unit(np.stack(frame["embedding"].to_numpy())[order])
-    graph = Graph(vectors)
-    stored = io.BytesIO()
-    copies = frame["copies"].to_numpy(np.int64)[order]
-    np.savez(stored, ids=ids, copies=copies, vectors=vectors, **{f"l{i}": x for i, x in enumerate(graph.layers)})
-    return pd.DataFrame({"dim": [int(frame["dim"].iloc[0])], "shard": [int(frame["shard"].iloc[0])], "graph": [stored.getvalue()]})
+    ids, copies = (frame[name].to_numpy(np.int64)[order] for name in ("vec_id", "copies"))
+    vectors = _narrow(np.stack(frame["embedding"].to_numpy()[order]))
+    graph = Graph(_units(vectors))
+    stored = _stored(ids=ids, copies=copies, vectors=vectors, **{f"l{i}": x for i, x in enumerate(graph.layers)})
+    return pd.DataFrame({"dim": [int(frame["dim"].iloc[0])], "shard": [int(frame["shard"].iloc[0])], "graph": [stored]})
+
+
+def _packed(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block of queries as one value."""
+    block = _stored(ids=frame["vec_id"].to_numpy(np.int64), vectors=_narrow(np.stack(frame["embedding"].to_numpy())))
+    return pd.DataFrame({"asked_dim": [int(frame["dim"].iloc[0])], "block": [block]})
 
 
 def _compared(query: np.ndarray, rest: np.ndarray, vectors: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -289,15 +315,25 @@ def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*joined, strict=True))
 
 
-def _search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    empty = pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-    if index.empty or queries.empty:
-        return empty
-    stored = np.load(io.BytesIO(index["graph"].iloc[0]))
-    ids, copies, vectors = stored["ids"], stored["copies"], stored["vectors"]
-    graph = Graph(vectors, [stored[f"l{i}"] for i in range(len(stored.files) - 3)])
-    asked = queries["vec_id"].to_numpy(np.int64)
-    query = unit(np.stack(queries["embedding"].to_numpy()))
+def _searches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of blocks of queries with graphs; a graph that comes with several blocks in turn is read once."""
+    last, held = None, None
+    for batch in batches:
+        columns = [batch.column(batch.schema.get_field_index(name)) for name in ("dim", "shard", "graph", "block")]
+        for row in range(batch.num_rows):
+            dim, shard, graph, block = (column[row] for column in columns)
+            if last != (dim, shard):
+                last, held = (dim, shard), None  # the old graph goes before the new one is read
+                held = np.load(pa.BufferReader(graph.as_buffer()))
+                held = {name: held[name] for name in held.files}
+                held["graph"] = Graph(_units(held["vectors"]), [held[f"l{i}"] for i in range(len(held) - 3)])
+            stored = np.load(pa.BufferReader(block.as_buffer()))
+            found = _search(held["graph"], *(held[name] for name in ("ids", "copies", "vectors")), *(stored[name] for name in stored.files))
+            yield from pa.Table.from_pandas(found, preserve_index=False).to_batches()
+
+
+def _search(graph: Graph, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, asked: np.ndarray, query: np.ndarray) -> pd.DataFrame:
+    query = unit(query.astype(np.float64))
     order = np.argsort(ids)
     place = np.minimum(np.searchsorted(ids[order], asked), len(ids) - 1)
     own = np.where(ids[order][place] == asked, order[place], -1)
@@ -306,7 +342,7 @@ def _search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     for which, row in near_rows(graph, query, np.random.default_rng(5), own):
         for at in range(0, len(which), PAIRS):
             q, r = which[at : at + PAIRS], row[at : at + PAIRS]
-            true = np.einsum("id,id->i", query[q], vectors[r]) >= COSINE
+            true = np.einsum("id,id->i", query[q], unit(vectors[r].astype(np.float64))) >= COSINE
             true &= asked[q] != ids[r]
             q, r = q[true], r[true]
             np.add.at(counts, q, copies[r])
@@ -340,14 +376,13 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
     n = good.count()
     shards, parts = max(SHARDS, -(-n // SHARD_ROWS)), max(1, -(-n // QUERY_ROWS))
     deal = lambda k, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(k)).cast("long")
-    each = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     sharded = good.withColumn("shard", deal(shards, 1)).groupBy("dim", "shard")
     index = written(sharded.applyInPandas(_build, "dim long, shard long, graph binary"), "graphs")
-    keys = ["dim", "shard", "part"]
-    asked = good.select(F.col("dim").cast("long").alias("dim"), each(shards).alias("shard"), deal(parts, 2).alias("part"), "vec_id", "embedding")
-    graphs = index.withColumn("part", each(parts))
-    found = graphs.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search, "a long, b long, links long")
-    found = written(found, "links")
+    asked = good.select("dim", deal(parts, 2).alias("part"), "vec_id", "embedding").repartition(parts, "dim", "part")
+    blocks = written(asked.groupBy("dim", "part").applyInPandas(_packed, "asked_dim long, block binary"), "query-blocks")
+    # Graphs and blocks meet where they are read: neither is shuffled, and a task holds one of either.
+    pairs = index.hint("shuffle_replicate_nl").join(blocks, F.col("dim") == F.col("asked_dim"))
+    found = written(pairs.select("dim", "shard", "graph", "block").mapInArrow(_searches, "a long, b long, links long"), "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     of = components(found.where("a <> b").select("a", "b")).join(counts, "node", "left")
     out = rows.select(F.col("vec_id").cast("long").alias("vec_id")).join(same, "vec_id", "left")
